@@ -27,11 +27,10 @@ def source_rates(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     source without any document has size 0 and is short if its share is above 0.
     """
     by = sizes.groupBy(clean_source("source").alias("source")).agg(F.sum("n_tokens").alias("size"))
-    total = by.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+    total = by.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     w = weights.select(clean_source("source").alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
     x = w.join(by, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    # One row with the total goes to the few rows of the weights.
-    x = x.join(F.broadcast(total), F.lit(True))
+    x = x.withColumn("total", F.lit(total).cast("long"))
     wanted = F.col("target_share") * F.col("total")
     rate = F.when(F.col("size") > 0, wanted / F.col("size")).otherwise(F.lit(0.0))
     return x.select("source", "target_share", "max_repeats", "size", "total", rate.alias("wanted_rate"), F.least(rate, F.col("max_repeats").cast("double")).alias("rate"), (F.col("size") * F.col("max_repeats") < wanted).alias("short"))
@@ -53,5 +52,5 @@ def share_report(mixed: DataFrame, rates: DataFrame) -> DataFrame:
     of the size of the mixture and of all documents."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("used"), F.max("copy_no").alias("most_copies"))
     x = rates.join(got, "source", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("most_copies", F.coalesce("most_copies", F.lit(0)))
-    t = x.agg(F.sum("used").alias("mixed_total"))
-    return x.join(F.broadcast(t), F.lit(True)).select("source", "target_share", "size", "rate", "used", "most_copies", "short", F.when(F.col("mixed_total") > 0, F.col("used") / F.col("mixed_total")).alias("share_of_mixture"), F.when(F.col("total") > 0, F.col("used") / F.col("total")).alias("share_of_all"))
+    mixed = mixed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return x.withColumn("mixed_total", F.lit(mixed)).select("source", "target_share", "size", "rate", "used", "most_copies", "short", F.when(F.col("mixed_total") > 0, F.col("used") / F.col("mixed_total")).alias("share_of_mixture"), F.when(F.col("total") > 0, F.col("used") / F.col("total")).alias("share_of_all"))
