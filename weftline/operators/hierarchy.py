@@ -11,8 +11,8 @@ stay, and records how:
   vertices spliced into it and taken out, so cycles never block the rest.
 
 What neither step can touch is the non-terminating core: entangled cycles, and
-what hangs between them. The core is contracted once more from the other side
-(parents first) and what is left is split by colouring.
+what hangs above them. Where only cycles are asked for, vertices without parents
+are raked in the same rounds. What is left is split by colouring.
 
 Cycles are then condensed to one vertex each, the acyclic remainder contracts
 to nothing, and going through the records in reverse order recovers depth,
@@ -48,9 +48,11 @@ class Contraction:
     rounds: int = 0
 
 
-def contract(links: DataFrame, max_rounds: int = 400, patience: int = 8) -> Contraction:
+def contract(links: DataFrame, max_rounds: int = 400, patience: int = 8, both: bool = False) -> Contraction:
     """Contracts ``links(child, parent[, seg])``: distinct, without nulls. ``seg``
-    holds the vertices spliced out between child and parent, nearest the child first."""
+    holds the vertices spliced out between child and parent, nearest the child first.
+    ``both`` also rakes vertices without parents in the same round, for finding
+    cycles only: the records then do not determine places."""
     out = Contraction()
     if "seg" not in links.columns:
         links = links.withColumn("seg", F.array().cast("array<string>"))
@@ -66,10 +68,11 @@ def contract(links: DataFrame, max_rounds: int = 400, patience: int = 8) -> Cont
         v = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.min("above").alias("above"), F.min("via").alias("via"), F.min("below").alias("below"))
         h = lambda c: F.xxhash64(F.col(c), F.lit(r))  # noqa: E731, B023
         spliced = (F.col("up") == 1) & (F.col("down") == 1) & (h("node") < h("above")) & (h("node") < h("below"))
-        gone = v.select("node", F.when((F.col("down") == 0) & (F.col("up") > 0), RAKED).when(spliced, SPLICED).alias("how"), "above", "via").where("how is not null")
-        a = e.join(gone.select(F.col("node").alias("child"), "how"), "child", "left")
-        g = gone.where(f"how = {SPLICED}").select(F.col("node").alias("parent"), "above", F.concat(F.array("node"), "via").alias("tail"))
-        b = a.join(g, "parent", "left")
+        top = (F.col("up") == 0) & F.lit(both)
+        gone = v.select("node", F.when(F.col("down") == 0, RAKED).when(spliced, SPLICED).when(top, -RAKED).alias("how"), "above", "via").where("how is not null")
+        a = e.join(gone.where("how > 0").select(F.col("node").alias("child"), "how"), "child", "left")
+        g = gone.where(f"how in ({SPLICED}, {-RAKED})").select(F.col("node").alias("parent"), F.when(F.col("how") == -RAKED, RAKED).alias("from_top"), "above", F.concat(F.array("node"), "via").alias("tail"))
+        b = a.join(g, "parent", "left").withColumn("how", F.coalesce("how", "from_top"))
         hop = F.col("how").isNull() & F.col("above").isNotNull()
         parent = F.when(hop, F.col("above")).otherwise(F.col("parent"))
         nxt = b.select(
@@ -147,15 +150,15 @@ def cycles(links: DataFrame, contraction: Contraction | None = None) -> DataFram
     """(node, cycle_id): every vertex that is its own ancestor; cycle_id is the
     smallest vertex that is both above and below it. ``links(child, parent)``;
     nulls are ignored, an empty table gives an empty result."""
-    c = contraction or contract(clean_links(links))
+    c = contraction or contract(clean_links(links), both=True)
     loops = list(c.loops)
     sets: list[DataFrame] = []
     if c.core is not None:
-        # What lies above the cycles is raked from the top; the same steps with the ends swapped.
-        back = contract(c.core.select(F.col("parent").alias("child"), F.col("child").alias("parent"), F.reverse("seg").alias("seg")))
-        loops += back.loops
-        if back.core is not None:
-            core = back.core.select(F.col("parent").alias("child"), F.col("child").alias("parent"), "seg")
+        # What lies above the cycles was not raked from the top yet if the contraction was for places.
+        rest = contract(c.core, both=True) if contraction else Contraction(core=c.core)
+        loops += rest.loops
+        if rest.core is not None:
+            core = rest.core
             strong = cut(_strong_sets(core), "strong")
             sets.append(strong)
             s = strong.select(F.col("node").alias("child"), "root").join(core, "child").join(strong.select(F.col("node").alias("parent"), F.col("root").alias("root2")), "parent").where("root = root2")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import problems, problems_sql
+from weftline.plans import problems, problems_sql, reference
 
-_MODULES = [(problems.QUERIES, problems_sql.SQL)]
+_MODULES = [(reference.QUERIES, reference.SQL), (problems.QUERIES, problems_sql.SQL)]
 
 
 def queries() -> dict:
