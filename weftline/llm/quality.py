@@ -36,6 +36,15 @@ _HEX = re.compile(r"(?:[0-9a-fA-F]{2}[\s:]){5,}[0-9a-fA-F]{0,2}")
 _CODE = re.compile(r"[A-Za-z0-9+/_=-]{24,}$")
 _LOCANT = re.compile(r"(?<![\d.])\d,\d(?=-)")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâîôûœæøå]", re.IGNORECASE)
+# Counted by runs, not by characters.
+_LETTERS, _DIGITS, _UPPER, _ALNUM, _FOREIGN = (re.compile(x) for x in ("[A-Za-z]+", r"\d+", "[A-Z]+", r"[^\W_]+", r"[^\x00-\x7f]+"))
+_ODD = re.compile(r"[^\w.,;:'\"()\-–’“”%/|\t]|_")
+
+
+def _length(rx: re.Pattern[str], s: str) -> int:
+    return sum(map(len, rx.findall(s)))
+
+
 #: Delimiters of table rows: a character, or two blanks.
 _DELIMS = ("|", "\t", ";", ",", "  ")
 _GAP = re.compile(r" {2,}")
@@ -47,7 +56,10 @@ def _columns(line: str) -> tuple[int, ...]:
     """How often each delimiter occurs in a line. Commas and semicolons count without
     a blank after them, at the end only after others (an empty last cell);
     locants such as 3,4- are no delimiters; n blanks are n/2 delimiters."""
-    s = _LOCANT.sub("_", line)
+    if "," in line and line.count(",") > line.count(", "):
+        s = _LOCANT.sub("_", line)
+    else:
+        s = line
     out = [s.count("|"), s.count("\t")]
     for d in ";,":
         n = s.count(d) - s.count(d + " ") if d in s else 0
@@ -105,17 +117,19 @@ def _garbled(s: str, ws: list[str], common: float) -> bool:
     if not bare:
         return False
     n = len(bare)
-    letters = sum(c.isalpha() and c.isascii() for c in bare)
-    if s.startswith(">") and len(s) < 40:
-        return True
-    if sum(len(m) for m in _DNA.findall(s)) > 0.6 * n or sum(len(m) for m in _HEX.findall(s)) > 0.6 * len(s):
+    if common >= 0.3 and len(ws) >= 5 and _SENTENCE.search(s):
+        return False  # common words and the end of a sentence: readable
+    letters = _length(_LETTERS, bare)
+    if s[0] == ">" and s[1:2] != " " and len(s) < 40 and len(ws) <= 3:
+        return True  # the header of a sequence
+    if _length(_DNA, s) > 0.6 * n or _length(_HEX, s) > 0.6 * len(s):
         return True
     if n >= 24 and " " not in s.strip() and _CODE.fullmatch(s.strip()) and len(set(bare)) > 8:
         return True
-    odd = sum(not c.isalnum() and c not in ".,;:'\"()-–’“”%/|\t" for c in bare)
-    if n >= 12 and (odd > 0.2 * n or odd + sum(not c.isascii() for c in bare) > 0.4 * n):
+    odd = len(_ODD.findall(bare))
+    if n >= 12 and (odd > 0.2 * n or (not bare.isascii() and odd + _length(_FOREIGN, bare) > 0.4 * n)):
         return True
-    if n >= 20 and letters < 0.5 * n and (n - letters - sum(c.isdigit() for c in bare)) > 0.3 * n and "|" not in s and "\t" not in s:
+    if n >= 20 and letters < 0.5 * n and (n - letters - _length(_DIGITS, bare)) > 0.3 * n and "|" not in s and "\t" not in s:
         return True
     low = [w for w in ws if w.islower() and len(w) >= 3]
     if len(low) >= 4 and sum(not _VOWEL.search(w) for w in low) > 0.6 * len(low):
@@ -123,8 +137,8 @@ def _garbled(s: str, ws: list[str], common: float) -> bool:
     return len(ws) >= 12 and len({w.lower() for w in ws}) < 0.25 * len(ws) and common < 0.2
 
 
-def judge(text: str, common: frozenset[str]) -> tuple[dict[str, int], dict[str, float]]:
-    """Characters per kind, and the statistics of a text."""
+def judge(text: str, common: frozenset[str], statistics: bool = True) -> tuple[dict[str, int], dict[str, float]]:
+    """Characters per kind, and the statistics of a text (empty if not wanted)."""
     raw = _LINE.split(text)
     plain = [_TAG.sub(" ", x) if "<" in x else x for x in raw]
     lines = [x for x in plain if x.strip()]
@@ -163,7 +177,7 @@ def judge(text: str, common: frozenset[str]) -> tuple[dict[str, int], dict[str,
         i = j
     for s, k in zip(lines, kind, strict=True):
         chars[k] += len(s.strip())
-    return chars, _statistics(text, raw, lines, ws_of, hits, marks, aligned)
+    return chars, _statistics(text, raw, lines, ws_of, hits, marks, aligned) if statistics else {}
 
 
 def _strung(s: str, n: int, hits: int) -> bool:
@@ -208,21 +222,21 @@ def _judge_stretch(lines: list[str], ws_of: list[list[str]], hits: list[int], ma
 
 def _statistics(text: str, raw: list[str], lines: list[str], ws_of: list[list[str]], hits: list[int], marks: list[bool], aligned: float) -> dict[str, float]:
     ws = [w for x in ws_of for w in x]
-    bare = [c for c in text if not c.isspace()]
-    n, lens = max(1, len(bare)), np.array([len(x) for x in lines], dtype=float)
+    n, lens = max(1, len("".join(text.split()))), np.array([len(x) for x in lines], dtype=float)
     indents = np.array([len(x) - len(x.lstrip()) for x in lines], dtype=float)
     k = max(1, len(lines))
     return {
         "n_chars": float(len(text)), "n_words": float(len(ws)), "mean_word_length": sum(map(len, ws)) / max(1, len(ws)),
-        "symbol_share": sum(not c.isalnum() for c in bare) / n, "digit_share": sum(c.isdigit() for c in bare) / n, "upper_share": sum(c.isupper() for c in bare) / n,
+        "symbol_share": (n - _length(_ALNUM, text)) / n, "digit_share": _length(_DIGITS, text) / n, "upper_share": _length(_UPPER, text) / n,
         "ended_line_share": sum(bool(_END.search(x)) for x in lines) / k, "common_share": sum(hits) / max(1, len(ws)), "distinct_word_share": len({w.lower() for w in ws}) / max(1, len(ws)),
         "n_lines": float(len(lines)), "mean_line_length": float(lens.mean()) if len(lens) else 0.0, "line_autocorrelation": _autocorrelation(lens),
         "indent_share": float((indents > 0).mean()) if len(lines) else 0.0, "indent_period": float(_period(indents)), "delimiter_alignment": aligned, "mark_share": sum(marks) / k,
     }
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """One row per document: doc_id, kind, characters per kind (c_prose, ...), statistics.
+def text_quality(docs: DataFrame, common_words: DataFrame, statistics: bool = True) -> DataFrame:
+    """One row per document: doc_id, kind, characters per kind (c_prose, ...), and the
+    statistics unless they are not wanted (they take a third of the time).
 
     ``docs(doc_id, text)``, ``common_words(word)`` (a fixed list per language, used
     for all languages together). Null and blank texts have kind null and zero
@@ -232,18 +246,20 @@ def text_quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     # A published list of a few hundred words per language, not data that grows.
     common = spark.sparkContext.broadcast(frozenset(r.word.lower() for r in common_words.where("word is not null").select("word").distinct().collect()))
 
+    wanted = STATISTICS if statistics else ()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = common.value
         for b in batches:
             kinds, chars, stats = [], [], []
             for t in b.column("text").to_pylist():
-                c, s = judge(t or "", words)
+                c, s = judge(t or "", words, statistics)
                 chars.append(c)
                 stats.append(s)
                 kinds.append(max(KINDS, key=lambda k: c[k]) if any(c.values()) else None)  # noqa: B023
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(kinds, pa.string()), *[pa.array([c[k] for c in chars], pa.int64()) for k in KINDS], *[pa.array([s[k] for s in stats], pa.float64()) for k in STATISTICS]],
-                names=["doc_id", "kind", *[f"c_{k}" for k in KINDS], *STATISTICS])
+                [b.column("doc_id"), pa.array(kinds, pa.string()), *[pa.array([c[k] for c in chars], pa.int64()) for k in KINDS], *[pa.array([s[k] for s in stats], pa.float64()) for k in wanted]],
+                names=["doc_id", "kind", *[f"c_{k}" for k in KINDS], *wanted])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, " + ", ".join([f"c_{k} long" for k in KINDS] + [f"{k} double" for k in STATISTICS])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, " + ", ".join([f"c_{k} long" for k in KINDS] + [f"{k} double" for k in wanted])
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -92,7 +92,8 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+    q = quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), statistics=False)
+    return q.where("kind <> 'prose'").select("doc_id", "kind")
 
 
 QUERIES = {
