@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ def words(text: str | None) -> list[str]:
     """Runs of letters and digits, without tags, case and accents."""
     if not text:
         return []
-    s = _TAG.sub(" ", text).lower()
+    s = (_TAG.sub(" ", text) if "<" in text else text).lower()
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
     return _WORD.findall(s)
@@ -85,7 +86,7 @@ def known_runs(docs: DataFrame, vocabulary: dict[str, int], run: int) -> DataFra
         for b in batches:
             ids, hits, runs = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = np.fromiter((get(x, -1) for x in words(text)), dtype=np.int32)
+                w = np.array(list(map(get, words(text), repeat(-1))), dtype=np.int32)
                 known = w >= 0
                 if not known.any():
                     continue
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, block: Block, run: int, rank: int) -> Model:
     return Model(latent_basis(known.df, idf, rank, extra=extra) * idf[:, None], idf, known)
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_cosine: float = 0.98, block_words: int = 200_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_cosine: float = 0.999, block_words: int = 200_000) -> DataFrame:
     """(doc_id, item_id): pairs that share a run of at least ``run`` consecutive words.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``. Null, empty and shorter
@@ -209,11 +210,18 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
                 owner.append(np.full(len(vecs[-1]), item))
         if not wins:
             continue
+        # Unit vectors of cosine c are sqrt(2 - 2c) apart, and so at most that in any one coordinate:
+        # sorted by the coordinate that spreads most, only a narrow band needs multiplying.
+        V, W, O = np.concatenate(vecs), np.concatenate(wins), np.concatenate(owner)
+        axis = int(V.std(axis=0).argmax())
+        by = np.argsort(V[:, axis], kind="stable")
+        band = float(np.sqrt(2 - 2 * min_cosine)) + 1e-5
         # Bounded by block_words: rank + run + 3 numbers per window.
-        q = spark.sparkContext.broadcast((np.concatenate(vecs).T.copy(), np.concatenate(wins), np.concatenate(owner), m.weights))
+        q = spark.sparkContext.broadcast((V[by], W[by], O[by], m.weights, axis, band))
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            qt, qw, qi, weights = q.value
+            qv, qw, qi, weights, axis, band = q.value
+            qx = qv[:, axis].copy()
             for b in batches:
                 lens = pa.compute.list_value_length(b.column("runs")).to_numpy(zero_copy_only=False)
                 flat = b.column("runs").flatten().to_numpy()
@@ -234,11 +242,15 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
                         # Windows that repeat (copies) are searched once.
                         _, one, back = np.unique(W, axis=0, return_index=True, return_inverse=True)
                         back = back.ravel()
+                        along = np.argsort(V[one, axis], kind="stable")
                         hit_w, hit_q = [], []
-                        for k in range(0, len(one), 256):
-                            x, y = np.nonzero(V[one[k : k + 256]] @ qt >= min_cosine)
-                            hit_w.append(x + k)
-                            hit_q.append(y)
+                        for k in range(0, len(one), 128):
+                            some = along[k : k + 128]
+                            part = V[one[some]]
+                            lo, hi = np.searchsorted(qx, [part[0, axis] - band, part[-1, axis] + band])
+                            x, y = np.nonzero(part @ qv[lo:hi].T >= min_cosine)
+                            hit_w.append(some[x])
+                            hit_q.append(y + lo)
                         hw, hq = np.concatenate(hit_w), np.concatenate(hit_q)
                         ok = (W[one[hw]] == qw[hq]).all(axis=1)
                         items_of: dict[int, set[int]] = {}
