@@ -11,32 +11,41 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! for n >= 0: by table below 10, else Stirling's series (error below 1e-12)."""
-    x = n.cast("double")
-    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)]), F.least(n.cast("int"), F.lit(9)) + 1)
-    # ln n! = n ln n - n + ln(2 pi n)/2 + 1/(12n) - 1/(360n^3) + 1/(1260n^5) - 1/(1680n^7)
-    y = F.greatest(x, F.lit(10.0))
-    series = y * F.log(y) - y + F.log(F.lit(2 * math.pi) * y) / 2 + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
-    return F.when(x < 10, small).otherwise(series)
+#: ln 0! to ln 9!, then Stirling's series:
+#: n ln n - n + ln(2 pi n)/2 + 1/(12n) - 1/(360n^3) + 1/(1260n^5) - 1/(1680n^7), error below 1e-12.
+_SMALL = "array(" + ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(10)) + ")"
+LOG_FACTORIAL = f"if(n < 10, {_SMALL}[cast(greatest(n, 0) as int)], n * ln(n) - n + ln({2 * math.pi!r}D * n) / 2 + 1 / (12D * n) - 1 / (360D * pow(n, 3)) + 1 / (1260D * pow(n, 5)) - 1 / (1680D * pow(n, 7)))"
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def with_fisher(df: DataFrame, a: str, n_s: str, n_t: str, total: str, name: str = "p_fisher") -> DataFrame:
+    """df with P(X >= a) for X hypergeometric: total documents, n_s of one kind, n_t drawn.
 
-
-def fisher_greater(a: Column, n_s: Column, n_t: Column, total: Column) -> Column:
-    """P(X >= a) for X hypergeometric: total documents, n_s of one kind, n_t drawn."""
-    def add(acc: Column, k: Column) -> Column:
-        p = F.exp(log_choose(n_s, k) + log_choose(total - n_s, n_t - k) - log_choose(total, n_t))
-        # Only k with n_t - k <= total - n_s is possible.
-        return acc + F.when(n_t - k <= total - n_s, p).otherwise(0.0)
-
-    return F.least(F.aggregate(F.sequence(a, F.least(n_s, n_t)), F.lit(0.0), add), F.lit(1.0))
+    One term comes from log-factorials, the others by the ratio of neighbours.
+    The sum runs away from the mode, where terms only fall: upwards from a above
+    it, else downwards from a - 1 for the complement. A first term too small for
+    a double is then truly nothing. Terms below 2^-60 of the first add nothing, and
+    by Bernstein's inequality none is larger beyond 40 + 11 standard deviations
+    (of the binomial, which is the wider), so the sum stops there.
+    """
+    keep = df.columns
+    x = df.selectExpr("*", f"cast({a} as bigint) as _a", f"cast({n_s} as bigint) as _s", f"cast({n_t} as bigint) as _t", f"cast({total} as bigint) as _n")
+    x = x.selectExpr("*", "_a > floor((_s + 1) * (_t + 1) / (_n + 2D)) as _up", "greatest(_s + _t - _n, 0L) as _low", "ceil(40D + 11D * sqrt(_t * (_s / cast(_n as double)) * (1 - _s / cast(_n as double)))) as _reach")
+    x = x.selectExpr("*", "if(_up, _a, _a - 1) as _k0")
+    # Each stage is a projection of its own: an expression used several times is made once.
+    x = x.selectExpr("*", f"transform(array(_s, _k0, _s - _k0, _n - _s, _t - _k0, _n - _s - _t + _k0, _n, _t, _n - _t), n -> {LOG_FACTORIAL}) as _l")
+    x = x.selectExpr("*", "exp(_l[0] - _l[1] - _l[2] + _l[3] - _l[4] - _l[5] - _l[6] + _l[7] + _l[8]) as _p0")
+    step = "named_struct('p', if(z.p > _p0 * pow(2D, -60), z.p * ({ratio}), 0D), 's', z.s + if(z.p > _p0 * pow(2D, -60), z.p * ({ratio}), 0D))"
+    up = step.format(ratio="(_s - k + 1) * cast(_t - k + 1 as double) / (k * (_n - _s - _t + k))")
+    down = step.format(ratio="(k + 1) * cast(_n - _s - _t + k + 1 as double) / ((_s - k) * (_t - k))")
+    ks_up = "if(_a < least(_s, _t), sequence(_a + 1, least(_s, _t, _a + _reach)), cast(array() as array<bigint>))"
+    ks_down = "if(_k0 > _low, sequence(_k0 - 1, greatest(_low, _k0 - _reach), -1L), cast(array() as array<bigint>))"
+    first = "named_struct('p', _p0, 's', _p0)"
+    p = f"case when _up then aggregate({ks_up}, {first}, (z, k) -> {up}).s when _k0 < _low then 1D else 1D - aggregate({ks_down}, {first}, (z, k) -> {down}).s end"
+    return x.selectExpr(*[f"`{c}`" for c in keep], f"least(greatest({p}, 0D), 1D) as `{name}`")
 
 
 def pair_statistics(source: DataFrame, target: DataFrame, corpus: int, upper_triangle: bool = False) -> DataFrame:
@@ -60,9 +69,11 @@ def pair_statistics(source: DataFrame, target: DataFrame, corpus: int, upper_tri
     a = F.col("cooccurrence")
     b, c = F.col("n_s") - a, F.col("n_t") - a
     d = F.greatest(F.lit(corpus) - a - b - c, F.lit(0))
+    x = x.withColumn("_total", a + b + c + d)
     enrichment = F.when(F.lit(corpus) > 0, a * F.lit(float(corpus)) / (F.col("n_s") * F.col("n_t"))).otherwise(F.lit(float("inf")))
     odds = F.when(b * c == 0, F.lit(float("inf"))).otherwise(a * d / (b * c))
-    return x.select("source_id", "target_id", "cooccurrence", F.round(enrichment, 4).alias("enrichment"), fisher_greater(a, F.col("n_s"), F.col("n_t"), a + b + c + d).alias("p_fisher"), F.round(odds, 6).alias("odds_ratio"))
+    x = x.select("source_id", "target_id", "cooccurrence", "n_s", "n_t", "_total", F.round(enrichment, 4).alias("enrichment"), F.round(odds, 6).alias("odds_ratio"))
+    return with_fisher(x, "cooccurrence", "n_s", "n_t", "_total").select("source_id", "target_id", "cooccurrence", "enrichment", "p_fisher", "odds_ratio")
 
 
 def corpus_size(source: DataFrame, target: DataFrame) -> int:
