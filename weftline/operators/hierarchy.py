@@ -149,20 +149,16 @@ def _strong_sets(core: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 def cycles(links: DataFrame, contraction: Contraction | None = None) -> DataFrame:
     """(node, cycle_id): every vertex that is its own ancestor; cycle_id is the
     smallest vertex that is both above and below it. ``links(child, parent)``;
-    nulls are ignored, an empty table gives an empty result."""
+    nulls are ignored, an empty table gives an empty result. ``contraction``: that
+    of the links from both sides, if it is there already."""
     c = contraction or contract(clean_links(links), both=True)
     loops = list(c.loops)
     sets: list[DataFrame] = []
     if c.core is not None:
-        # What lies above the cycles was not raked from the top yet if the contraction was for places.
-        rest = contract(c.core, both=True) if contraction else Contraction(core=c.core)
-        loops += rest.loops
-        if rest.core is not None:
-            core = rest.core
-            strong = cut(_strong_sets(core), "strong")
-            sets.append(strong)
-            s = strong.select(F.col("node").alias("child"), "root").join(core, "child").join(strong.select(F.col("node").alias("parent"), F.col("root").alias("root2")), "parent").where("root = root2")
-            sets.append(s.select(F.explode("seg").alias("node"), "root"))
+        strong = cut(_strong_sets(c.core), "strong")
+        sets.append(strong)
+        s = strong.select(F.col("node").alias("child"), "root").join(c.core, "child").join(strong.select(F.col("node").alias("parent"), F.col("root").alias("root2")), "parent").where("root = root2")
+        sets.append(s.select(F.explode("seg").alias("node"), "root"))
     member = None
     for x in loops:
         y = x.select(F.explode(F.concat(F.array("node"), "seg")).alias("node"), F.col("node").alias("root"))
@@ -179,51 +175,72 @@ def clean_links(links: DataFrame) -> DataFrame:
     return links.where("child is not null and parent is not null").select("child", "parent").distinct()
 
 
-def hierarchy(links: DataFrame, nodes: DataFrame, max_rounds: int = 400) -> DataFrame:
-    """One row per vertex: (node, cycle_id, depth_min, depth_max, roots, ancestors, paths).
+LISTS = ("roots", "ancestors", "paths")
+
+
+def hierarchy(links: DataFrame, nodes: DataFrame, want: tuple[str, ...] = LISTS, max_rounds: int = 400, per_task: int = 20_000) -> DataFrame:
+    """One row per vertex: (node, cycle_id, depth_min, depth_max, n_paths) and the lists
+    wanted: roots, ancestors, paths. Lists that are not wanted are never built.
 
     ``links(child, parent)`` and ``nodes(node)``; links to vertices that are not
     in ``nodes`` are left out, a vertex without parents is a root of depth 0.
     Vertices of one cycle share a place: ``cycle_id`` is set, and on paths the
     cycle stands as its smallest member. ``paths`` are all paths from a root
-    down to the vertex, joined by " > "; ``ancestors`` and ``roots`` are sorted
-    distinct ids (a cycle's members all count as ancestors of what is below).
-    Nulls in either input and repeated rows have no effect.
+    down to the vertex, joined by " > "; the lists are sorted and distinct (a
+    cycle's members all count as ancestors of what is below, and of each other).
+    Nulls in either input and repeated rows have no effect; empty tables give
+    an empty result.
     """
     nodes = cut(nodes.where("node is not null").select("node").distinct(), "nodes")
     links = cut(clean_links(links).join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("node").alias("child")), "child", "left_semi").select("child", "parent"), "links")
-    c = contract(links, max_rounds)
-    place = None
+    place, tops = None, nodes
+    c = contract(links, max_rounds, both=True)
     if c.loops or c.core is not None:
         place = cut(cycles(links, c), "cycles")
         m = place.select(F.col("node").alias("child"), F.col("cycle_id").alias("c"))
         links = links.join(m, "child", "left").withColumn("child", F.coalesce("c", "child")).drop("c")
         links = links.join(m.withColumnRenamed("child", "parent"), "parent", "left").withColumn("parent", F.coalesce("c", "parent")).drop("c")
-        c = contract(cut(links.where("child <> parent").distinct(), "links"), max_rounds)
-        links = links.where("child <> parent")
+        links = cut(links.where("child <> parent").distinct(), "links")
         tops = nodes.join(place.where("node <> cycle_id").select("node"), "node", "left_anti")
-    else:
-        tops = nodes
-    one = lambda x: F.array(x)
-    roots = tops.join(links.select(F.col("child").alias("node")), "node", "left_anti").select(
-        "node", F.lit(0).alias("depth_min"), F.lit(0).alias("depth_max"), one(F.col("node")).alias("roots"), F.array().cast("array<string>").alias("ancestors"), one(F.col("node")).alias("paths"))
+    c = contract(links, max_rounds)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // per_task))
+    out = _expand(c, tops, links, [x for x in LISTS if x in want], tasks)
+    cols = ["node", "cycle_id", "depth_min", "depth_max", "n_paths", *[x for x in LISTS if x in want]]
+    if place is None:
+        return out.withColumn("cycle_id", F.lit(None).cast("string")).select(*cols)
+    if "ancestors" in want:
+        members = place.groupBy("cycle_id").agg(F.collect_set("node").alias("members"))
+        # Only cycles with something below them take part.
+        below = out.select("node", F.explode("ancestors").alias("cycle_id")).join(members, "cycle_id").groupBy("node").agg(F.flatten(F.collect_list("members")).alias("more"))
+        out = out.join(below, "node", "left").withColumn("ancestors", F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.array_sort(F.array_distinct(F.concat("ancestors", "more"))))).drop("more")
+        place = place.join(members, "cycle_id")
+    # Each member of a cycle takes the cycle's place, with all members as its ancestors.
+    whole = place.withColumnRenamed("node", "own").join(out.withColumnRenamed("node", "cycle_id"), "cycle_id").withColumnRenamed("own", "node")
+    if "ancestors" in want:
+        whole = whole.withColumn("ancestors", F.array_sort(F.array_distinct(F.concat("ancestors", "members"))))
+    rest = out.join(place.select("node"), "node", "left_anti").withColumn("cycle_id", F.lit(None).cast("string"))
+    return rest.select(*cols).unionByName(whole.select(*cols))
+
+
+def _expand(c: Contraction, tops: DataFrame, links: DataFrame, want: list[str], tasks: int) -> DataFrame:
+    """Goes through the records of a complete contraction in reverse."""
+    first = {"roots": F.array("node"), "ancestors": F.array().cast("array<string>"), "paths": F.array("node")}
+    roots = tops.join(links.select(F.col("child").alias("node")), "node", "left_anti").select("node", F.lit(0).alias("depth_min"), F.lit(0).alias("depth_max"), F.lit(1).cast("decimal(38,0)").alias("n_paths"), *[first[x].alias(x) for x in want])
     parts = [cut(roots, "place")]
+    hop = F.size("seg") + 1
+    # seg runs from the child upwards, paths from the root downwards.
+    tail = F.concat(F.lit(" > "), F.array_join(F.concat(F.reverse("seg"), F.array("node")), " > "))
+    lists = {"roots": F.col("roots"), "ancestors": F.concat("ancestors", F.array("parent"), "seg"), "paths": F.transform("paths", lambda p: F.concat(p, tail))}
     for _, rec in sorted(c.records, key=lambda x: -x[0]):
         known = parts[0]
         for x in parts[1:]:
             known = known.unionByName(x)
-        j = rec.join(known.withColumnRenamed("node", "parent"), "parent")
-        hop = F.size("seg") + 1
-        # seg runs from the child upwards, paths from the root downwards.
-        tail = F.concat(F.lit(" > "), F.array_join(F.concat(F.reverse("seg"), F.array("node")), " > "))
-        new = j.select(
-            "node", (F.col("depth_min") + hop).alias("depth_min"), (F.col("depth_max") + hop).alias("depth_max"), "roots",
-            F.concat("ancestors", F.array("parent"), "seg").alias("ancestors"), F.transform("paths", lambda p: F.concat(p, tail)).alias("paths"),
-        ).groupBy("node").agg(
-            F.min("depth_min").alias("depth_min"), F.max("depth_max").alias("depth_max"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("roots")))).alias("roots"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("ancestors")))).alias("ancestors"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths"))
+        j = rec.join(known.withColumnRenamed("node", "parent"), "parent").select("node", (F.col("depth_min") + hop).alias("depth_min"), (F.col("depth_max") + hop).alias("depth_max"), "n_paths", *[lists[x].alias(x) for x in want])
+        # Different links and different segments never make the same path twice.
+        merged = {"roots": F.array_distinct(F.flatten(F.collect_list("roots"))), "ancestors": F.array_distinct(F.flatten(F.collect_list("ancestors"))), "paths": F.flatten(F.collect_list("paths"))}
+        new = j.repartition(tasks, "node").groupBy("node").agg(F.min("depth_min").alias("depth_min"), F.max("depth_max").alias("depth_max"), F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"), *[merged[x].alias(x) for x in want])
         parts.append(cut(new, "place"))
-        if len(parts) > 6:  # few files to read again in each step
+        if len(parts) > 8:  # few files to read again in each step
             whole = parts[0]
             for x in parts[1:]:
                 whole = whole.unionByName(x)
@@ -231,16 +248,7 @@ def hierarchy(links: DataFrame, nodes: DataFrame, max_rounds: int = 400) -> Data
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    if place is None:
-        return out.select("node", F.lit(None).cast("string").alias("cycle_id"), "depth_min", "depth_max", "roots", "ancestors", "paths")
-    members = place.groupBy("cycle_id").agg(F.collect_set("node").alias("members"))
-    anc = out.select("node", F.explode("ancestors").alias("cycle_id")).join(members, "cycle_id").groupBy("node").agg(F.flatten(F.collect_list("members")).alias("more"))
-    out = out.join(anc, "node", "left").withColumn("ancestors", F.array_sort(F.array_distinct(F.concat("ancestors", F.coalesce("more", F.array().cast("array<string>")))))).drop("more")
-    # Each member of a cycle takes the cycle's place, with all members as its ancestors.
-    whole = place.join(members, "cycle_id").withColumnRenamed("node", "own").join(out.withColumnRenamed("node", "cycle_id"), "cycle_id").select(
-        F.col("own").alias("node"), "cycle_id", "depth_min", "depth_max", "roots", F.array_sort(F.array_distinct(F.concat("ancestors", "members"))).alias("ancestors"), "paths")
-    rest = out.join(place.select("node"), "node", "left_anti").select("node", F.lit(None).cast("string").alias("cycle_id"), "depth_min", "depth_max", "roots", "ancestors", "paths")
-    return rest.unionByName(whole)
+    return out.select("node", "depth_min", "depth_max", "n_paths", *[F.array_sort(x).alias(x) for x in want])
 
 
 def descendants(h: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ _LINKS = """links AS (
 terms AS (SELECT mondo_id AS node FROM disease_nodes WHERE mondo_id IS NOT NULL UNION SELECT hp_id FROM phenotype_nodes WHERE hp_id IS NOT NULL),
 reach AS (SELECT l.child AS node, l.parent AS up FROM links l WHERE l.parent IN (SELECT node FROM terms) UNION SELECT r.node, l.parent FROM reach r JOIN links l ON l.child = r.up WHERE l.parent IN (SELECT node FROM terms))"""
 
+_PATHS = f"""{_LINKS}, cyc AS (SELECT a.node, min(b.node) AS cycle_id FROM reach a JOIN reach b ON a.up = b.node AND b.up = a.node GROUP BY a.node),
+rep AS (SELECT node, cycle_id, coalesce(cycle_id, node) AS r FROM terms LEFT JOIN cyc USING (node)),
+ce AS (SELECT DISTINCT a.r AS child, b.r AS parent FROM links JOIN rep a ON a.node = child JOIN rep b ON b.node = parent WHERE a.r <> b.r),
+pth AS (SELECT DISTINCT r, r AS path, 0 AS depth, r AS root FROM rep WHERE r NOT IN (SELECT child FROM ce) UNION ALL SELECT ce.child, path || ' > ' || ce.child, depth + 1, root FROM pth JOIN ce ON ce.parent = pth.r)"""
+
 _ENDS = """ends AS (SELECT edge_id, 'start' AS side, start_id AS node_id, rel_type, loaded_at FROM graph_edges
   UNION ALL SELECT edge_id, 'end', end_id, rel_type, loaded_at FROM graph_edges)"""
 
@@ -57,6 +62,8 @@ _PACKED = {
 
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT a.node AS term_id, min(b.node) AS cycle_id FROM reach a JOIN reach b ON a.up = b.node AND b.up = a.node GROUP BY a.node",
+    "p1_hierarchy": f"WITH RECURSIVE {_PATHS} SELECT node AS term_id, cycle_id, min(depth)::INTEGER AS depth_min, max(depth)::INTEGER AS depth_max, count(*) AS n_paths, string_agg(DISTINCT root, '|' ORDER BY root) AS roots FROM rep JOIN pth USING (r) GROUP BY node, cycle_id",
+    "p1_paths": f"WITH RECURSIVE {_PATHS} SELECT node AS term_id, path FROM rep JOIN pth USING (r)",
     "p1_descendants": f"WITH RECURSIVE {_LINKS} SELECT up AS term_id, node AS descendant_id FROM reach WHERE node IN (SELECT node FROM terms)",
     "p4_found": f"WITH {_ENDS} SELECT side, node_id FROM ends WHERE {_there('node_id')} GROUP BY side, node_id HAVING count(*) * 50 >= (SELECT count(*) FROM graph_edges)",
     "p4_nodes": f"""WITH {_ENDS}, t AS (SELECT side, node_id, coalesce(rel_type, '') AS rel_type, count(*) AS n, min(loaded_at) AS a, max(loaded_at) AS b FROM ends GROUP BY ALL)
