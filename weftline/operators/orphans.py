@@ -121,5 +121,8 @@ def orphans(refs: DataFrame, parents: DataFrame, per_range: int = 1 << 16, per_b
     small = F.broadcast(sizes)  # at most max_ranges rows of two ints
     r = r.join(small, "rng").withColumn("batch", F.pmod(F.xxhash64("ref_id", "side"), F.col("batches")).cast("int")).drop("batches").withColumn("h", F.xxhash64("key"))
     p = store.join(small, "rng").select("rng", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "entries")
+    # As many partitions as batches, whatever the session's default: a task holds few of them.
+    tasks = min(max(1, sum(batches.values())), max_ranges)
+    r, p = r.repartition(tasks, "rng", "batch"), p.repartition(tasks, "rng", "batch")
     kind = refs.schema["ref_id"].dataType.simpleString()
     return r.groupBy("rng", "batch").cogroup(p.groupBy("rng", "batch")).applyInArrow(_probe, f"ref_id {kind}, side string, kind string, at long")
