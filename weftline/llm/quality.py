@@ -210,7 +210,8 @@ def _judge_stretch(lines: list[str], ws_of: list[list[str]], hits: list[int], ma
             j += 1
         block = range(i, j)
         loose = [k for k in block if not _END.search(lines[k]) and len(ws_of[k]) <= 10]
-        filled = sum(len(lines[k]) + 1 + len((lines[k + 1].split() or [""])[0]) > 0.92 * width for k in range(i, j - 1))
+        # Narrow columns of words are no wrapped text.
+        filled = sum(len(lines[k]) + 1 + len((lines[k + 1].split() or [""])[0]) > 0.92 * width for k in range(i, j - 1)) if width >= 40 else 0
         n = sum(len(ws_of[k]) for k in block)
         share = sum(hits[k] for k in block) / n if n else 0.0
         listed = j - i >= 3 and len(loose) >= 0.8 * (j - i) and filled <= 0.5 * (j - i - 1) and share < 0.25
