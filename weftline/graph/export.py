@@ -16,9 +16,10 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def wide_nodes(nodes: DataFrame, node_type: str, properties: list[str]) -> DataFrame:
-    """One row per node of a type: id, then its properties in sorted order, first values."""
+    """One row per node of a type: id, then its properties in sorted order, first values. A
+    property that is itself called id gives way to the node's id."""
     t = nodes.where(F.col("node_type") == node_type)
-    return t.select("id", *[F.try_element_at(F.col("props")[p], F.lit(1)).alias(p) for p in sorted(properties)])
+    return t.select("id", *[F.try_element_at(F.col("props")[p], F.lit(1)).alias(p) for p in sorted(properties) if p.lower() != "id"])
 
 
 def property_names(nodes: DataFrame) -> dict[str, list[str]]:
@@ -49,7 +50,7 @@ def cypher_script(node_props: dict[str, list[str]], relations: dict[str, tuple[s
     out += [f"CREATE INDEX ON :{q(t)}(id);" for t in sorted(node_props)]
     out.append("\n// nodes")
     for t in sorted(node_props):
-        fields = ", ".join(f"{q(p)}: row.{q(p)}" for p in ["id", *sorted(node_props[t])])
+        fields = ", ".join(f"{q(p)}: row.{q(p)}" for p in ["id", *(p for p in sorted(node_props[t]) if p.lower() != "id")])
         out.append(f'LOAD CSV FROM "{folder}/nodes_{t}.csv" WITH HEADER AS row CREATE (:{q(t)} {{{fields}}});')
     out.append("\n// edges")
     for r in sorted(relations):
