@@ -267,7 +267,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
         x = with_runs.mapInArrow(search, "doc_id long, item_id long")
         out = x if out is None else out.unionByName(x)
     if out is None:
-        return docs.select(F.col("doc_id").cast("long")).crossJoin(items.select(F.col("item_id").cast("long")).limit(0)).limit(0)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id")).limit(0)
     return out.distinct()
 
 

@@ -41,7 +41,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def article_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(basket, item) of both tables, and all articles (basket)."""
-    item = lambda c: F.regexp_replace(F.upper(strip(c)), "^MESH:", "")
+    item = lambda c: F.regexp_replace(F.upper(strip(c)), "^MESH:\\s*", "")
     a = table(spark, d, "pmid_mesh").select(F.col("pmid").alias("basket"), item("mesh_id").alias("item"))
     numbers = F.regexp_extract_all("PubMedIDs", F.lit("([0-9]+)"), F.lit(1))
     b = table(spark, d, "ctd_interactions").select(F.explode(numbers).alias("basket"), item("ChemicalID").alias("item")).select(F.expr("try_cast(basket AS bigint)").alias("basket"), "item")
@@ -112,7 +112,7 @@ low AS (SELECT key, min(node) AS a FROM member GROUP BY key), half AS (SELECT a,
 link AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
 reach AS (SELECT DISTINCT mondo_id AS node, mondo_id AS other FROM disease_nodes WHERE mondo_id IS NOT NULL UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.other)"""
 
-_ITEM = "regexp_replace(upper(trim({c}, E' \\t\\n\\r')), '^MESH:', '')"
+_ITEM = "regexp_replace(upper(trim({c}, E' \\t\\n\\r')), '^MESH:\\s*', '')"
 _OCC = f"""raw AS (SELECT pmid AS basket, {_ITEM.format(c='mesh_id')} AS item FROM pmid_mesh
   UNION ALL SELECT try_cast(b AS BIGINT), item FROM (SELECT unnest(regexp_extract_all(PubMedIDs, '[0-9]+')) AS b, {_ITEM.format(c='ChemicalID')} AS item FROM ctd_interactions)),
 occ AS (SELECT DISTINCT basket, item FROM raw WHERE basket IS NOT NULL AND item <> ''),
