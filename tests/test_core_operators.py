@@ -15,7 +15,6 @@ from weftline.operators.skew import count_rows, heavy_keys, max_of, min_of, salt
 def test_salted_equals_group_by_with_a_hot_key(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None, i % 4, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, key string, kind int, v long").withColumn("salts", F.lit("a column of the caller"))
-    df = df.drop("salts")
     heavy = heavy_keys(df, ["key"], F.col("id"), 0.05)
     assert "hot" in {r.key for r in heavy.collect()} and heavy.count() <= 20
     got = salted_aggregate(df, ["key"], F.col("id"), [count_rows("n"), sum_of("s", "v"), min_of("a", "v"), max_of("b", "v")], within=["kind"])

@@ -14,7 +14,7 @@ def test_every_sql_has_its_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["slim_terms", "keep_first", "edge_resolution", "merge_upsert", "nested_cross", "p99_outliers", "p4_nodes", "p5_found", "p5_profile", "p6_found", "p7_found"])
+@pytest.mark.parametrize("name", ["slim_terms", "keep_first", "edge_resolution", "merge_upsert", "nested_cross", "degree_outliers", "p4_nodes", "p5_found", "p5_profile", "p6_found", "p7_found"])
 def test_query_equals_sql(spark, name):
     df = entry.queries()[name](spark, SMALL)
     cols = sorted(df.columns)

@@ -37,10 +37,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], identity: Column, heavy_share
 
 
 def with_salt(df: DataFrame, keys: Sequence[str], identity: Column, heavy: DataFrame) -> DataFrame:
-    """df with a column ``_salt``: 0 for ordinary keys (null keys too), a stable
+    """df with a column ``__salt``: 0 for ordinary keys (null keys too), a stable
     spread over 0..salts-1 for heavy ones."""
-    h = F.broadcast(heavy)  # at most 1/heavy_share rows
-    return df.join(h, list(keys), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(identity), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    h = F.broadcast(heavy.withColumnRenamed("salts", "__salts"))  # at most 1/heavy_share rows
+    return df.join(h, list(keys), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(identity), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,6 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], identity: Column, measu
     empty result. Other columns of df are ignored.
     """
     salted = with_salt(df, keys, identity, heavy_keys(df, keys, identity, heavy_share))
-    part = salted.groupBy(*keys, *within, "_salt").agg(*[m.part.alias(m.name) for m in measures])
+    part = salted.groupBy(*keys, *within, "__salt").agg(*[m.part.alias(m.name) for m in measures])
     # Partitioned by the keys alone, so that results per key can follow without another exchange.
     return part.repartition(*keys).groupBy(*keys, *within).agg(*[m.merge(m.name).alias(m.name) for m in measures])

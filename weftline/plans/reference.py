@@ -373,17 +373,15 @@ def dup_edge_rate(s, d):
 
 
 @query(f"WITH {_TRADE_EDGES}, q AS (SELECT quantile_cont(degree, 0.99) AS p99 FROM deg) SELECT round(p99, 6) AS p99, (SELECT count(*) FROM deg WHERE degree > p99) AS n_above FROM q")
-def p99_outliers(s, d):
+def degree_outliers(s, d):
     return gm.degree_outliers(trade_edges(s, d)).withColumn("p99", F.round("p99", 6))
 
 
-_COMP = """w AS (SELECT 'd' || doc_id AS a, 't' || topic_id AS b FROM documents WHERE topic_id IS NOT NULL AND doc_id % 3 = 0), l AS (SELECT a, b FROM w UNION SELECT b, a FROM w)"""
-
-
-@query(f"WITH RECURSIVE {_TRADE_EDGES.split(',' + chr(10) + 'v AS')[0]}, l AS (SELECT start_id AS a, end_id AS b FROM e WHERE rel_type IN ('inNation', 'inRegion') UNION SELECT end_id, start_id FROM e WHERE rel_type IN ('inNation', 'inRegion')), r AS (SELECT a AS node, a AS m FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.m), c AS (SELECT node, min(m) AS component FROM r GROUP BY node), g AS (SELECT component, count(*) AS n FROM c GROUP BY component) SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest, round(max(n) / sum(n), 6) AS largest_fraction FROM g")
+@query(f"""WITH RECURSIVE {_TRADE_EDGES}, l AS (SELECT DISTINCT start_id AS a, end_id AS b FROM e UNION SELECT end_id, start_id FROM e),
+cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a AS id, a AS comp FROM l UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc AS u, l, cc AS v WHERE l.a = u.id AND l.b = v.id AND v.comp < u.comp ORDER BY u.id, v.comp)),
+g AS (SELECT comp, count(*) AS n FROM cc GROUP BY comp) SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest, round(max(n) / sum(n), 6) AS largest_fraction FROM g""")
 def components(s, d):
-    e = trade_edges(s, d).where(F.col("rel_type").isin("inNation", "inRegion"))
-    return algo.component_summary(e).withColumn("largest_fraction", F.round("largest_fraction", 6))
+    return algo.component_summary(trade_edges(s, d)).withColumn("largest_fraction", F.round("largest_fraction", 6))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst FROM nation UNION SELECT 'nation_' || c_nationkey, 'customer_' || c_custkey FROM customer UNION SELECT 'customer_' || o_custkey, 'order_' || o_orderkey FROM orders),
@@ -417,9 +415,6 @@ def endpoint_filter(s, d):
     return gm.edge_counts(e.join(starts, "start_id", "left_semi").join(v.select(F.col("id").alias("end_id")), "end_id", "left_semi"))
 
 
-_TRIPLE = "t AS (SELECT 'http://ex.org/kg#' || id AS s, 'type' AS p, node_type AS o FROM graph_nodes)"
-
-
 def graph_triples(s, d):
     """graph_nodes and graph_edges as triples, the shape of a loaded ontology."""
     base = "http://ex.org/kg#"
@@ -498,12 +493,12 @@ def merge_match_rate(s, d):
     return gm.match_rate(table(s, d, "documents"), "doc_id", table(s, d, "doc_labels").select("doc_id")).select(F.round("match_rate", 6).alias("match_rate"))
 
 
-@query("WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY 1) SELECT event_type, a.n, coalesce(b.n, 0) AS n_before, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b USING (event_type)")
+@query("WITH a AS (SELECT type_of_gene, count(*) AS n FROM genes GROUP BY 1), b AS (SELECT type_of_gene, count(*) AS n FROM genes WHERE load_no <= 4 GROUP BY 1) SELECT type_of_gene, a.n, coalesce(b.n, 0) AS n_before, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b USING (type_of_gene)")
 def count_delta(s, d):
-    e = table(s, d, "events")
-    c = lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    # Two loads of one table: even and odd events stand for the runs that are compared.
-    return gm.count_deltas(c(e.where("event_id % 2 = 0")), c(e.where("event_id % 2 = 1 and event_type <> 'click'")), "event_type")
+    """The table now against the table as it was after its fourth load."""
+    g = table(s, d, "genes")
+    c = lambda df: df.groupBy("type_of_gene").agg(F.count(F.lit(1)).alias("n"))
+    return gm.count_deltas(c(g), c(g.where("load_no <= 4")), "type_of_gene")
 
 
 @query("SELECT count(*) AS n_values, coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS n_pairs FROM (SELECT source_key, count(DISTINCT id) AS n FROM graph_nodes WHERE trim(source_key) <> '' GROUP BY 1) WHERE n > 1")
@@ -596,13 +591,13 @@ def gene_secondary_entries(s, d):
     return g.select("row_id", "GeneID", sec.alias("secondary"))
 
 
-_MED = """doc AS (SELECT DISTINCT pmid AS doc, upper(trim(mesh_id)) AS m, entity_kind FROM pmid_mesh WHERE mesh_id IS NOT NULL AND mesh_id NOT LIKE 'MESH:%' AND pmid IS NOT NULL), src AS (SELECT doc, m FROM doc WHERE entity_kind = 'symptom'), tgt AS (SELECT doc, m FROM doc WHERE entity_kind = 'anatomy'),
+_MED = """doc AS (SELECT DISTINCT pmid AS doc, regexp_replace(upper(trim(mesh_id)), '^MESH:', '') AS m, entity_kind FROM pmid_mesh WHERE mesh_id IS NOT NULL AND pmid IS NOT NULL), src AS (SELECT doc, m FROM doc WHERE entity_kind = 'symptom'), tgt AS (SELECT doc, m FROM doc WHERE entity_kind = 'anatomy'),
 corp AS (SELECT count(*) AS corpus FROM (SELECT DISTINCT doc FROM src INTERSECT SELECT DISTINCT doc FROM tgt)), ns AS (SELECT m, count(*) AS n FROM src GROUP BY m), nt AS (SELECT m, count(*) AS n FROM tgt GROUP BY m),
 pr AS (SELECT s.m AS source_id, t.m AS target_id, count(*) AS a FROM src s JOIN tgt t USING (doc) GROUP BY ALL)"""
 
 
 @query(f"WITH {_MED} SELECT source_id, target_id, a AS cooccurrence, round(a * corpus / (x.n * y.n), 4) AS enrichment FROM pr JOIN ns x ON x.m = source_id JOIN nt y ON y.m = target_id, corp")
 def article_cooccurrence(s, d):
-    t = table(s, d, "pmid_mesh").where("mesh_id is not null and mesh_id not like 'MESH:%'").select(F.col("pmid").alias("doc"), F.upper(F.trim("mesh_id")).alias("m"), "entity_kind")
+    t = table(s, d, "pmid_mesh").where("mesh_id is not null").select(F.col("pmid").alias("doc"), F.regexp_replace(F.upper(F.trim("mesh_id")), "^MESH:", "").alias("m"), "entity_kind")
     a, b = t.where("entity_kind = 'symptom'").select(F.col("m").alias("source_id"), "doc"), t.where("entity_kind = 'anatomy'").select(F.col("m").alias("target_id"), "doc")
     return enrichment.pair_statistics(a, b, enrichment.corpus_size(a, b)).select("source_id", "target_id", "cooccurrence", "enrichment")
