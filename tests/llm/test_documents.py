@@ -54,6 +54,37 @@ def test_paraphrases(spark):
     assert got == {(0, 0), (3, 0)}
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for j, y in enumerate(b, 1):
+            row.append(old[j - 1] + 1 if x == y else max(old[j], row[-1]))
+    return row[-1]
+
+
+def test_paraphrases_of_a_vocabulary_far_above_the_rank(spark):
+    rng = random.Random(3)
+    qs = [[f"t{i}q{k}" if k % 3 else f"shared{rng.randrange(400)}" for k in range(60)] for i in range(40)]
+    texts = []
+    for i in range(12):
+        part = qs[i][(at := rng.randrange(30)) : at + 26]
+        for k in rng.sample(range(26), i % 6):
+            part[k] = f"new{k}"
+        texts.append([f"pad{k}" for k in range(rng.randrange(40))] + part + ["after"] * rng.randrange(40))
+    texts += [[f"pad{k}" for k in range(80)], [f"shared{rng.randrange(400)}" for _ in range(80)]]
+    assert len({x for q in qs for x in q}) > 20 * 48
+    starts = lambda n, step: sorted({*range(0, n - 23, step), n - 24})
+    want = set()
+    for d, t in enumerate(texts):
+        for i, q in enumerate(qs):
+            # All words with a digit are telling, so the answer share is that of the words in common.
+            if any(subsequence(t[a : a + 24], q[b : b + 24]) >= 12 for b in starts(len(q), 12) for a in starts(len(t), 1)):
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in leak.paraphrases(docs(spark, [" ".join(t) for t in texts]), items(spark, [" ".join(q) for q in qs])).collect()}
+    assert len(want) >= 10 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "s", "Hello world, hello."), (2, None, None), (3, "s", ""), (4, "s", "é" * 10_000), (5, "s", "<|endoftext|>")], "doc_id long, source string, text string")
     n = {r.doc_id: r.n_tokens for r in tokens.with_token_counts(df).collect()}

@@ -271,24 +271,31 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
     return out.distinct()
 
 
-def _lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return int(row[-1])
+def _lcs(same: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs. ``same[i, j, p]``: word i
+    of the one and word j of the other passage of pair p are equal."""
+    row = np.zeros((same.shape[1] + 1, same.shape[2]), dtype=np.int16)
+    for line in same:
+        before = row[0]
+        for j, eq in enumerate(line, 1):
+            up = row[j].copy()
+            np.maximum(np.maximum(up, row[j - 1]), before + eq, out=row[j])
+            before = up
+    return row[-1]
 
 
 def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int = 12, rank: int = 48, min_cosine: float = 0.6, min_lcs: float = 0.5, min_answer: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share): per document and item the best
     pair of passages that passes all three thresholds.
 
-    Passages are windows of ``window`` words every ``stride`` words (shorter texts
-    are one passage; a last window reaches the end). Unknown words of a document
-    count in its vector's length. lcs_share is the longest common subsequence
-    over the item passage's words, answer_share the part of the item passage's
-    telling words found in the document passage: words with a digit and the
-    quarter with the highest idf.
+    Passages are windows of ``window`` words: of items every ``stride`` words (a last
+    window reaches the end), of documents every word, so that no copy lies between
+    two windows; shorter texts are one passage. Both passages are projected and then
+    scaled to unit length, so the cosine is that of the latent space; it says nothing
+    of words that no item has, which the other two thresholds see. lcs_share is the
+    longest common subsequence over the item passage's words, answer_share the part
+    of the item passage's telling words found in the document passage: words with a
+    digit and the quarter with the highest idf.
     """
     spark = docs.sparkSession
     out = None
@@ -299,53 +306,74 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
             telling[i] = any(c.isdigit() for c in x)
         telling |= m.idf >= np.quantile(m.idf, 0.75)
         ps = [(item, w[i : i + window]) for item, w in block.items for i in _starts(len(w), window, stride)]
-        length = lambda w: float(np.sqrt((np.bincount(w, minlength=1)[np.unique(w)] ** 2 * m.idf[np.unique(w)] ** 2).sum()))  # noqa: E731, B023
-        qv = np.stack([m.weights[w].sum(axis=0) / length(w) for _, w in ps]).astype(np.float32)
-        q = spark.sparkContext.broadcast((block.vocabulary, m.weights, m.idf, telling, qv.T.copy(), ps))  # bounded by block_words
+        owner, size = np.array([item for item, _ in ps]), np.array([len(w) for _, w in ps])
+        padded = np.stack([np.pad(w, (0, window - len(w)), constant_values=-2) for _, w in ps])
+        told = np.where(padded >= 0, telling[padded], False)
+        # The last row is the unknown word, -1.
+        weights = np.concatenate([m.weights, np.zeros((1, m.weights.shape[1]))])
+        qt = np.concatenate([_project(w, weights, len(w)) for _, w in ps]).T.copy()
+        q = spark.sparkContext.broadcast((block.vocabulary, weights, qt, owner, size, padded, told))  # bounded by block_words
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, idf, telling, qt, ps = q.value
-            top = float(idf.max())
+            vocabulary, weights, qt, owner, size, padded, told = q.value
+            get = vocabulary.get
+            # A common subsequence is no longer than the known words of a window.
+            least = min_lcs * size.min() - 1e-9
             for b in batches:
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                held: list[tuple[int, np.ndarray]] = []
+                wins: list[np.ndarray] = []
                 vecs: list[np.ndarray] = []
+                of: list[np.ndarray] = []
+
+                def check(doc: np.ndarray, w: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
+                    same = w.T[:, None, :] == padded[j].T[None, :, :]
+                    seen, t = same.any(axis=0).T, told[j]
+                    n = t.sum(axis=1)
+                    answer = np.where(n > 0, (seen & t).sum(axis=1) / np.maximum(n, 1), 1.0)
+                    # Words in common bound the subsequence.
+                    ok = np.flatnonzero((answer >= min_answer) & (seen.sum(axis=1) / size[j] >= min_lcs))
+                    lcs = _lcs(same[:, :, ok]) / size[j[ok]]
+                    ok, lcs = ok[lcs >= min_lcs], lcs[lcs >= min_lcs]
+                    for d, i, *x in zip(doc[ok].tolist(), owner[j[ok]].tolist(), lcs.round(6).tolist(), cosine[ok].astype(float).round(6).tolist(), answer[ok].round(6).tolist(), strict=True):
+                        if tuple(x) > best.get((d, i), (-1.0,)):  # noqa: B023
+                            best[d, i] = tuple(x)  # noqa: B023
 
                 def flush() -> None:
-                    if not held:
-                        return
-                    s = np.stack(vecs).astype(np.float32) @ qt  # noqa: B023
-                    for i, j in zip(*np.nonzero(s >= min_cosine), strict=True):
-                        doc, w = held[i]  # noqa: B023
-                        item, x = ps[j]
-                        key, t = (doc, item), x[telling[x]]
-                        answer = float(np.isin(t, w).mean()) if len(t) else 1.0
-                        if answer < min_answer:
-                            continue
-                        lcs = _lcs(w, x) / len(x)
-                        if lcs >= min_lcs and (round(lcs, 6), round(float(s[i, j]), 6)) > best.get(key, (0.0, 0.0, 0.0))[:2]:  # noqa: B023
-                            best[key] = (round(lcs, 6), round(float(s[i, j]), 6), round(answer, 6))  # noqa: B023
-                    held.clear()  # noqa: B023
-                    vecs.clear()  # noqa: B023
+                    doc, w, v = np.concatenate(of), np.concatenate(wins), np.concatenate(vecs)  # noqa: B023
+                    for k in range(0, len(v), 1024):
+                        s = v[k : k + 1024] @ qt
+                        i, j = np.nonzero(s >= min_cosine)
+                        for c in range(0, len(i), 8192):
+                            x, y = i[c : c + 8192], j[c : c + 8192]
+                            check(doc[k + x], w[k + x], y, s[x, y])
+                    for x in (of, wins, vecs):  # noqa: B023
+                        x.clear()
 
+                held = 0
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    ids = np.fromiter((vocabulary.get(x, -1) for x in words(text)), dtype=np.int32)
-                    for i in _starts(len(ids), window, stride):
-                        w = ids[i : i + window]
-                        k = w[w >= 0]
-                        if len(k) < 4:
-                            continue
-                        u, c = np.unique(k, return_counts=True)
-                        norm = np.sqrt(((c * idf[u]) ** 2).sum() + (len(w) - len(k)) * top**2)
-                        held.append((doc, w))
-                        vecs.append((weights[u] * c[:, None]).sum(axis=0) / norm)
-                        if len(held) >= 512:
-                            flush()
-                flush()
+                    ids = np.array(list(map(get, words(text), repeat(-1))), dtype=np.int32)
+                    if not len(ids):
+                        continue
+                    long = min(window, len(ids))
+                    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+                    at = np.flatnonzero(known[long:] - known[:-long] >= least)
+                    if not len(at):
+                        continue
+                    w = np.full((len(at), window), -3, dtype=np.int32)
+                    w[:, :long] = _windows(ids, long)[at]
+                    wins.append(w)
+                    vecs.append(_project(ids, weights, long)[at])
+                    of.append(np.full(len(at), doc))
+                    held += len(at)
+                    if held >= 4096:
+                        flush()
+                        held = 0
+                if held:
+                    flush()
                 a = sorted(best.items())
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in a], pa.int64()), pa.array([k[1] for k, _ in a], pa.int64()), *[pa.array([v[i] for _, v in a], pa.float64()) for i in (1, 0, 2)]], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        x = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        x = docs.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism * 2, "doc_id").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = x if out is None else out.unionByName(x)
     if out is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), *[F.lit(0.0).alias(c) for c in ("cosine", "lcs_share", "answer_share")]).limit(0)
