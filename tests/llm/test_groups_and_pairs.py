@@ -3,6 +3,7 @@ from math import log2
 
 import pytest
 
+from weftline.llm import queries
 from weftline.llm.components import group_matches, star_pairs
 from weftline.llm.cooccurrence import associations, pair_counts
 
@@ -77,3 +78,13 @@ def test_associations(spark):
     for r in got:
         assert r.pmi == pytest.approx(log2(r.n01 * n / (r.n0 * r.n1)))
     assert associations(df.limit(0), 0).count() == 0
+
+
+def test_every_pair_of_items_is_reported(spark, tmp_path):
+    mesh = [(1, "MESH:d1"), (1, "D2"), (2, " D1 "), (2, "D2"), (2, "D3"), (3, "D3"), (4, None)]
+    spark.createDataFrame(mesh, "pmid long, mesh_id string").write.parquet(f"{tmp_path}/pmid_mesh.parquet")
+    spark.createDataFrame([("C9", "3|5"), ("D1", None)], "ChemicalID string, PubMedIDs string").write.parquet(f"{tmp_path}/ctd_interactions.parquet")
+    got = {(r.mesh_id_0, r.mesh_id_1): (r.n0, r.n1, r.n01, r.lift) for r in queries.QUERIES["p3_all"](spark, str(tmp_path)).collect()}
+    # Five articles, among them one without an item.
+    assert got == {("D1", "D2"): (2, 2, 2, 2.5), ("D1", "D3"): (2, 2, 1, 1.25), ("D2", "D3"): (2, 2, 1, 1.25), ("C9", "D3"): (2, 2, 1, 1.25)}
+    assert queries.QUERIES["p3_pairs"](spark, str(tmp_path)).count() == 0

@@ -49,12 +49,22 @@ def article_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return both.where("item <> ''"), both.select("basket").where("basket is not null").distinct()
 
 
-def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+def item_pairs(spark: SparkSession, d: str, min_together: int, min_lift: float) -> DataFrame:
     items, articles = article_items(spark, d)
-    x = cooccurrence.associations(items, articles.count(), min_together=5, min_lift=5.0)
+    x = cooccurrence.associations(items, articles.count(), min_together, min_lift)
     return x.select(F.col("item0").alias("mesh_id_0"), F.col("item1").alias("mesh_id_1"), "n0", "n1", "n01", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
+def p3_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of items that share an article."""
+    return item_pairs(spark, d, min_together=1, min_lift=0.0)
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found with their figures."""
+    return item_pairs(spark, d, min_together=5, min_lift=5.0)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).select("mesh_id_0", "mesh_id_1")
 
@@ -97,7 +107,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pairs": p3_pairs, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases,
+    "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_all": p3_all, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases,
     "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics,
 }
 
@@ -120,12 +130,16 @@ total AS (SELECT count(DISTINCT basket) AS n FROM raw), marg AS (SELECT item, co
 pairs AS (SELECT a.item AS mesh_id_0, b.item AS mesh_id_1, count(*) AS n01 FROM occ a JOIN occ b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL HAVING count(*) >= 5),
 found AS (SELECT mesh_id_0, mesh_id_1, x.c AS n0, y.c AS n1, n01, n FROM pairs JOIN marg x ON x.item = mesh_id_0 JOIN marg y ON y.item = mesh_id_1, total WHERE n01 * n >= 5 * x.c * y.c)"""
 
+_ALL = """every AS (SELECT a.item AS mesh_id_0, b.item AS mesh_id_1, count(*) AS n01 FROM occ a JOIN occ b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL),
+measured AS (SELECT mesh_id_0, mesh_id_1, x.c AS n0, y.c AS n1, n01, n FROM every JOIN marg x ON x.item = mesh_id_0 JOIN marg y ON y.item = mesh_id_1, total)"""
+
 _GRAM = "SELECT {k}, w[i:i + 11] AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, regexp_extract_all(strip_accents(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g'))), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 12)"
 
 SQL = {
     "p2_groups": f"WITH RECURSIVE {_GROUPS} SELECT node AS mondo_id, min(other) AS group_id FROM reach GROUP BY node",
     "p2_found": f"WITH RECURSIVE {_GROUPS} SELECT node AS mondo_id, min(other) AS group_id FROM reach GROUP BY node HAVING count(*) > 1",
     "p3_pairs": f"WITH {_OCC} SELECT mesh_id_0, mesh_id_1, n0, n1, n01, round(n01 * n / (n0 * n1), 6) AS lift, round(log2(n01 * n / (n0 * n1)), 6) AS pmi FROM found",
+    "p3_all": f"WITH {_OCC}, {_ALL} SELECT mesh_id_0, mesh_id_1, n0, n1, n01, round(n01 * n / (n0 * n1), 6) AS lift, round(log2(n01 * n / (n0 * n1)), 6) AS pmi FROM measured",
     "p3_found": f"WITH {_OCC} SELECT mesh_id_0, mesh_id_1 FROM found",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAM.format(k='doc_id', t='documents')}) JOIN ({_GRAM.format(k='item_id', t='eval_items')}) USING (g)",
 }
