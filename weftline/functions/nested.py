@@ -26,7 +26,12 @@ def key_values(c: Column | str, outer: str = "|", inner: str = ":") -> Column:
     """map<string, string> of key:value entries cut at the first ``inner``; the last entry of
     a key wins; entries without ``inner`` or without key, and "-" for missing, are left out."""
     x = strip(c)
-    entries = F.filter(split_list(F.when(x != "-", x), outer), lambda e: F.instr(e, inner) > 1)
+    return entry_map(split_list(F.when(x != "-", x), outer), inner)
+
+
+def entry_map(entries: Column, inner: str = ":") -> Column:
+    """key_values of entries that are parted already."""
+    entries = F.filter(entries, lambda e: F.instr(e, inner) > 1)
     pairs = F.transform(entries, lambda e: F.struct(strip(F.substring_index(e, inner, 1)).alias("key"), strip(F.substring(e, F.instr(e, inner) + len(inner), F.length(e))).alias("value")))
     pairs = F.filter(pairs, lambda p: p["key"] != "")
     return last_wins(pairs)

@@ -15,6 +15,7 @@ from weftline.metrics import graph as gm
 from weftline.metrics import tables as tm
 from weftline.operators import enrichment, rows
 from weftline.operators.hierarchy import hierarchy
+from weftline.operators.peg import XREFS, split_values
 from weftline.plans.tables import table
 from weftline.storage import cut
 from weftline.streaming import logs
@@ -215,6 +216,17 @@ def kv_map_expand(s, d):
     return g.select("row_id", "GeneID", F.col("m")["HGNC"].alias("hgnc"), F.col("m")["MIM"].alias("mim"))
 
 
+_XREFS = "list_filter(regexp_extract_all(dbXrefs, '[\\p{L}\\p{M}\\p{N}:./_\\-]+'), lambda e: contains(e, ':'))"
+
+
+@query(f"SELECT row_id, GeneID, list_last(list_transform(list_filter({_XREFS}, lambda e: e LIKE 'HGNC:%'), lambda e: e[6:])) AS hgnc, list_last(list_transform(list_filter({_XREFS}, lambda e: e LIKE 'MIM:%'), lambda e: e[5:])) AS mim FROM genes")
+def kv_map_expand_all(s, d):
+    """Every row, however its entries are parted."""
+    entries = F.transform(split_values("dbXrefs", XREFS), lambda v: v["value"])
+    g = table(s, d, "genes").select("row_id", "GeneID", n.entry_map(entries).alias("m"))
+    return g.select("row_id", "GeneID", F.col("m")["HGNC"].alias("hgnc"), F.col("m")["MIM"].alias("mim"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
