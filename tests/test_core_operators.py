@@ -102,3 +102,34 @@ def test_flags_and_other_grammars(spark):
     df = spark.createDataFrame([('"MIM:1|HGNC:HGNC:2", x Ensembl:E.1', "PMID:12; 34,12", "[a; b]|c")], "x string, n string, l string")
     r = df.select(*[F.transform(peg.split_values(c, g), lambda v: v["value"]).alias(c) for c, g in (("x", peg.XREFS), ("n", peg.NUMBERS), ("l", peg.LISTS))]).first()
     assert (list(r.x), list(r.n), list(r.l)) == (["MIM:1", "HGNC:HGNC:2", "Ensembl:E.1"], ["12", "34", "12"], ["a; b", "c"])
+
+
+def test_loads_with_other_values_of_like_number_and_length(spark):
+    rng = random.Random(9)
+    rows = [(load, rng.choice("ABCD") if load != 3 else rng.choice("WXYZ"), f"{rng.randrange(10**6):06d}" if load != 5 else "".join(rng.choice("abcdef") for _ in range(6)), rng.choice(["p", "q"])) for load in range(1, 9) for _ in range(60)]
+    df = spark.createDataFrame(rows, "load_no int, kind string, id string, same string")
+    store = pf.load_store({"t": (df, df.columns)}, by_load=True)
+    counts = store.read()
+    assert spark.read.parquet(store.path).count() == counts.count()
+    kinds = ["nulls", "length", "repeats"]
+    assert pf.unusual_loads(counts.where("column_name <> 'same'"), {k: [("t", "kind"), ("t", "id")] for k in kinds[:2]}).count() == 0
+    assert {(r.column_name, r.kind, r.load_no) for r in pf.different_loads(pf.load_distances(counts)).collect()} == {("kind", "values", 3), ("id", "shapes", 5)}
+    d = {(r.column_name, r.load_no): r for r in pf.load_distances(counts).collect()}
+    assert d["kind", 3].value_distance == 1.0 and d["same", 1].value_distance < 0.2 and d["id", 1].shape_distance == pytest.approx(1 / 7, abs=1e-6)
+    p = {r.column_name: r for r in pf.column_profile(counts, {("t", "kind"): "[A-D]"}, {("t", "load_no")}).collect()}
+    assert p["kind"].n_format == 60 and p["id"].n_format is None and (p["load_no"].min_value, p["load_no"].max_value) == ("1", "8")
+    only = pf.load_store({"t": (df.where("load_no = 1"), ["kind"]), "u": (df.select("kind"), ["kind"])}, by_load=True).read()
+    assert [r.value_distance for r in pf.load_distances(only).collect()] == [None, None] and pf.different_loads(pf.load_distances(only)).count() == 0
+
+
+def test_every_column_of_the_node_tables_is_profiled(spark):
+    from weftline.plans.problems import QUERIES
+    from weftline.plans.tables import table
+
+    d = "/root/testdata/sf0.001"
+    want = {(t, c) for t in ("disease_nodes", "phenotype_nodes", "genes", "chemical_nodes", "graph_nodes") for c in table(spark, d, t).columns}
+    p = {(r.table_name, r.column_name): r for r in QUERIES["p5_columns"](spark, d).collect()}
+    assert set(p) == want and p["genes", "Symbol"].n_format is None and p["chemical_nodes", "inchikey"].n_format is not None
+    t = table(spark, d, "genes").agg(F.min("row_id"), F.max("row_id")).first()
+    assert (p["genes", "row_id"].min_value, p["genes", "row_id"].max_value) == (str(t[0]), str(t[1]))
+    assert {(r.table_name, r.column_name) for r in QUERIES["p5_distances"](spark, d).select("table_name", "column_name").distinct().collect()} == want

@@ -14,23 +14,25 @@ that fills a third of a column is a few rows per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.functions.text import is_blank
-from weftline.storage import scratch_path
+from weftline.storage import cut, scratch_path
 
 SCHEMA = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("load_no", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("n", T.LongType())])
 
 
-def value_counts(df: DataFrame, table_name: str, columns: Sequence[str], load: str = "load_no") -> DataFrame:
-    """The counts of one table's rows, one scan for all columns."""
+def value_counts(df: DataFrame, table_name: str, columns: Sequence[str], load: str | None = "load_no") -> DataFrame:
+    """The counts of one table's rows, one scan for all columns. ``load`` None: the
+    table has no deliveries, and load_no is null."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
     return (
-        df.select(F.col(load).cast("int").alias("load_no"), F.explode(pairs).alias("p"))
+        df.select((F.col(load) if load else F.lit(None)).cast("int").alias("load_no"), F.explode(pairs).alias("p"))
         .groupBy("p.column_name", "load_no", "p.value").agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(table_name).alias("table_name"), "column_name", "load_no", "value", "n")
     )
@@ -60,10 +62,19 @@ class ValueCounts:
         return new
 
 
-def column_profile(counts: DataFrame, formats: dict[tuple[str, str], str] | None = None) -> DataFrame:
+def _among(columns: Collection[tuple[str, str]]) -> Column:
+    test = F.lit(False)
+    for t, c in columns:
+        test = test | ((F.col("table_name") == t) & (F.col("column_name") == c))
+    return test
+
+
+def column_profile(counts: DataFrame, formats: dict[tuple[str, str], str] | None = None, numbers: Collection[tuple[str, str]] = ()) -> DataFrame:
     """One row per table and column: rows, nulls (blank counts as null), distinct
     non-null values, least and greatest value, least and greatest length, entropy
-    in bits of the non-null values, and values (by row) that violate the format.
+    in bits of the non-null values, and values (by row) that violate the format,
+    null where the column has none. ``numbers``: columns of whole numbers, whose
+    least and greatest value go by number instead of by text.
 
     A column without any row has no profile row; one with only nulls has null
     ranges and entropy 0.
@@ -75,13 +86,16 @@ def column_profile(counts: DataFrame, formats: dict[tuple[str, str], str] | None
         bad = bad | ((F.col("table_name") == t) & (F.col("column_name") == c) & ~F.col("value").rlike(f"^(?:{pattern})\\z"))
     there = F.col("value").isNotNull()
     n = F.when(there, F.col("n")).otherwise(0)
+    number = F.when(_among(numbers), F.expr("try_cast(value AS bigint)"))
+    least, greatest = F.coalesce(F.min_by("value", number), F.min("value")), F.coalesce(F.max_by("value", number), F.max("value"))
+    checked = F.when(_among(formats or {}), F.col("n_format"))
     g = v.groupBy("table_name", "column_name").agg(
         F.sum("n").alias("n_rows"), F.sum(F.col("n") - n).alias("n_null"), F.count("value").alias("n_distinct"),
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"),
+        least.alias("min_value"), greatest.alias("max_value"), F.min(F.length("value")).alias("min_length"), F.max(F.length("value")).alias("max_length"),
         F.sum(F.when(there, F.col("n") * F.log2("n"))).alias("_nlogn"), F.sum(n).alias("_n"), F.sum(F.when(there & bad, F.col("n")).otherwise(0)).alias("n_format"))
     # H = log2 N - sum(n log2 n) / N
     entropy = F.when(F.col("_n") > 0, F.greatest(F.log2("_n") - F.col("_nlogn") / F.col("_n"), F.lit(0.0))).otherwise(0.0)
-    return g.select("table_name", "column_name", "n_rows", "n_null", (F.col("n_null") / F.col("n_rows")).alias("null_rate"), "n_distinct", "min_value", "max_value", "min_length", "max_length", entropy.alias("entropy_bits"), "n_format")
+    return g.select("table_name", "column_name", "n_rows", "n_null", (F.col("n_null") / F.col("n_rows")).alias("null_rate"), "n_distinct", "min_value", "max_value", "min_length", "max_length", entropy.alias("entropy_bits"), checked.alias("n_format"))
 
 
 def load_statistics(counts: DataFrame) -> DataFrame:
@@ -119,6 +133,58 @@ def unusual_loads(counts: DataFrame, kinds: dict[str, Sequence[tuple[str, str]]]
     return s.select("table_name", "column_name", "load_no", F.explode(F.array_compact(F.array(*found))).alias("kind")).select("table_name", "column_name", "kind", "load_no")
 
 
+def _distance(counts: DataFrame, of: Column, name: str) -> DataFrame:
+    """Per table, column and load, the share of the load's non-blank values that would have
+    to be others for ``of`` to be distributed as in all other loads together (total
+    variation, 0 to 1); null where there are no other loads."""
+    key, load = ["table_name", "column_name"], ["table_name", "column_name", "load_no"]
+    c = counts.where(~is_blank("value")).withColumn("of", of).groupBy(*load, "of").agg(F.sum("n").alias("n"))
+    # A value has one row per load, so windows stay small; so do those over loads.
+    c = c.withColumn("o", F.sum("n").over(Window.partitionBy(*key, "of")) - F.col("n"))
+    size = c.groupBy(*load).agg(F.sum("n").alias("size"))
+    size = size.withColumn("o_size", F.sum("size").over(Window.partitionBy(*key)) - F.col("size"))
+    same = F.sum(F.least(F.col("n") / F.col("size"), F.col("o") / F.nullif("o_size", F.lit(0))))
+    x = c.alias("c").join(size.alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in load])
+    return x.groupBy(*[F.col(f"c.{k}") for k in load]).agg(F.when(F.max("o_size") > 0, F.round(1 - same, 6)).alias(name))
+
+
+def load_distances(counts: DataFrame) -> DataFrame:
+    """load_statistics with the distances of the load's values and of their shapes (letters
+    and digits by kind, runs as one) from those of all other loads together."""
+    shape = F.col("value")
+    for pattern, mark in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"\p{N}+", "9")):
+        shape = F.regexp_replace(shape, pattern, mark)
+    # Texts of several words are all of a different shape; their first characters say what they are.
+    out = load_statistics(counts)
+    for of, name in ((F.col("value"), "value_distance"), (F.substring(shape, 1, 8), "shape_distance")):
+        d = _distance(counts, of, name).alias("d")
+        on = [F.col(f"x.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ("table_name", "column_name", "load_no")]
+        out = out.alias("x").join(d, on, "left").select("x.*", name)
+    return out
+
+
+def different_loads(distances: DataFrame, min_rows: int = 20, gap: float = 0.2, ratio: float = 1.5, repeat_ratio: float = 2.0) -> DataFrame:
+    """(table_name, column_name, kind, load_no) over every column: kinds nulls and length as
+    in unusual_loads; repeats only where the usual (median) load has fewer values per
+    distinct value; values and shapes where the distance is ``gap`` above that of the
+    usual load. In a column of ids every load has other values, and only shapes,
+    repeats, nulls and lengths can differ."""
+    s = distances.where(F.col("load_no").isNotNull() & (F.col("n") >= min_rows))
+    w = Window.partitionBy("table_name", "column_name")  # one row per load
+    per = F.when(F.col("distinct") > 0, F.col("there") / F.col("distinct"))
+    s = s.withColumn("per", per).withColumns({f"usual_{c}": F.median(c).over(w) for c in ("per", "value_distance", "shape_distance")})
+    mean, others = F.col("chars") * F.col("o_there"), F.col("o_chars") * F.col("there")
+    tests = {
+        "nulls": (F.col("o_n") > 0) & (F.abs(F.col("nulls") / F.col("n") - F.col("o_nulls") / F.nullif("o_n", F.lit(0))) >= gap - 1e-9),
+        "length": (F.col("there") > 0) & (F.col("o_there") > 0) & ((mean >= F.lit(ratio) * others) | (mean * F.lit(ratio) <= others)),
+        "repeats": (F.col("per") >= repeat_ratio) & (F.col("usual_per") < repeat_ratio),
+        "values": F.col("value_distance") - F.col("usual_value_distance") >= gap,
+        "shapes": F.col("shape_distance") - F.col("usual_shape_distance") >= gap,
+    }
+    found = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+    return s.select("table_name", "column_name", "load_no", F.explode(found).alias("kind")).select("table_name", "column_name", "kind", "load_no")
+
+
 def format_violations(counts: DataFrame, formats: dict[tuple[str, str], str]) -> DataFrame:
     """(table_name, column_name, value): maintained non-blank values that do not match
     their column's pattern as a whole. Each distinct value is tested once."""
@@ -129,13 +195,20 @@ def format_violations(counts: DataFrame, formats: dict[tuple[str, str], str]) ->
     return v.where(bad).distinct()
 
 
-def load_store(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str | None = None) -> ValueCounts:
-    """A store with one delta per table holding all its loads."""
+def load_store(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str | None = None, by_load: bool = False) -> ValueCounts:
+    """A store with one delta per table holding all its loads, or one per load. A table
+    without load_no is one delta."""
     spark = next(iter(tables.values()))[0].sparkSession
     store = ValueCounts(spark, path)
     for name, (df, cols) in tables.items():
-        store.apply(value_counts(df, name, cols))
+        counts = value_counts(df, name, cols, "load_no" if "load_no" in df.columns else None)
+        if not by_load:
+            store.apply(counts)
+            continue
+        counts = cut(counts, "load-counts")
+        for r in counts.select("load_no").distinct().collect():  # deliveries, a bounded few
+            store.apply(counts.where(F.col("load_no").eqNullSafe(F.lit(r.load_no))))
     return store
 
 
-__all__ = ["ValueCounts", "value_counts", "column_profile", "load_statistics", "unusual_loads", "format_violations", "load_store"]
+__all__ = ["ValueCounts", "value_counts", "column_profile", "load_statistics", "load_distances", "different_loads", "unusual_loads", "format_violations", "load_store"]

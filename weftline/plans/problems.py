@@ -9,7 +9,7 @@ from weftline.functions.text import is_blank, micros
 from weftline.operators import hierarchy as hi
 from weftline.operators.orphans import orphans
 from weftline.operators.peg import NUMBERS, SYNONYMS, XREFS, parse_flags, split_values
-from weftline.operators.profile import column_profile, format_violations, load_statistics, load_store, unusual_loads
+from weftline.operators.profile import column_profile, different_loads, format_violations, load_distances, load_statistics, load_store, unusual_loads
 from weftline.operators.skew import count_rows, max_of, min_of, salted_aggregate
 from weftline.plans.tables import table
 
@@ -134,7 +134,7 @@ def all_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     p = column_profile(all_counts(spark, d), FORMATS)
-    return p.withColumn("null_rate", F.round("null_rate", 6)).withColumn("entropy_bits", F.round("entropy_bits", 6))
+    return p.withColumn("null_rate", F.round("null_rate", 6)).withColumn("entropy_bits", F.round("entropy_bits", 6)).withColumn("n_format", F.coalesce("n_format", F.lit(0).cast("long")))
 
 
 def p5_loads(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +142,33 @@ def p5_loads(spark: SparkSession, d: str) -> DataFrame:
     return load_statistics(all_counts(spark, d))
 
 
+NODE_TABLES = (*PROFILED, "graph_nodes")
+
+
+def every_count(spark: SparkSession, d: str) -> tuple[DataFrame, set[tuple[str, str]]]:
+    """Counts of every column of the node tables, one delta per load, and the columns of numbers."""
+    tables = {t: table(spark, d, t) for t in NODE_TABLES}
+    numbers = {(t, c) for t, df in tables.items() for c, kind in df.dtypes if kind in ("int", "bigint")}
+    return load_store({t: (df, df.columns) for t, df in tables.items()}, by_load=True).read(), numbers
+
+
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of every node table; n_format is null where there is no pattern."""
+    counts, numbers = every_count(spark, d)
+    p = column_profile(counts, FORMATS, numbers)
+    return p.withColumn("null_rate", F.round("null_rate", 6)).withColumn("entropy_bits", F.round("entropy_bits", 6))
+
+
+def p5_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Every column and load of every node table beside the other loads."""
+    return load_distances(every_count(spark, d)[0])
+
+
+def p5_unusual(spark: SparkSession, d: str) -> DataFrame:
+    """Loads that differ, over every column. graph_nodes has no loads."""
+    return different_loads(p5_distances(spark, d))
+
+
 # 6: references of graph_edges to nodes that are not there
 
 
@@ -187,6 +214,6 @@ def p7_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {
-    "p4_found": p4_found, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_profile": p5_profile, "p5_loads": p5_loads,
+    "p4_found": p4_found, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_profile": p5_profile, "p5_loads": p5_loads, "p5_columns": p5_columns, "p5_distances": p5_distances, "p5_unusual": p5_unusual,
     "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_flags": p7_flags,
 }
