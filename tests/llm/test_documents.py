@@ -129,3 +129,17 @@ def test_kinds(spark):
     assert r.n_lines == 3 and r.ended_line_share == 1.0 and r.n_words == 78 and 0.3 < r.common_share < 0.7 and r.mean_word_length == pytest.approx(sum(map(len, PROSE.replace(",", "").replace(".", "").split())) / 26)
     assert got[5].delimiter_alignment == 1.0 and got[1].mark_share == 1.0 and got[15].n_words == 0
     assert quality.text_quality(df.limit(0), words).count() == 0
+
+
+def test_tables_padded_to_fixed_columns():
+    common = frozenset(COMMON)
+    rng = random.Random(6)
+    cell = lambda n: "".join(rng.choice("bdklmnrt") + rng.choice("aeiou") for _ in range(rng.randrange(2, n // 2 - 1)))
+    rows = [[cell(16), cell(20), cell(14), cell(10)] for _ in range(12)]
+    left = "\n".join("".join(c.ljust(n) for c, n in zip(r, (18, 22, 16, 10), strict=True)).rstrip() for r in rows)
+    right = "\n".join("".join(c.rjust(n) for c, n in zip(r, (18, 22, 16, 12), strict=True)) for r in rows)
+    for text in (left, right):
+        chars = quality.judge(text, common)[0]
+        assert max(chars, key=chars.get) == "table", chars
+    loose = "\n".join(f"The liver was {cell(16)} not read  and it {cell(12)} had to be  seen again in {cell(14)}" + ("." if i % 2 else "  for the spring.") for i in range(6))
+    assert quality.judge(loose, common)[0]["prose"] == sum(map(len, loose.split("\n")))

@@ -1,13 +1,14 @@
 """Per-document text statistics, and which documents are lists, tables or junk.
 
 A document is cut into lines, lines are joined into blocks, and every block is
-judged: tables by delimiters that stand in the same number (and order) down
-consecutive lines, lists by marks, keys and entries that do not fill the line,
+judged: tables by delimiters that stand in the same number (and order), or by
+gaps that begin or end in the same columns, down consecutive lines, lists by marks, keys and entries that do not fill the line,
 junk by what its characters and words are made of, prose by common words and
 sentences. The kind with most characters is the document's kind. Indentation
-periodicity and line-length autocorrelation are reported per document and
-support the judgement of lines without marks: wrapped prose fills its lines
-(each next word would not have fitted), entries do not.
+periodicity and line-length autocorrelation are only reported, per document:
+they mix the kinds of a mixed document, and lines without marks are judged one
+by one: wrapped prose fills its lines (each next word would not have fitted),
+entries do not.
 
 Everything is per document, in Arrow batches, in time linear in the text.
 """
@@ -88,10 +89,35 @@ def _period(indents: np.ndarray) -> int:
     return at if best > 0.4 else 0
 
 
+def _gaps(line: str) -> tuple[frozenset[int], frozenset[int]]:
+    """Columns in which the gaps of a line (two blanks or more, within it) begin, and end."""
+    found = [m.span() for m in _GAP.finditer(line.rstrip(), len(line) - len(line.lstrip()))] if "  " in line else []
+    return frozenset(a for a, _ in found), frozenset(b for _, b in found)
+
+
+def _aligned(lines: list[str], row: list[bool]) -> None:
+    """Marks runs of three or more lines whose gaps have two columns in common, at the
+    left (ends of gaps) or the right of cells, or one in four or more short lines."""
+    gaps = [_gaps(x) for x in lines]
+    if sum(bool(a) for a, _ in gaps) < 3:
+        return
+    for side in (0, 1):
+        for least, rows, width in ((2, 3, None), (1, 4, 40)):
+            i = 0
+            while i < len(lines):
+                same, j = gaps[i][side], i + 1
+                if len(same) >= least:
+                    while j < len(lines) and len(both := same & gaps[j][side]) >= least:
+                        same, j = both, j + 1
+                    if j - i >= rows and (width is None or all(len(x) < width for x in lines[i:j])):
+                        row[i:j] = [True] * (j - i)
+                i = j
+
+
 def _tables(lines: list[str]) -> tuple[list[bool], float]:
     """Which lines are rows of a table, and the share of lines so aligned: runs of three
     or more lines in which one delimiter occurs equally often (twice, or once in
-    short rows of single words)."""
+    short rows of single words), or whose gaps stand in the same columns."""
     cols = [_columns(x) for x in lines]
     row = [False] * len(lines)
     for k, d in enumerate(_DELIMS):
@@ -108,6 +134,7 @@ def _tables(lines: list[str]) -> tuple[list[bool], float]:
                     for x in range(i, j):
                         row[x] = True
             i = j
+    _aligned(lines, row)
     return row, sum(row) / len(lines) if lines else 0.0
 
 
