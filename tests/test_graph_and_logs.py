@@ -128,3 +128,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("usage").collect()} == batch
+
+
+def test_nodes_below_the_greatest_depth_are_an_error(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    with pytest.raises(RuntimeError, match="deeper than 2"):
+        algo.bfs_depth(e, "a", max_depth=2)
+    assert {tuple(r) for r in algo.bfs_depth(e, "a", max_depth=3).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,21 @@ from weftline.graph.components import min_label_components
 from weftline.storage import Scratch, cut
 
 
-def bfs_depth(edges: DataFrame, root: str, max_depth: int = 100) -> DataFrame:
+def bfs_depth(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """``edges(src, dst)`` -> ``(node, depth)`` of all nodes reachable from the root, by
-    levels: each level joins only its own frontier, and known nodes are dropped."""
+    levels: each level joins only its own frontier, and known nodes are dropped. With
+    ``max_depth``, nodes deeper than that are an error."""
     spark = edges.sparkSession
     e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "bfs-edges")
     frontier = Scratch(spark.createDataFrame([(root, 0)], "node string, depth int"), "bfs")
     seen = frontier.df
-    for level in range(1, max_depth + 1):
+    for level in itertools.count(1):
         nxt = e.join(frontier.df.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         frontier = Scratch(nxt.withColumn("depth", F.lit(level)), "bfs")
         if not frontier.df.take(1):
             break
+        if max_depth is not None and level > max_depth:
+            raise RuntimeError(f"nodes deeper than {max_depth} levels")
         seen = seen.unionByName(frontier.df)
         if level % 10 == 0:
             seen = cut(seen, "bfs-seen")

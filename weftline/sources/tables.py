@@ -169,7 +169,7 @@ def mondo(obo: DataFrame, scope: dict[str, list[str]] | None = None) -> dict[str
     return {"disease_nodes": _from(out, "MONDO")}
 
 
-def depth_below(obo: DataFrame, root: str, max_depth: int = 100) -> DataFrame:
+def depth_below(obo: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """(id, depth): fewest is_a steps down from the root, level by level."""
     from weftline.graph.algo import bfs_depth
 
