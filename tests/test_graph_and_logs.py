@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.graph import algo, build, export
 from weftline.graph.catalog import Catalog, violations
-from weftline.graph.components import min_label_components
+from weftline.graph.components import connected_components
 from weftline.graph.mapping import EdgeMapping, NodeMapping, active, parse_mappings, resolve_env, validate
 from weftline.metrics import graph as gm
 from weftline.metrics import tables as tm
@@ -81,11 +81,11 @@ def test_catalog(spark, tmp_path):
 
 def test_graph_measures(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("z", "z"), (None, "q")], "start_id string, end_id string")
-    assert {(r.node, r.component) for r in min_label_components(e.toDF("a", "b")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")}
+    assert {(r.node, r.component) for r in connected_components(e.toDF("a", "b")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")}
     assert {tuple(r) for r in algo.degrees(e.where("start_id = 'z'")).collect()} == {("z", 2)}
     d = algo.bfs_depth(e.toDF("src", "dst"), "a")
     assert {tuple(r) for r in d.collect()} == {("a", 0), ("b", 1), ("c", 2)}
-    assert algo.component_summary(e.limit(0)).first().n_nodes == 0
+    assert algo.component_summary(e.limit(0).selectExpr("start_id as id"), e.limit(0)).first().n_nodes == 0
     r = gm.duplicates(e.union(e), ["start_id", "end_id"]).first()
     assert (r.n_rows, r.n_duplicates, r.duplicate_rate) == (12, 6, 0.5)
     h = spark.createDataFrame([(1, 2), (1, 3), (1, 10)], "start_id int, end_id int")

@@ -77,6 +77,11 @@ def local_name(c: Column | str) -> Column:
     return F.when(x.contains("#"), F.element_at(F.split(x, "#"), -1)).when(x.contains("/"), F.element_at(F.split(x, "/"), -1)).otherwise(x)
 
 
+def local_fragment(c: Column | str) -> Column:
+    """What follows the last #; an IRI without # stays whole."""
+    return F.element_at(F.split(col(c), "#"), -1)
+
+
 def one_line(c: Column | str) -> Column:
     """Line breaks, and tabs, as single blanks."""
     return strip(F.regexp_replace(col(c), r"[\r\n\t]+", " "))
@@ -90,13 +95,16 @@ def stitch_to_compound(c: Column | str) -> Column:
 
 
 def definition_before_last_bracket(c: Column | str) -> Column:
-    """The text of `"text" [sources]`: cut at the last `" [`, without the outer quotes."""
-    return one_line(F.regexp_replace(F.regexp_replace(col(c), r'(?s)" \[(?!.*" \[).*$', ""), r'^"|"$', ""))
+    """The text of `"text" [sources]`: stripped, without the opening quote, cut at the
+    last ` [`, without quotes at the end."""
+    x = F.regexp_replace(strip(c), r'^"', "")
+    return one_line(F.regexp_replace(F.regexp_replace(x, r"(?s) \[(?!.* \[).*$", ""), r'"+$', ""))
 
 
 def definition_before_first_bracket(c: Column | str) -> Column:
-    """As above, cut at the first `" [`."""
-    return one_line(F.regexp_replace(F.substring_index(col(c), '" [', 1), r'^"|"$', ""))
+    """As above, cut at the first ` [`; one quote is taken off the end."""
+    x = F.substring_index(F.regexp_replace(col(c), r'^"', ""), " [", 1)
+    return one_line(F.regexp_replace(x, r'"$', ""))
 
 
 def first_quoted(c: Column | str) -> Column:
@@ -119,7 +127,8 @@ def tag_block(c: Column | str, tag: str, most: int = 2000) -> Column:
 
 
 def without_ansi(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", "")
+    """Without the escape sequences that set colours and styles."""
+    return F.regexp_replace(col(c), r"\x1B\[[0-9;]*m", "")
 
 
 def normalize_na(c: Column | str, tokens: tuple[str, ...] = ("", "NA", "N/A", "NULL", "null", "None", "nan", "NaN")) -> Column:

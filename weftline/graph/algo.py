@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.graph.components import min_label_components
+from weftline.graph.components import connected_components
 from weftline.storage import Scratch, cut
 
 
@@ -48,9 +49,10 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
-def degrees(edges: DataFrame, start: str = "start_id", end: str = "end_id") -> DataFrame:
-    """(node, degree): ends counted on both sides, a self loop counts twice."""
-    return edges.select(F.explode(F.array(start, end)).alias("node")).where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+def degrees(edges: DataFrame, start: str = "start_id", end: str = "end_id", by: Sequence[str] = ()) -> DataFrame:
+    """(node, degree), or per values of ``by``: ends counted on both sides, a self loop counts
+    twice, a null end not at all."""
+    return edges.select(*by, F.explode(F.array(start, end)).alias("node")).where("node is not null").groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, node_id: str = "id") -> DataFrame:
@@ -59,13 +61,16 @@ def orphans(nodes: DataFrame, edges: DataFrame, node_id: str = "id") -> DataFram
 
 
 def mean_degree(nodes: DataFrame, edges: DataFrame, group: str = "node_type") -> DataFrame:
-    """Mean degree per node type, nodes without edges counting 0."""
+    """Mean degree per node type, nodes without edges counting 0, nodes without an id not."""
     d = degrees(edges).withColumnRenamed("node", "id")
-    return nodes.join(d, "id", "left").groupBy(group).agg(F.avg(F.coalesce("degree", F.lit(0))).alias("mean_degree"))
+    return nodes.where("id is not null").join(d, "id", "left").groupBy(group).agg(F.avg(F.coalesce("degree", F.lit(0))).alias("mean_degree"))
 
 
-def component_summary(edges: DataFrame, start: str = "start_id", end: str = "end_id") -> DataFrame:
-    """One row: nodes on edges, components, size and share of the largest."""
-    c = min_label_components(edges.select(F.col(start).alias("a"), F.col(end).alias("b")))
+def component_summary(nodes: DataFrame, edges: DataFrame, start: str = "start_id", end: str = "end_id", node_id: str = "id") -> DataFrame:
+    """One row: nodes (those listed and those on edges), components, size and share of
+    the largest. A node without edges is a component of its own; edges with a null
+    end are left out; without any node the share is null."""
+    listed = nodes.select(F.col(node_id).alias("a"), F.col(node_id).alias("b"))
+    c = connected_components(edges.select(F.col(start).alias("a"), F.col(end).alias("b")).unionByName(listed))
     s = c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.count(F.lit(1)).alias("n_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), (F.max("n") / F.sum("n")).alias("largest_fraction"))

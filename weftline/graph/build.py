@@ -113,10 +113,14 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
 
 
 def main_namespace(triples: DataFrame) -> DataFrame:
-    """One row: the namespace in which most classes and individuals are named (ties: the first)."""
-    ns = F.regexp_extract("s", r"^(.*[#/])", 1)
-    c = match(triples, p=RDF + "type").where(F.col("o").isin(OWL + "Class", OWL + "NamedIndividual")).groupBy(ns.alias("namespace")).agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.min_by("namespace", F.struct(-F.col("n"), "namespace")).alias("namespace"))
+    """One row: the namespace of the graph. That is the IRI of its ontology (of several, the
+    first), with a # at the end; without one, what precedes the last # in most
+    individuals' IRIs (ties: the first), null where no IRI has a #."""
+    typed = triples.where(F.col("p") == RDF + "type")
+    whole = F.when((F.col("o") == OWL + "Ontology"), F.when(F.endswith("s", F.lit("#")), F.col("s")).otherwise(F.concat("s", F.lit("#"))))
+    part = F.when((F.col("o") == OWL + "NamedIndividual") & F.col("s").contains("#"), F.regexp_extract("s", r"(?s)^(.*#)", 1))
+    c = typed.groupBy(whole.alias("whole"), part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(F.coalesce(F.min("whole"), F.min_by("part", F.when(F.col("part").isNotNull(), F.struct(-F.col("n"), F.col("part"))))).alias("namespace"))
 
 
 def triple_nodes(triples: DataFrame) -> DataFrame:
@@ -139,7 +143,10 @@ def triple_edges(triples: DataFrame) -> DataFrame:
 
 
 def relation_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per relation, the type of its first edge's ends (by start, end) of which both are known."""
+    """(rel_type, start_type, end_type): per relation the type of the first known start and,
+    on its own, of the first known end, edges in the order of their ids; relations with a
+    side that is never known are left out. A node of several types counts as the last one."""
     t = nodes.groupBy("id").agg(F.max("node_type").alias("node_type"))
-    e = edges.join(t.select(F.col("id").alias("start_id"), F.col("node_type").alias("start_type")), "start_id").join(t.select(F.col("id").alias("end_id"), F.col("node_type").alias("end_type")), "end_id")
-    return e.groupBy("rel_type").agg(F.min_by(F.struct("start_type", "end_type"), F.struct("start_id", "end_id")).alias("t")).select("rel_type", "t.start_type", "t.end_type")
+    e = edges.join(t.select(F.col("id").alias("start_id"), F.col("node_type").alias("start_type")), "start_id", "left").join(t.select(F.col("id").alias("end_id"), F.col("node_type").alias("end_type")), "end_id", "left")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("start_id", "end_id"))).alias(c)
+    return e.groupBy("rel_type").agg(first("start_type"), first("end_type")).where("start_type is not null and end_type is not null")

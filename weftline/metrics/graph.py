@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import is_blank
+from weftline.functions.text import is_blank, strip
 from weftline.graph import algo
 from weftline.metrics.tables import rate
 
@@ -50,31 +50,41 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolution_rate(rows: DataFrame, start: str, end: str, starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """One row: rows with both ends set, those whose both ends are among the known
-    values (single-column tables), and the rate."""
-    r = rows.where(~is_blank(F.col(start).cast("string")) & ~is_blank(F.col(end).cast("string"))).select(F.col(start).cast("string").alias("s"), F.col(end).cast("string").alias("e"))
-    a = starts.select(F.col(starts.columns[0]).cast("string").alias("s")).distinct().withColumn("a", F.lit(True))
-    b = ends.select(F.col(ends.columns[0]).cast("string").alias("e")).distinct().withColumn("b", F.lit(True))
-    j = r.join(a, "s", "left").join(b, "e", "left")
+def _keys(df: DataFrame, name: str, mark: str) -> DataFrame:
+    """Distinct stripped, non-blank values of a one-column table, with a mark."""
+    return df.select(strip(F.col(df.columns[0]).cast("string")).alias(name)).where(F.col(name) != "").distinct().withColumn(mark, F.lit(True))
+
+
+def resolution_rate(rows: DataFrame, start: str, end: str, starts: DataFrame, ends: DataFrame, filter_column: str | None = None, filter_value: str | None = None) -> DataFrame:
+    """One row: rows (after the filter, compared as text), those whose both ends are
+    among the known values (single-column tables), and the rate. Values are
+    compared stripped; a row with a blank end counts as one that does not resolve.
+    Without rows the rate is null."""
+    if filter_column and filter_value is not None and filter_column in rows.columns:
+        rows = rows.where(F.col(filter_column).cast("string") == str(filter_value))
+    r = rows.select(strip(F.col(start).cast("string")).alias("s"), strip(F.col(end).cast("string")).alias("e"))
+    j = r.join(_keys(starts, "s", "a"), "s", "left").join(_keys(ends, "e", "b"), "e", "left")
     ok = F.col("a").isNotNull() & F.col("b").isNotNull()
     return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_resolved"), rate(ok).alias("resolution_rate"))
 
 
 def match_rate(source: DataFrame, column: str, known: DataFrame) -> DataFrame:
-    """Share of a source's non-blank merge keys that are known; null if it lacks the column."""
+    """(n_eligible, match_rate): a source's non-blank merge keys, and the share of them that
+    is known, both compared stripped; null if the source lacks the column or has no key."""
     if column not in source.columns:
-        return source.sparkSession.createDataFrame([(None,)], "match_rate double")
-    k = known.select(F.col(known.columns[0]).cast("string").alias("k")).distinct().withColumn("m", F.lit(True))
-    s = source.select(F.col(column).cast("string").alias("k")).where(~is_blank("k"))
-    return s.join(k, "k", "left").agg(rate(F.col("m").isNotNull()).alias("match_rate"))
+        return source.sparkSession.createDataFrame([(0, None)], "n_eligible long, match_rate double")
+    s = source.select(strip(F.col(column).cast("string")).alias("k")).where("k <> ''")
+    return s.join(_keys(known, "k", "m"), "k", "left").agg(F.count(F.lit(1)).alias("n_eligible"), rate(F.col("m").isNotNull()).alias("match_rate"))
 
 
 # Tier 2
 
 def orphan_rate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node type: node rows, those on no edge (rows without an id are not counted
+    among them), and their rate."""
     d = algo.degrees(edges).select(F.col("node").alias("id"), F.lit(True).alias("on_edge"))
-    return nodes.join(d, "id", "left").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("on_edge").isNull()).alias("n_orphans"), rate(F.col("on_edge").isNull()).alias("orphan_rate"))
+    alone = F.col("on_edge").isNull() & F.col("id").isNotNull()
+    return nodes.join(d, "id", "left").groupBy("node_type").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(alone).alias("n_orphans"), rate(alone).alias("orphan_rate"))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,24 +94,50 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.agg(n.alias("n_rows"), (n - F.count(F.lit(1))).alias("n_duplicates"), F.coalesce((n - F.count(F.lit(1))) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("duplicate_rate"))
 
 
-def shared_reference_pairs(nodes: DataFrame, column: str) -> DataFrame:
-    """One row: values held by several nodes, and the pairs of nodes they make, n(n-1)/2 each."""
-    g = nodes.where(~is_blank(column)).groupBy(column).agg(F.countDistinct("id").alias("n")).where("n > 1")
+def repeated_ids(nodes: DataFrame) -> DataFrame:
+    """One row: nodes beyond the first with their id, within a node type; null ids do not count."""
+    g = nodes.where("id is not null").groupBy("node_type", "id").agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("n_repeated"))
+
+
+def references(nodes: DataFrame, columns: Sequence[str], node_id: str = "id") -> DataFrame:
+    """(value, id): every stripped, non-blank value of the reference columns and the nodes
+    that hold it; whichever column holds a value, it is the same value."""
+    values = F.array(*[strip(F.col(c).cast("string")) for c in columns])
+    return nodes.select(F.col(node_id).alias("id"), F.explode(values).alias("value")).where("value <> '' and id is not null").select("value", "id").distinct()
+
+
+def _holders(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reference_resolution(refs: DataFrame) -> DataFrame:
+    """One row over ``references``: entries, those whose value another node holds too, and
+    their rate (null without entries)."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    g = _holders(refs).agg(n("n").alias("n_entries"), n(F.when(F.col("n") > 1, F.col("n"))).alias("n_resolved"))
+    return g.withColumn("resolution_rate", F.col("n_resolved") / F.nullif("n_entries", F.lit(0)))
+
+
+def shared_reference_pairs(refs: DataFrame) -> DataFrame:
+    """One row over ``references``: values held by several nodes, and the pairs of nodes
+    they make, n(n-1)/2 each."""
+    g = _holders(refs).where("n > 1")
     return g.agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("long").alias("n_pairs"))
 
 
-def nodes_per_value(nodes: DataFrame, column: str) -> DataFrame:
+def nodes_per_value(refs: DataFrame) -> DataFrame:
     """(value, ids): which nodes, of whatever type, hold a value; sorted."""
-    return nodes.where(~is_blank(column)).groupBy(F.col(column).alias("value")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return refs.groupBy("value").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def degree_outliers(edges: DataFrame, q: float = 0.99) -> DataFrame:
-    """One row: the exact interpolated quantile of degrees and the nodes above it. Degrees
-    are counted into a histogram first, so the quantile is over distinct degrees."""
-    h = algo.degrees(edges).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    p = h.agg(F.expr(f"percentile(degree, {q}, n)").alias("p99"), F.collect_list(F.struct("degree", "n")).alias("h"))
-    above = F.aggregate(F.filter("h", lambda x: x["degree"] > F.col("p99")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return p.select("p99", above.alias("n_above"))
+def degree_outliers(edges: DataFrame, q: float = 0.99, group: str = "rel_type") -> DataFrame:
+    """Per relation: the exact interpolated quantile of the degrees its nodes have in it, and
+    how many lie above. Degrees are counted into a histogram first, so a relation is
+    as many rows as it has distinct degrees."""
+    h = algo.degrees(edges, by=(group,)).groupBy(group, "degree").agg(F.count(F.lit(1)).alias("n"))
+    p = h.groupBy(group).agg(F.expr(f"percentile(degree, {q}, n)").alias("p99"))
+    return h.join(p, group).groupBy(group, "p99").agg(F.coalesce(F.sum(F.when(F.col("degree") > F.col("p99"), F.col("n"))), F.lit(0)).alias("n_above"))
 
 
 def count_deltas(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -109,6 +145,11 @@ def count_deltas(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return now.join(before.select(key, F.col("n").alias("n_before")), key, "left").select(key, "n", F.coalesce("n_before", F.lit(0)).alias("n_before"), (F.col("n") - F.coalesce("n_before", F.lit(0))).alias("delta"))
 
 
+def largest_delta(deltas: DataFrame) -> DataFrame:
+    """One row over ``count_deltas``: how many keys changed, and the largest change either way (0 without keys)."""
+    return deltas.agg(F.count_if(F.col("delta") != 0).alias("n_changed"), F.coalesce(F.max(F.abs("delta")), F.lit(0)).cast("long").alias("max_abs_delta"))
+
+
 def property_completeness(expected: dict[str, Sequence[str]], found: dict[str, Sequence[str]]) -> list[tuple[str, list[str], float]]:
     """(type, missing properties, completeness) for every expected type."""
     return [(t, sorted(set(ps) - set(found.get(t, []))), len(set(ps) & set(found.get(t, []))) / len(set(ps)) if ps else 1.0) for t, ps in expected.items()]

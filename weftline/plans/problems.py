@@ -42,19 +42,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its place: depths, number of paths, roots."""
     links, nodes = term_links(spark, d)
-    h = hi.hierarchy(links, nodes, ("roots",))
+    h = hi.hierarchy(links, nodes)
     return h.select(F.col("node").alias("term_id"), "cycle_id", "depth_min", "depth_max", F.col("n_paths").cast("long").alias("n_paths"), F.array_join("roots", "|").alias("roots"))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every full path of every term, from a root down to it."""
     links, nodes = term_links(spark, d)
-    return hi.hierarchy(links, nodes, ("paths",)).select(F.col("node").alias("term_id"), F.explode("paths").alias("path"))
+    return hi.paths(links, nodes).select(F.col("node").alias("term_id"), "path")
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     links, nodes = term_links(spark, d)
-    return hi.descendants(hi.hierarchy(links, nodes, ("ancestors",))).select(F.col("node").alias("term_id"), F.col("descendant").alias("descendant_id"))
+    return hi.ancestors(links, nodes).select(F.col("ancestor").alias("term_id"), F.col("node").alias("descendant_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_paths": p1_paths, "p1_descendants": p1_descendants}

@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="weftline-"))
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="weftline-")
+    return _LOCAL["dir"]
 
 
 def _file_system(spark: SparkSession, path: str):
