@@ -88,8 +88,21 @@ def test_graph_measures(spark):
     assert algo.component_summary(e.limit(0).selectExpr("start_id as id"), e.limit(0)).first().n_nodes == 0
     r = gm.duplicates(e.union(e), ["start_id", "end_id"]).first()
     assert (r.n_rows, r.n_duplicates, r.duplicate_rate) == (12, 6, 0.5)
-    h = spark.createDataFrame([(1, 2), (1, 3), (1, 10)], "start_id int, end_id int")
-    assert gm.degree_outliers(h, 0.5).first().n_above == 1
+    h = spark.createDataFrame([("r", 1, 2), ("r", 1, 3), ("r", 1, 10), ("q", 1, 2), ("q", None, 2)], "rel_type string, start_id int, end_id int")
+    assert {tuple(r) for r in gm.degree_outliers(h, 0.5).collect()} == {("r", 1.0, 1), ("q", 1.5, 1)}
+    v = spark.createDataFrame([("a", "T"), ("i", "T"), ("i", "U"), (None, "U")], "id string, node_type string")
+    assert {tuple(r) for r in gm.orphan_rate(v, e).collect()} == {("T", 2, 1, 0.5), ("U", 2, 1, 0.5)}
+    assert tuple(algo.component_summary(v, e).first()) == (7, 4, 3, 3 / 7)  # a-b-c, x-y, z, i
+    pair = spark.createDataFrame([(" a ", "b"), ("a", ""), (None, "b"), ("a", "q")], "s string, e string")
+    known = spark.createDataFrame([("a ",), ("b",), ("",)], "k string")
+    assert tuple(gm.resolution_rate(pair, "s", "e", known, known).first()) == (4, 1, 0.25) and gm.resolution_rate(pair.limit(0), "s", "e", known, known).first().resolution_rate is None
+    assert tuple(gm.match_rate(pair, "s", known).first()) == (3, 1.0) and gm.match_rate(pair, "nowhere", known).first().match_rate is None
+    refs = gm.references(spark.createDataFrame([("a", "x ", None), ("b", "x", "y"), ("c", "", "x"), (None, "x", "")], "id string, r1 string, r2 string"), ["r1", "r2"])
+    assert tuple(gm.reference_resolution(refs).first()) == (4, 3, 0.75) and tuple(gm.shared_reference_pairs(refs).first()) == (1, 3)
+    assert gm.reference_resolution(refs.limit(0)).first().resolution_rate is None
+    now = spark.createDataFrame([("a", 5), ("n", 1), (None, 2)], "k string, n int")
+    gone = gm.count_deltas(now, spark.createDataFrame([("a", 9), ("old", 4), (None, 2)], "k string, n int"), "k")
+    assert {(r.k, r.delta) for r in gone.collect()} == {("a", -4), ("n", 1), (None, 0)} and tuple(gm.largest_delta(gone).first()) == (2, 4) and tuple(gm.largest_delta(gone.limit(0)).first()) == (0, 0)
     assert gm.property_completeness({"G": ["a", "b"]}, {"G": ["a"]}) == [("G", ["b"], 0.5)]
     k = gm.known_pairs(spark.createDataFrame([("G1", "x, 123456 (3); y, 654321 (2); z, 111111 (3)"), ("", "222222 (3)")], "gene string, phenotypes string"))
     assert {tuple(r) for r in k.collect()} == {("G1", "123456"), ("G1", "111111")}
@@ -103,15 +116,25 @@ def test_triples(spark):
     tr = spark.createDataFrame(rows, "s string, p string, o string, o_is_literal boolean")
     assert {(r.id, r.node_type, str(r.props)) for r in build.triple_nodes(tr).collect()} == {("i", "Gene", "{'name': ['n\"1']}"), ("i", "TF", "{'name': ['n\"1']}"), ("j", "Drug", "{}")}
     assert [tuple(r) for r in build.triple_edges(tr).collect()] == [("binds", "i", "j")]
+    onto = tr.union(spark.createDataFrame([("http://o/kg", t, build.OWL + "Ontology", False)], tr.schema))
+    classes = spark.createDataFrame([("http://b#C", t, build.OWL + "Class", False), ("http://slash/i", t, build.OWL + "NamedIndividual", False)], tr.schema)
+    assert build.main_namespace(onto).first().namespace == "http://o/kg#" and build.main_namespace(classes).first().namespace is None
+    ends = build.relation_ends(spark.createDataFrame([("r", "a", "?"), ("r", "?", "b"), ("s", "?", "b")], "rel_type string, start_id string, end_id string"), spark.createDataFrame([("a", "A"), ("b", "B")], "id string, node_type string"))
+    assert [tuple(x) for x in ends.collect()] == [("r", "A", "B")]
     assert build.match(tr, s=b + "i", p=t).count() == 3 and build.main_namespace(tr).first().namespace == b
     assert '<http://x#i> <http://x#name> "n\\"1" .' in {r.value for r in export.ntriples(tr).collect()}
 
 
 def test_logs(spark):
     one = lambda v, f: spark.createDataFrame([(v,)], "v string").select(f("v").alias("r")).first().r
-    assert [one(v, logs.next_step) for v in ("a <execute>x", "<solution>y</solution>", "<think>", "plain")] == ["execute", "end", "generate", "none"]
+    assert [one(v, logs.next_step) for v in ("a <execute>x", "<solution>y</solution>", "<think>", "plain", "<execute>x</execute> <solution>y", "<think>use <execute> later</think>", "<think>no <execute>", None)] == ["execute", "end", "generate", "generate", "end", "generate", "execute", None]
+    assert one("plain", lambda c: logs.next_step(c, F.lit(2))) == "end" and one("plain", lambda c: logs.next_step(c, F.lit(1))) == "generate"
+    assert one(" <think>a <execute></think><solution>b ", logs.repair_tags) == "<think>a <execute></think><solution>b </solution>" and one("<execute> x <", logs.pending_code) == "x <"
+    assert [one(v, logs.solution) for v in ("<think>secret</think>answer", "<think>only</think>", "x<solution> s </solution>", "ERROR: e")] == ["answer", "<think>only</think>", "s", "ERROR: e"]
+    assert [one(v, logs.code_language) for v in ("# R script\nx", "# Bashing numbers", "# Bash script", "#!CLI ls")] == ["r", "python", "bash", "bash"] and one("#!R\nx ", logs.without_marker) == "x"
+    assert one('{"usage": {"inputTokens": 3}, "outputTokens": 4, "prompt_eval_count": 0}', lambda c: logs.usage(c)["total"]) == 7 and one('{"prompt_eval_count": 9}', lambda c: logs.usage(c)["input"]) == 9 and one('{"usage": {"input_tokens": 0}}', lambda c: logs.usage(c)["input"]) == 0
     assert one("<execute>x", logs.repair_tags) == "<execute>x</execute>" and one("#!R\nx", logs.code_language) == "r" and one("print(1)", logs.code_language) == "python"
-    assert tuple(one('{"prompt_tokens": 3, "usage": {"output_tokens": 4}}', logs.usage)) == (3, 4, 7) and tuple(one("no json", logs.usage)) == (0, 0, 0)
+    assert one("no json", logs.usage).total is None
     assert one("TOOLS: [1, x, 3]", lambda c: logs.index_list(c, "TOOLS")) == [1, 3]
     assert one('see {"nodes": [{"id": "a"}], "links": []} ok', logs.embedded_graph).nodes[0].id == "a"
     f = spark.createDataFrame([(1, i, b) for i, b in enumerate([True, True, False, True, None])], "run int, i int, failed boolean")

@@ -89,3 +89,13 @@ def synonym_texts(entries: Column | str) -> Column:
 def overlaps(xs: Column | str, values: list[str]) -> Column:
     """Whether an array shares an element with the list; false for null arrays."""
     return F.coalesce(F.arrays_overlap(col(xs), F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")), F.lit(False))
+
+
+def tagged(xs: Column | str, include: str, exclude: list[str]) -> Column:
+    """Whether an array holds the one tag and none of the others; false for null arrays."""
+    return F.coalesce(F.array_contains(col(xs), include), F.lit(False)) & ~overlaps(xs, exclude)
+
+
+def ordered_union(*arrays: Column | str) -> Column:
+    """The elements of all arrays in order, each once; null arrays add nothing."""
+    return F.array_distinct(F.concat(*[F.coalesce(col(a), F.array().cast("array<string>")) for a in arrays]))

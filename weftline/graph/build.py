@@ -116,7 +116,7 @@ def main_namespace(triples: DataFrame) -> DataFrame:
     """One row: the namespace of the graph. That is the IRI of its ontology (of several, the
     first), with a # at the end; without one, what precedes the last # in most
     individuals' IRIs (ties: the first), null where no IRI has a #."""
-    typed = triples.where(F.col("p") == RDF + "type")
+    typed = triples.where(F.col("p") == RDF + "type").select("s", "o").distinct()
     whole = F.when((F.col("o") == OWL + "Ontology"), F.when(F.endswith("s", F.lit("#")), F.col("s")).otherwise(F.concat("s", F.lit("#"))))
     part = F.when((F.col("o") == OWL + "NamedIndividual") & F.col("s").contains("#"), F.regexp_extract("s", r"(?s)^(.*#)", 1))
     c = typed.groupBy(whole.alias("whole"), part.alias("part")).agg(F.count(F.lit(1)).alias("n"))

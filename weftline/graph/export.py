@@ -28,6 +28,12 @@ def property_names(nodes: DataFrame) -> dict[str, list[str]]:
     return {r.node_type: list(r.ps) for r in rows}
 
 
+def relation_properties(edges: DataFrame, ends: DataFrame) -> dict[str, tuple[str, str, list[str]]]:
+    """Per relation its end types (graph.build.relation_ends) and property names: catalog-sized."""
+    ps = edges.select("rel_type", F.explode_outer(F.map_keys("props")).alias("p")).groupBy("rel_type").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    return {r.rel_type: (r.start_type, r.end_type, list(r.ps)) for r in ends.join(ps, "rel_type").collect()}
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> dict[str, list[str]]:
     """nodes_<Type>.csv and edges_<rel>.csv folders, the whole graph as Parquet partitioned
     by type, and import.cypher; returns the property names by type."""

@@ -141,8 +141,11 @@ def degree_outliers(edges: DataFrame, q: float = 0.99, group: str = "rel_type")
 
 
 def count_deltas(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
-    """(key, n, n_before, delta) of what there is now; what was not there before counts 0."""
-    return now.join(before.select(key, F.col("n").alias("n_before")), key, "left").select(key, "n", F.coalesce("n_before", F.lit(0)).alias("n_before"), (F.col("n") - F.coalesce("n_before", F.lit(0))).alias("delta"))
+    """(key, n, n_before, delta) of what there is now; what was not there before counts 0.
+    A null key is a key like any other."""
+    a, b = now.alias("a"), before.alias("b")
+    old = F.coalesce("b.n", F.lit(0))
+    return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "left").select(F.col(f"a.{key}").alias(key), F.col("a.n").alias("n"), old.alias("n_before"), (F.col("a.n") - old).alias("delta"))
 
 
 def largest_delta(deltas: DataFrame) -> DataFrame:

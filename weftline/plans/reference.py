@@ -190,10 +190,9 @@ def scope_filter(s, d):
     return table(s, d, "documents").where(in_scope(F.col("lang"), F.col("text"), scope, {"source": F.array("source")})).select("doc_id", "lang", "source")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_type, ' '), 'ANODIZED') OR NOT list_has_any(string_split(p_type, ' '), ['STANDARD', 'SMALL', 'PROMO'])")
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'ring') AND NOT list_has_any(string_split(p_name, ' '), ['small', 'red'])")
 def tag_include_exclude(s, d):
-    tags = F.split("p_type", " ")
-    return table(s, d, "part").where(F.array_contains(tags, "ANODIZED") | ~n.overlaps(tags, ["STANDARD", "SMALL", "PROMO"])).select("p_partkey", "p_name")
+    return table(s, d, "part").where(n.tagged(F.split("p_name", " "), "ring", ["small", "red"])).select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey, p_type, p_size FROM part WHERE CAST(p_size AS VARCHAR) = '15' OR p_type LIKE 'ECONOMY%' OR regexp_matches(p_name, '[0-9]{2}$') AND p_retailprice > 950.0")
@@ -210,23 +209,59 @@ def column_comparison(s, d):
 
 # Text and nested values
 
-@query("SELECT row_id, GeneID, list_last(list_transform(list_filter(string_split(dbXrefs, '|'), lambda e: e LIKE 'HGNC:%'), lambda e: e[6:])) AS hgnc, list_last(list_transform(list_filter(string_split(dbXrefs, '|'), lambda e: e LIKE 'MIM:%'), lambda e: e[5:])) AS mim FROM genes WHERE regexp_full_match(dbXrefs, '[A-Za-z0-9:|]+')")
-def kv_map_expand(s, d):
-    g = table(s, d, "genes").where(F.col("dbXrefs").rlike("^[A-Za-z0-9:|]+$")).select("row_id", "GeneID", n.key_values("dbXrefs").alias("m"))
-    return g.select("row_id", "GeneID", F.col("m")["HGNC"].alias("hgnc"), F.col("m")["MIM"].alias("mim"))
-
-
 _XREFS = "list_filter(regexp_extract_all(dbXrefs, '[\\p{L}\\p{M}\\p{N}:./_\\-]+'), lambda e: contains(e, ':'))"
 
 
 @query(f"SELECT row_id, GeneID, list_last(list_transform(list_filter({_XREFS}, lambda e: e LIKE 'HGNC:%'), lambda e: e[6:])) AS hgnc, list_last(list_transform(list_filter({_XREFS}, lambda e: e LIKE 'MIM:%'), lambda e: e[5:])) AS mim FROM genes")
-def kv_map_expand_all(s, d):
+def kv_map_expand(s, d):
     """Every row, however its entries are parted."""
     entries = F.transform(split_values("dbXrefs", XREFS), lambda v: v["value"])
     g = table(s, d, "genes").select("row_id", "GeneID", n.entry_map(entries).alias("m"))
     return g.select("row_id", "GeneID", F.col("m")["HGNC"].alias("hgnc"), F.col("m")["MIM"].alias("mim"))
 
 
+#: Usage records in the spellings of several services, made of events; some counters are zero, missing or text.
+_USAGE = [
+    """{"model": "a", "usage": {"prompt_tokens": K, "completion_tokens": E, "total_tokens": 0, "prompt_tokens_details": {"cached_tokens": 7}}}""",
+    """{"modelId": "b", "inputTokens": K, "outputTokens": E, "totalTokens": 5, "totalCost": 0.25, "currency": "EUR"}""",
+    """{"model": "", "model_name": "c", "prompt_eval_count": 0, "eval_count": E, "input_tokens": K}""",
+    """{"token_usage": {"input_tokens": "K", "output_tokens": E, "cache_creation_input_tokens": 3, "thinking_input_tokens": 4, "cost": 0}, "usage": {"input_tokens": 1, "cost": 2}}""",
+    """{"response": {"usage": {"inputTokens": K, "outputTokens": 0, "currency": "USD"}}, "total_cost": "1.5"}""",
+    """{"usage": [1, 2], "total_tokens": K}""",
+    "no json K E",
+]
+
+
+def _first(*xs: str) -> str:
+    """Of JSON texts, the first that is neither missing, empty nor zero; else the last."""
+    falsy = lambda x: f"({x} = '' OR coalesce(try_cast({x} AS DOUBLE) = 0, false))"
+    return "coalesce(" + ", ".join([f"CASE WHEN NOT {falsy(x)} THEN {x} END" for x in xs[:-1]] + [xs[-1]]) + ")"
+
+
+def _at(j: str, *paths: str) -> list[str]:
+    return [f"json_extract_string({j}, '$.{p}')" for p in paths]
+
+
+_KINDS = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_USAGE))
+
+
+@query(f"""WITH t AS (SELECT event_id, replace(replace(CASE event_id % {len(_USAGE)} {_KINDS} END, 'K', CAST(event_id % 90 AS VARCHAR)), 'E', CAST(event_id % 7 AS VARCHAR)) AS raw FROM events),
+r AS (SELECT event_id, CASE WHEN json_valid(raw) THEN raw END AS j FROM t),
+o AS (SELECT event_id, j, CASE WHEN json_type(j, '$.usage') = 'OBJECT' THEN json_extract(j, '$.usage') END AS own, CASE WHEN json_type(j, '$.token_usage') = 'OBJECT' THEN json_extract(j, '$.token_usage') WHEN json_type(j, '$.usage') = 'OBJECT' THEN json_extract(j, '$.usage') WHEN json_type(j, '$.response.usage') = 'OBJECT' THEN json_extract(j, '$.response.usage') END AS u FROM r),
+x AS (SELECT event_id, {_first(*_at('j', 'model', 'model_name', 'modelId'))} AS model,
+  try_cast({_first(*_at('j', 'prompt_eval_count'), *_at('u', 'prompt_tokens', 'input_tokens', 'inputTokens'), *_at('j', 'inputTokens', 'input_tokens'), *_at('own', 'prompt_tokens', 'input_tokens'))} AS BIGINT) AS input,
+  try_cast({_first(*_at('j', 'eval_count'), *_at('u', 'completion_tokens', 'output_tokens', 'outputTokens'), *_at('j', 'outputTokens', 'output_tokens'), *_at('own', 'completion_tokens', 'output_tokens'))} AS BIGINT) AS output,
+  try_cast({_first(*_at('u', 'total_tokens', 'totalTokens'), *_at('j', 'totalTokens', 'total_tokens'), *_at('own', 'total_tokens'))} AS BIGINT) AS total,
+  try_cast({_first(*_at('u', 'cache_creation_input_tokens', 'cacheCreationInputTokens'))} AS BIGINT) AS cache_write, try_cast({_first(*_at('u', 'cache_read_input_tokens', 'cacheReadInputTokens', 'prompt_tokens_details.cached_tokens'))} AS BIGINT) AS cache_read,
+  try_cast({_at('u', 'thinking_input_tokens')[0]} AS BIGINT) AS thinking, try_cast({_first(*_at('u', 'total_cost', 'cost', 'totalCost'), *_at('j', 'total_cost', 'cost', 'totalCost'), *_at('own', 'total_cost', 'cost', 'estimated_cost'))} AS DOUBLE) AS cost, {_first(*_at('j', 'currency'), *_at('u', 'currency'))} AS currency FROM o)
+SELECT event_id, model, input, output, coalesce(total, input + output) AS total, cache_write, cache_read, thinking, cost, currency FROM x""")
+def usage_records(s, d):
+    kind, e = F.pmod("event_id", F.lit(len(_USAGE))), table(s, d, "events")
+    raw = F.element_at(F.array(*map(F.lit, _USAGE)), (kind + 1).cast("int"))
+    raw = F.replace(F.replace(raw, F.lit("K"), F.pmod("event_id", F.lit(90)).cast("string")), F.lit("E"), F.pmod("event_id", F.lit(7)).cast("string"))
+    return e.select("event_id", logs.usage(raw).alias("u")).select("event_id", "u.*")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
@@ -244,6 +279,16 @@ def nested_entries(s, d):
     return e.select(F.array_join("e", "^").alias("i"), F.col("e")[0].alias("verb"), F.col("e")[1].alias("what"))
 
 
+_QUOTED = """'"' || definition || ' [see ' || row_id || ']." [' || source_database || ']'"""
+
+
+@query(f"""WITH t AS (SELECT row_id, {_QUOTED} AS s FROM disease_nodes WHERE definition IS NOT NULL AND regexp_full_match(definition, '[ -~]+')), u AS (SELECT row_id, CASE WHEN starts_with(s, '"') THEN s[2:] ELSE s END AS s FROM t)
+SELECT row_id, trim(regexp_replace(regexp_replace(s, '^(.*) \\[.*$', '\\1'), '"+$', '')) AS before_last, trim(regexp_replace(split_part(s, ' [', 1), '"$', '')) AS before_first, regexp_extract('"' || s, '^"(.*?)"', 1) AS quoted FROM u""")
+def definition_clean(s, d):
+    t = table(s, d, "disease_nodes").where(F.col("definition").isNotNull() & F.col("definition").rlike("^[ -~]+$")).select("row_id", F.expr(_QUOTED).alias("s"))
+    return t.select("row_id", x.definition_before_last_bracket("s").alias("before_last"), x.definition_before_first_bracket("s").alias("before_first"), x.first_quoted("s").alias("quoted"))
+
+
 @query("SELECT c_custkey, regexp_replace(lower(trim(c_name)), '[^a-z0-9_\\-.:]', '_', 'g') AS slug, CASE WHEN c_mktsegment LIKE 'M%' THEN c_mktsegment ELSE 'M:' || c_mktsegment END AS prefixed, regexp_replace(c_name, '^Customer', '') AS short FROM customer")
 def text_keys(s, d):
     return table(s, d, "customer").select("c_custkey", x.slug("c_name").alias("slug"), F.when(F.startswith("c_mktsegment", F.lit("M")), F.col("c_mktsegment")).otherwise(F.concat(F.lit("M:"), "c_mktsegment")).alias("prefixed"), x.drop_prefix("c_name", "Customer").alias("short"))
@@ -307,11 +352,16 @@ def fisher(s, d):
     return _pairs(s, d).select("source_id", "target_id", F.round("p_fisher", 6).alias("p_fisher"))
 
 
-@query("""WITH v AS (SELECT vec_id AS i, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) SELECT i, j, round(CAST(x AS DOUBLE), 6) AS score FROM v WHERE i < j AND x >= 0.1""")
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS score FROM v a JOIN v b USING (vec_id) GROUP BY ALL)
+SELECT 'd' || i AS source_hgnc, 'd' || j AS target_hgnc, round(score, 6) AS erc_score, 'ERC' AS source_database FROM m WHERE i < j AND score >= 0.5""")
 def matrix_upper(s, d):
-    from weftline.sources.readers import ge
+    """The products of the embeddings' dimensions over all vectors, a square matrix, as pairs."""
+    from weftline.sources.tables import rate_covariation
 
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "score")).where((F.col("i") < F.col("j")) & ge("score", 0.1)).select("i", F.col("j").cast("long").alias("j"), F.round(F.col("score").cast("double"), 6).alias("score"))
+    v = table(s, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    cells = v.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    m = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "score"))), lambda c: c["score"]).alias("scores"))
+    return rate_covariation(m, [f"d{i}" for i in range(64)], 0.5)["gene_covariation"].withColumn("erc_score", F.round("erc_score", 6))
 
 
 # Graph
@@ -374,9 +424,13 @@ def degree_avg(s, d):
     return algo.mean_degree(trade_nodes(s, d), trade_edges(s, d)).select("node_type", F.round("mean_degree", 6).alias("mean_degree"))
 
 
-@query(f"WITH {_TRADE_EDGES} SELECT count(*) AS n_nodes, count(*) FILTER (degree IS NULL) AS n_orphans, round(avg(CASE WHEN degree IS NULL THEN 1.0 ELSE 0.0 END), 6) AS orphan_rate FROM v LEFT JOIN deg USING (id)")
+#: graph_nodes and graph_edges as they are: repeated and isolated nodes, blank and dangling ends.
+_DEG = "deg AS (SELECT id, count(*) AS degree FROM (SELECT start_id AS id FROM graph_edges UNION ALL SELECT end_id FROM graph_edges) WHERE id IS NOT NULL GROUP BY id)"
+
+
+@query(f"WITH {_DEG} SELECT node_type, count(*) AS n_nodes, count(*) FILTER (degree IS NULL) AS n_orphans, round(avg((degree IS NULL)::INT), 6) AS orphan_rate FROM graph_nodes LEFT JOIN deg USING (id) GROUP BY node_type")
 def orphan_rate(s, d):
-    return gm.orphan_rate(trade_nodes(s, d), trade_edges(s, d)).withColumn("orphan_rate", F.round("orphan_rate", 6))
+    return gm.orphan_rate(table(s, d, "graph_nodes"), table(s, d, "graph_edges")).withColumn("orphan_rate", F.round("orphan_rate", 6))
 
 
 @query(f"WITH {_TRADE_EDGES} SELECT sum(n)::BIGINT AS n_rows, (sum(n) - count(*))::BIGINT AS n_duplicates, round((sum(n) - count(*)) / sum(n), 6) AS duplicate_rate FROM (SELECT count(*) AS n FROM e GROUP BY rel_type, start_id, end_id)")
@@ -384,16 +438,17 @@ def dup_edge_rate(s, d):
     return gm.duplicates(trade_edges(s, d), ["rel_type", "start_id", "end_id"]).withColumn("duplicate_rate", F.round("duplicate_rate", 6))
 
 
-@query(f"WITH {_TRADE_EDGES}, q AS (SELECT quantile_cont(degree, 0.99) AS p99 FROM deg) SELECT round(p99, 6) AS p99, (SELECT count(*) FROM deg WHERE degree > p99) AS n_above FROM q")
+@query("""WITH deg AS (SELECT rel_type, id, count(*) AS degree FROM (SELECT rel_type, start_id AS id FROM graph_edges UNION ALL SELECT rel_type, end_id FROM graph_edges) WHERE id IS NOT NULL GROUP BY ALL), q AS (SELECT rel_type, quantile_cont(degree, 0.99) AS p99 FROM deg GROUP BY rel_type)
+SELECT rel_type, round(p99, 6) AS p99, count(*) FILTER (degree > p99) AS n_above FROM deg JOIN q USING (rel_type) GROUP BY ALL""")
 def degree_outliers(s, d):
-    return gm.degree_outliers(trade_edges(s, d)).withColumn("p99", F.round("p99", 6))
+    return gm.degree_outliers(table(s, d, "graph_edges")).withColumn("p99", F.round("p99", 6))
 
 
-@query(f"""WITH RECURSIVE {_TRADE_EDGES}, l AS (SELECT DISTINCT start_id AS a, end_id AS b FROM e UNION SELECT end_id, start_id FROM e),
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT start_id AS a, end_id AS b FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL UNION SELECT end_id, start_id FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL UNION SELECT id, id FROM graph_nodes WHERE id IS NOT NULL),
 cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a AS id, a AS comp FROM l UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc AS u, l, cc AS v WHERE l.a = u.id AND l.b = v.id AND v.comp < u.comp ORDER BY u.id, v.comp)),
 g AS (SELECT comp, count(*) AS n FROM cc GROUP BY comp) SELECT sum(n)::BIGINT AS n_nodes, count(*) AS n_components, max(n) AS largest, round(max(n) / sum(n), 6) AS largest_fraction FROM g""")
 def components(s, d):
-    return algo.component_summary(trade_edges(s, d)).withColumn("largest_fraction", F.round("largest_fraction", 6))
+    return algo.component_summary(table(s, d, "graph_nodes"), table(s, d, "graph_edges")).withColumn("largest_fraction", F.round("largest_fraction", 6))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'region_' || n_regionkey AS src, 'nation_' || n_nationkey AS dst FROM nation UNION SELECT 'nation_' || c_nationkey, 'customer_' || c_custkey FROM customer UNION SELECT 'customer_' || o_custkey, 'order_' || o_orderkey FROM orders),
@@ -403,38 +458,53 @@ def bfs_depth(s, d):
     return algo.bfs_depth(e("nation", "region_", "n_regionkey", "nation_", "n_nationkey").union(e("customer", "nation_", "c_nationkey", "customer_", "c_custkey")).union(e("orders", "customer_", "o_custkey", "order_", "o_orderkey")), "region_0")
 
 
-TYPES = [("customer", "party"), ("supplier", "party"), ("party", "thing"), ("order", "event"), ("event", "thing"), ("part", "thing"), ("nation", "place"), ("region", "place"), ("place", "thing"), ("thing", "place")]
-DOMAINS = [("placed", "party", "event"), ("contains", "event", "place"), ("suppliedBy", "party", "party"), ("inNation", "thing", "place"), ("inRegion", "party", "event")]
-_TYPES = "t(child, parent) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TYPES) + "), cl AS (SELECT child, parent AS ancestor FROM t UNION SELECT cl.child, t.parent FROM cl JOIN t ON t.child = cl.ancestor)"
+_HP = "t AS (SELECT DISTINCT hp_id AS child, 'HP:' || unnest(regexp_extract_all(is_a, '(?i)HP[:_]([0-9]{7})', 1)) AS parent FROM phenotype_nodes WHERE hp_id IS NOT NULL), cl AS (SELECT child, parent AS ancestor FROM t UNION SELECT cl.child, t.parent FROM cl JOIN t ON t.child = cl.ancestor)"
 
 
-@query(f"WITH RECURSIVE {_TYPES} SELECT child, ancestor FROM cl")
+@query(f"WITH RECURSIVE {_HP} SELECT child, ancestor FROM cl")
 def closure(s, d):
-    return algo.closure(s.createDataFrame(TYPES, "child string, parent string"))
+    t = table(s, d, "phenotype_nodes")
+    up = F.regexp_extract_all("is_a", F.lit("(?i)HP[:_]([0-9]{7})"), F.lit(1))
+    return algo.closure(t.select(F.col("hp_id").alias("child"), F.explode(F.transform(up, lambda x: F.concat(F.lit("HP:"), x))).alias("parent")))
+
+
+#: A type's superclasses are the databases its nodes come from; a relation's domain is the first
+#: database of the type its edges start at, its range the type they end at.
+_DOMAINS = """cl AS (SELECT DISTINCT node_type AS child, source_database AS ancestor FROM graph_nodes WHERE source_database IS NOT NULL), v AS (SELECT id, max(node_type) AS t FROM graph_nodes GROUP BY id),
+typed AS (SELECT rel_type, start_id, end_id, a.t AS ts, b.t AS te FROM graph_edges LEFT JOIN v a ON a.id = start_id LEFT JOIN v b ON b.id = end_id),
+ends AS (SELECT rel_type, arg_min(ts, (start_id, end_id)) FILTER (ts IS NOT NULL) AS start_type, arg_min(te, (start_id, end_id)) FILTER (te IS NOT NULL) AS end_type FROM typed GROUP BY rel_type),
+dr AS (SELECT rel_type, min(ancestor) AS domain, end_type AS "range" FROM ends JOIN cl ON child = start_type WHERE end_type IS NOT NULL GROUP BY rel_type, end_type)"""
 
 
-@query(f"""WITH RECURSIVE {_TYPES}, dr(rel_type, domain, range) AS (VALUES {', '.join(str(x) for x in DOMAINS)}), {_TRADE_EDGES}, ok AS (SELECT child, ancestor FROM cl UNION SELECT child, child FROM cl UNION SELECT ancestor, ancestor FROM cl)
-SELECT e.rel_type, sum((a.node_type IS NOT NULL AND o1.child IS NULL)::INT + (b.node_type IS NOT NULL AND o2.child IS NULL)::INT)::BIGINT AS violations FROM e JOIN dr USING (rel_type) LEFT JOIN v a ON a.id = start_id LEFT JOIN v b ON b.id = end_id LEFT JOIN ok o1 ON o1.child = a.node_type AND o1.ancestor = domain LEFT JOIN ok o2 ON o2.child = b.node_type AND o2.ancestor = range GROUP BY e.rel_type""")
+@query(f"""WITH {_DOMAINS} SELECT rel_type, sum((ts IS NOT NULL AND ts <> domain AND (ts, domain) NOT IN (SELECT (child, ancestor) FROM cl))::INT + (te IS NOT NULL AND te <> "range" AND (te, "range") NOT IN (SELECT (child, ancestor) FROM cl))::INT)::BIGINT AS violations FROM typed JOIN dr USING (rel_type) GROUP BY rel_type""")
 def domain_range_violations(s, d):
-    cl = algo.closure(s.createDataFrame(TYPES, "child string, parent string"))
-    return catalog.violations(trade_edges(s, d), trade_nodes(s, d), s.createDataFrame(DOMAINS, "rel_type string, domain string, range string"), cl)
+    nodes, edges = table(s, d, "graph_nodes"), table(s, d, "graph_edges")
+    up = nodes.select(F.col("node_type").alias("child"), F.col("source_database").alias("parent")).distinct()
+    cl = algo.closure(up)
+    ends = build.relation_ends(edges, nodes)
+    dr = ends.join(cl, F.col("child") == F.col("start_type")).groupBy("rel_type", F.col("end_type").alias("range")).agg(F.min("ancestor").alias("domain"))
+    return catalog.violations(edges, nodes, dr, cl)
 
 
-@query(f"WITH {_TRADE_EDGES} SELECT rel_type, count(*) AS n FROM e WHERE start_id IN (SELECT id FROM v WHERE node_type <> 'order') AND end_id IN (SELECT id FROM v) GROUP BY rel_type")
+@query(f"WITH {_DOMAINS} SELECT rel_type, start_type, end_type FROM ends WHERE start_type IS NOT NULL AND end_type IS NOT NULL")
+def relation_ends(s, d):
+    return build.relation_ends(table(s, d, "graph_edges"), table(s, d, "graph_nodes"))
+
+
+@query("SELECT rel_type, count(*) AS n FROM graph_edges WHERE start_id IN (SELECT id FROM graph_nodes) AND end_id IN (SELECT id FROM graph_nodes) GROUP BY rel_type")
 def endpoint_filter(s, d):
-    e, v = trade_edges(s, d), trade_nodes(s, d)
-    starts = v.where("node_type <> 'order'").select(F.col("id").alias("start_id"))
-    return gm.edge_counts(e.join(starts, "start_id", "left_semi").join(v.select(F.col("id").alias("end_id")), "end_id", "left_semi"))
+    return gm.edge_counts(build.valid_edges(table(s, d, "graph_edges"), table(s, d, "graph_nodes")))
 
 
 def graph_triples(s, d):
     """graph_nodes and graph_edges as triples, the shape of a loaded ontology."""
     base = "http://ex.org/kg#"
-    iri = lambda c: F.concat(F.lit(base), c)
+    # Each kind of node has a namespace of its own.
+    iri = lambda c: F.concat(F.lit("http://ex.org/"), F.substring_index(c, "_", 1), F.lit("#"), c)
     v, e = table(s, d, "graph_nodes"), table(s, d, "graph_edges")
-    kinds = v.select(iri("id").alias("s"), F.lit(build.RDF + "type").alias("p"), F.explode(F.array(F.lit(build.OWL + "NamedIndividual"), iri("node_type"))).alias("o"), F.lit(False).alias("o_is_literal"))
+    kinds = v.select(iri("id").alias("s"), F.lit(build.RDF + "type").alias("p"), F.explode(F.array(F.lit(build.OWL + "NamedIndividual"), F.concat(F.lit(base), "node_type"))).alias("o"), F.lit(False).alias("o_is_literal"))
     lits = v.select(iri("id").alias("s"), F.lit(base + "source").alias("p"), F.col("source_key").alias("o"), F.lit(True).alias("o_is_literal")).where("o is not null")
-    rels = e.where(~x.is_blank("start_id") & ~x.is_blank("end_id")).select(iri("start_id").alias("s"), iri("rel_type").alias("p"), iri("end_id").alias("o"), F.lit(False).alias("o_is_literal"))
+    rels = e.where(~x.is_blank("start_id") & ~x.is_blank("end_id")).select(iri("start_id").alias("s"), F.concat(F.lit(base), "rel_type").alias("p"), iri("end_id").alias("o"), F.lit(False).alias("o_is_literal"))
     return kinds.unionByName(lits).unionByName(rels)
 
 
@@ -449,17 +519,24 @@ def triple_edges(s, d):
     return gm.edge_counts(build.triple_edges(graph_triples(s, d)))
 
 
-@query("SELECT 'http://ex.org/kg#' AS namespace")
+@query("SELECT arg_min(ns, (-n, ns)) AS namespace FROM (SELECT 'http://ex.org/' || split_part(id, '_', 1) || '#' AS ns, count(DISTINCT id) AS n FROM graph_nodes GROUP BY 1)")
 def namespace_detection(s, d):
     return build.main_namespace(graph_triples(s, d))
 
 
-@query()
+@query(f"""WITH {_DOMAINS}, ep AS (SELECT rel_type, string_agg(DISTINCT '`' || k || '`: row.`' || k || '`', ', ' ORDER BY '`' || k || '`: row.`' || k || '`') AS f FROM (SELECT rel_type, unnest(map_keys(props)) AS k FROM graph_edges) GROUP BY rel_type),
+types AS (SELECT DISTINCT node_type AS t FROM graph_nodes), part AS (
+  SELECT 0 AS sec, '' AS k, '// indexes' AS line UNION ALL SELECT 1, t, 'CREATE INDEX ON :`' || t || '`(id);' FROM types UNION ALL SELECT 2, '', '' UNION ALL SELECT 3, '', '// nodes'
+  UNION ALL SELECT 4, t, 'LOAD CSV FROM "./nodes_' || t || '.csv" WITH HEADER AS row CREATE (:`' || t || '` {{`id`: row.`id`, `database`: row.`database`, `source`: row.`source`}});' FROM types
+  UNION ALL SELECT 5, '', '' UNION ALL SELECT 6, '', '// edges'
+  UNION ALL SELECT 7, rel_type, 'LOAD CSV FROM "./edges_' || rel_type || '.csv" WITH HEADER AS row MATCH (a:`' || start_type || '` {{id: row.start_id}}), (b:`' || end_type || '` {{id: row.end_id}}) CREATE (a)-[:`' || rel_type || '`' || coalesce(' {{' || f || '}}', '') || ']->(b);' FROM ends LEFT JOIN ep USING (rel_type) WHERE start_type IS NOT NULL AND end_type IS NOT NULL)
+SELECT (row_number() OVER (ORDER BY sec, k) - 1)::INTEGER AS line_no, line FROM part""")
 def cypher_script(s, d):
-    nodes, edges = build.build_nodes(*reversed(_trade_mappings(s, d)[::2])), trade_edges(s, d)
-    props = export.property_names(nodes)
-    rels = {r: ("A", "B", []) for r in ("placed", "contains")}
-    return s.createDataFrame([(i, v) for i, v in enumerate(export.cypher_script(props, rels).splitlines())], "line_no int, line string") if edges else None
+    """The script that imports graph_nodes and graph_edges, all types and relations."""
+    v, e = table(s, d, "graph_nodes"), table(s, d, "graph_edges")
+    nodes = v.select("id", "node_type", F.create_map(F.lit("source"), F.array("source_key"), F.lit("database"), F.array("source_database")).alias("props"))
+    lines = export.cypher_script(export.property_names(nodes), export.relation_properties(e, build.relation_ends(e, v))).splitlines()
+    return s.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 
 # Metrics
@@ -494,18 +571,25 @@ def record_counts(s, d):
     return tm.record_counts({t: table(s, d, t) for t in ("genes", "disease_nodes", "graph_edges")})
 
 
-@query("WITH r AS (SELECT start_id AS a, end_id AS b FROM graph_edges WHERE trim(start_id) <> '' AND trim(end_id) <> ''), v AS (SELECT DISTINCT id FROM graph_nodes) SELECT count(*) AS n_rows, count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS n_resolved, round(avg((x.id IS NOT NULL AND y.id IS NOT NULL)::INT), 6) AS resolution_rate FROM r LEFT JOIN v x ON x.id = a LEFT JOIN v y ON y.id = b")
+@query("""WITH r AS (SELECT trim(coalesce(start_id, ''), E' \\t\\n\\r') AS a, trim(coalesce(end_id, ''), E' \\t\\n\\r') AS b FROM graph_edges WHERE source_database = 'CTD'), v AS (SELECT DISTINCT trim(id) AS id FROM graph_nodes WHERE trim(id) <> '')
+SELECT count(*) AS n_rows, count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS n_resolved, round(avg((x.id IS NOT NULL AND y.id IS NOT NULL)::INT), 6) AS resolution_rate FROM r LEFT JOIN v x ON x.id = a LEFT JOIN v y ON y.id = b""")
 def resolution_rate(s, d):
+    """All edges of one source, blank and dangling ends among them."""
     v = table(s, d, "graph_nodes").select("id")
-    return gm.resolution_rate(table(s, d, "graph_edges"), "start_id", "end_id", v, v).withColumn("resolution_rate", F.round("resolution_rate", 6))
+    return gm.resolution_rate(table(s, d, "graph_edges"), "start_id", "end_id", v, v, "source_database", "CTD").withColumn("resolution_rate", F.round("resolution_rate", 6))
 
 
-@query("SELECT round(avg((doc_id IN (SELECT doc_id FROM doc_labels))::INT), 6) AS match_rate FROM documents")
+@query("WITH k AS (SELECT trim(umls_cui, E' \\t\\n\\r') AS k FROM disease_nodes WHERE load_no > 4), b AS (SELECT DISTINCT trim(umls_cui, E' \\t\\n\\r') AS k FROM disease_nodes WHERE load_no <= 4) SELECT count(*) AS n_eligible, round(avg((k IN (SELECT k FROM b WHERE k IS NOT NULL))::INT), 6) AS match_rate FROM k WHERE k <> ''")
 def merge_match_rate(s, d):
-    return gm.match_rate(table(s, d, "documents"), "doc_id", table(s, d, "doc_labels").select("doc_id")).select(F.round("match_rate", 6).alias("match_rate"))
+    """The identifiers of the later loads that the earlier ones have."""
+    t = table(s, d, "disease_nodes")
+    return gm.match_rate(t.where("load_no > 4"), "umls_cui", t.where("load_no <= 4").select("umls_cui")).withColumn("match_rate", F.round("match_rate", 6))
 
 
-@query("WITH a AS (SELECT type_of_gene, count(*) AS n FROM genes GROUP BY 1), b AS (SELECT type_of_gene, count(*) AS n FROM genes WHERE load_no <= 4 GROUP BY 1) SELECT type_of_gene, a.n, coalesce(b.n, 0) AS n_before, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b USING (type_of_gene)")
+_DELTA = "a AS (SELECT type_of_gene, count(*) AS n FROM genes GROUP BY 1), b AS (SELECT type_of_gene, count(*) AS n FROM genes WHERE load_no <= 4 GROUP BY 1), delta AS (SELECT a.type_of_gene, a.n, coalesce(b.n, 0) AS n_before, a.n - coalesce(b.n, 0) AS delta FROM a LEFT JOIN b ON a.type_of_gene IS NOT DISTINCT FROM b.type_of_gene)"
+
+
+@query(f"WITH {_DELTA} SELECT * FROM delta")
 def count_delta(s, d):
     """The table now against the table as it was after its fourth load."""
     g = table(s, d, "genes")
@@ -513,14 +597,45 @@ def count_delta(s, d):
     return gm.count_deltas(c(g), c(g.where("load_no <= 4")), "type_of_gene")
 
 
-@query("SELECT count(*) AS n_values, coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS n_pairs FROM (SELECT source_key, count(DISTINCT id) AS n FROM graph_nodes WHERE trim(source_key) <> '' GROUP BY 1) WHERE n > 1")
+@query(f"WITH {_DELTA} SELECT count(*) FILTER (delta <> 0) AS n_changed, coalesce(max(abs(delta)), 0)::BIGINT AS max_abs_delta FROM delta")
+def largest_delta(s, d):
+    return gm.largest_delta(count_delta(s, d))
+
+
+_EXPECTED = {"genes": ["GeneID", "Symbol", "map_location"], "chemical_nodes": ["chemical_id", "inchikey"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, coalesce(string_agg(p, '|' ORDER BY p) FILTER (p NOT IN (SELECT column_name FROM (DESCRIBE {t}))), '') AS missing, round(avg((p IN (SELECT column_name FROM (DESCRIBE {t})))::INT), 6) AS completeness FROM (VALUES {', '.join(f'(' + chr(39) + p + chr(39) + ')' for p in ps)}) x(p)" for t, ps in _EXPECTED.items()))
+def property_completeness(s, d):
+    found = {t: table(s, d, t).columns for t in _EXPECTED}
+    return s.createDataFrame([(t, "|".join(m), round(c, 6)) for t, m, c in gm.property_completeness(_EXPECTED, found)], "table_name string, missing string, completeness double")
+
+
+_REFS = "refs AS (SELECT DISTINCT id, v AS value FROM (SELECT mondo_id AS id, unnest([" + ", ".join(f"trim({c}, E' \\t\\n\\r')" for c in ("umls_cui", "omim_id", "doid", "mesh_id")) + "]) AS v FROM disease_nodes) WHERE v <> '' AND id IS NOT NULL), g AS (SELECT value, count(*) AS n FROM refs GROUP BY value)"
+
+
+def _disease_references(s, d):
+    return gm.references(table(s, d, "disease_nodes"), ["umls_cui", "omim_id", "doid", "mesh_id"], "mondo_id")
+
+
+@query(f"WITH {_REFS} SELECT count(*) AS n_values, coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS n_pairs FROM g WHERE n > 1")
 def shared_reference_pairs(s, d):
-    return gm.shared_reference_pairs(table(s, d, "graph_nodes"), "source_key")
+    return gm.shared_reference_pairs(_disease_references(s, d))
+
+
+@query(f"WITH {_REFS} SELECT sum(n)::BIGINT AS n_entries, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_resolved, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS resolution_rate FROM g")
+def reference_resolution(s, d):
+    return gm.reference_resolution(_disease_references(s, d)).withColumn("resolution_rate", F.round("resolution_rate", 6))
+
 
+@query("SELECT coalesce(sum(n - 1), 0)::BIGINT AS n_repeated FROM (SELECT count(*) AS n FROM graph_nodes WHERE id IS NOT NULL GROUP BY node_type, id)")
+def repeated_ids(s, d):
+    return gm.repeated_ids(table(s, d, "graph_nodes"))
 
-@query("SELECT source_key AS value, string_agg(DISTINCT id, '|' ORDER BY id) AS ids FROM graph_nodes WHERE trim(source_key) <> '' GROUP BY 1")
+
+@query(f"WITH {_REFS} SELECT value, string_agg(id, '|' ORDER BY id) AS ids FROM refs GROUP BY value")
 def nodes_per_value(s, d):
-    return gm.nodes_per_value(table(s, d, "graph_nodes"), "source_key").select("value", F.array_join("ids", "|").alias("ids"))
+    return gm.nodes_per_value(_disease_references(s, d)).select("value", F.array_join("ids", "|").alias("ids"))
 
 
 @query("SELECT 'node' AS kind, count(DISTINCT node_type) AS n_types, string_agg(DISTINCT node_type, '|' ORDER BY node_type) AS types FROM graph_nodes UNION ALL SELECT 'edge', count(DISTINCT rel_type), string_agg(DISTINCT rel_type, '|' ORDER BY rel_type) FROM graph_edges")
@@ -580,10 +695,64 @@ def windowed_usage(s, d):
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'switched on') THEN 'execute' WHEN contains(text, 'was read as') THEN 'end' ELSE 'none' END AS step FROM documents WHERE text IS NOT NULL")
+#: Responses with tags in every state: closed, left open, named inside think blocks, missing.
+_TAGGED = [("with", "<think>"), ("from", "</think>"), ("the", "<execute>"), ("after", "</execute>"), ("was", "<solution>"), ("and", "</solution>"), ("in", "<observation>"), ("for", "</observation>")]
+
+
+def _tagged(c):
+    for word, tag in _TAGGED:
+        c = F.replace(c, F.lit(f" {word} "), F.lit(f" {tag} "))
+    return c
+
+
+_TAGS = "text"
+for _word, _tag in _TAGGED:
+    _TAGS = f"replace({_TAGS}, ' {_word} ', ' {_tag} ')"
+_WS = "E' \\t\\n\\r\\f\\x0b'"
+_ENDED = f"""a AS (SELECT doc_id, {_TAGS} AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, t, regexp_replace(t, '(?s)<think>.*?</think>', '', 'g') AS o FROM a),
+c AS (SELECT doc_id, t, o, contains(o, '<execute>') AND NOT contains(o, '</execute>') AS ne FROM b), e AS (SELECT doc_id, t || CASE WHEN ne THEN '</execute>' ELSE '' END AS t, o || CASE WHEN ne THEN '</execute>' ELSE '' END AS o FROM c),
+f AS (SELECT doc_id, t, o, contains(o, '<solution>') AND NOT contains(o, '</solution>') AS ns FROM e), g AS (SELECT doc_id, t || CASE WHEN ns THEN '</solution>' ELSE '' END AS t, o || CASE WHEN ns THEN '</solution>' ELSE '' END AS o FROM f),
+h AS (SELECT doc_id, t || CASE WHEN contains(t, '<think>') AND NOT contains(t, '</think>') THEN '</think>' ELSE '' END AS t, o FROM g)"""
+
+
+@query(f"""WITH {_ENDED} SELECT doc_id, md5(regexp_replace(regexp_replace(t, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{a0}}]+$', '')) AS repaired,
+CASE WHEN regexp_matches(o, '(?s)<solution>.*?</solution>') THEN 'end' WHEN regexp_matches(o, '(?s)<execute>.*?</execute>') THEN 'execute' ELSE 'generate' END AS step FROM h""")
 def tag_dispatch(s, d):
-    t = F.replace(F.replace("text", F.lit("switched on"), F.lit("<execute>")), F.lit("was read as"), F.lit("<solution>"))
-    return table(s, d, "documents").where("text is not null").select("doc_id", logs.next_step(t).alias("step"))
+    t = table(s, d, "documents").where("text is not null").select("doc_id", _tagged(F.col("text")).alias("t"))
+    return t.select("doc_id", F.md5(logs.repair_tags("t")).alias("repaired"), logs.next_step("t").alias("step"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_TAGS} AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, t, regexp_extract(t, '(?s)<solution>(.*?)</solution>', 1) AS sol, regexp_matches(t, '(?s)<solution>.*?</solution>') AS has, regexp_replace(t, '(?s)<(?:think|execute|observation)>.*?</(?:think|execute|observation)>', '', 'g') AS rest FROM a),
+c AS (SELECT doc_id, CASE WHEN has THEN sol WHEN regexp_replace(rest, '[\\s\\x{{a0}}]+', '', 'g') <> '' THEN rest ELSE t END AS x FROM b)
+SELECT doc_id, md5(left(regexp_replace(regexp_replace(x, '^[\\s\\x{{a0}}]+', ''), '[\\s\\x{{a0}}]+$', ''), 2000)) AS answer FROM c""")
+def solutions(s, d):
+    t = table(s, d, "documents").where("text is not null").select("doc_id", _tagged(F.col("text")).alias("t"))
+    return t.select("doc_id", F.md5(logs.solution("t")).alias("answer"))
+
+
+_CODE = ["#!R plot(1)", "# R code x", "# R script y", "# R notes", "#!BASH ls", "# Bash script ls", "# Bashing numbers", "#!CLI ls", "print(1)", " #!R late"]
+_MARKS = ["#!R", "# R code", "# R script", "#!BASH", "# Bash script", "#!CLI"]
+
+
+@query(f"""WITH t AS (SELECT event_id, (list_value({', '.join(f"'{c}'" for c in _CODE)}))[event_id % {len(_CODE)} + 1] || event_id AS c FROM events)
+SELECT event_id, CASE {' '.join(f"WHEN starts_with(c, '{m}') THEN '{'r' if ' R' in m or '!R' in m else 'bash'}'" for m in _MARKS)} ELSE 'python' END AS language, CASE WHEN regexp_matches(c, '^({'|'.join(_MARKS)})') THEN trim(regexp_replace(c, '^({'|'.join(_MARKS)})', '')) ELSE c END AS code FROM t""")
+def code_languages(s, d):
+    c = F.concat(F.element_at(F.array(*map(F.lit, _CODE)), (F.pmod("event_id", F.lit(len(_CODE))) + 1).cast("int")), F.col("event_id").cast("string"))
+    t = table(s, d, "events").select("event_id", c.alias("c"))
+    return t.select("event_id", logs.code_language("c").alias("language"), logs.without_marker("c").alias("code"))
+
+
+@query("""WITH f AS (SELECT user_id, event_id, coalesce((value > 50)::INT, 0) AS f, row_number() OVER w AS n, coalesce(sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, lag(f, 1, 0) OVER w AS f1, lag(f, 2, 0) OVER w AS f2 FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, CASE WHEN n > 150 THEN 'max_iterations' WHEN spent >= 4000.005 THEN 'max_cost' WHEN f1 + f2 = 2 THEN 'max_failures' END AS ended_by FROM g""")
+def run_ends(s, d):
+    return logs.run_ends(table(s, d, "events"), "user_id", "event_id", "value", F.col("value") > 50, 150, 4000.005, 2).select("user_id", "event_id", "ended_by")
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS result FROM (SELECT user_id, event_type, event_id, value FROM events) GROUP BY ALL")
+def last_results(s, d):
+    return logs.last_results(table(s, d, "events"), "user_id", "event_type", "event_id", "value").withColumnRenamed("value", "result")
 
 
 # Per-source plans over the domain's own tables

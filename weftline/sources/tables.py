@@ -206,7 +206,7 @@ def uberon(basic: DataFrame, human: DataFrame, include: str = "uberon_slim", exc
     """Both as from obo.terms; only human anatomy of the slim comes out."""
     h = human.where(F.startswith("id", F.lit("UBERON:"))).select("id").distinct().withColumn("_human", F.lit(1))
     t = basic.where(F.startswith("id", F.lit("UBERON:")) & ~F.col("is_obsolete")).join(h, "id", "left")
-    t = t.where((F.col("_human") == 1) & F.array_contains("subset", include) & ~n.overlaps("subset", list(exclude)))
+    t = t.where((F.col("_human") == 1) & n.tagged("subset", include, list(exclude)))
     of = lambda *ps: F.array_join(F.filter("xref", lambda v: x.starts_with_any(F.upper(v), list(ps))), "|")
     out = t.select(
         F.col("id").alias("uberon_id"), F.coalesce("name", F.lit("")).alias("uberon_name"), n.synonym_texts("synonym").alias("synonyms"), x.first_quoted("def").alias("definition"), of("MESH:", "MSH:").alias("mesh_id"), of("FMA:").alias("fma_id"), of("BTO:").alias("bto_id"),
