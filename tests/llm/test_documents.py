@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,35 @@ def test_paraphrases_of_a_vocabulary_far_above_the_rank(spark):
     assert len(want) >= 10 and got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("replaced", [0.0, 0.1, 0.2, 0.3])
+def test_planted_items_with_words_replaced(spark, replaced):
+    """300 items set whole into 300 of 400 documents of the same vocabulary."""
+    rng = random.Random(11)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklmn" for b in ("ala", "ero", "imi", "otu", "upa", "ane", "iro", "ulo") for c in ("s", "x", "tis", "ma", "lin", "ter", "vin", "zol", "", "n9", "k", "d")]
+    rng.shuffle(vocab)
+    common = [1 / (k + 2) for k in range(len(vocab))]
+    text = lambda n: rng.choices(vocab, common, k=n)
+    qs = [text(rng.randrange(40, 110)) for _ in range(300)]
+    texts = []
+    for i in range(400):
+        t = text(rng.randrange(60, 140))
+        if i < 300:
+            part = [rng.choice(vocab) if rng.random() < replaced else w for w in qs[i]]
+            at = rng.randrange(len(t))
+            t = t[:at] + part + t[at:]
+        texts.append(" ".join(t))
+    got = {(r.doc_id, r.item_id) for r in leak.paraphrases(docs(spark, texts), items(spark, [" ".join(q) for q in qs])).collect()}
+    recall, precision = len(got & {(i, i) for i in range(300)}) / 300, len(got & {(i, i) for i in range(300)}) / len(got)
+    print("replaced", replaced, "recall", recall, "precision", precision)
+    assert recall >= (1.0 if replaced == 0 else 0.9) and precision >= 0.9
+
+
+def test_sums_in_levels(spark):
+    parts = spark.createDataFrame([(s, p, np.array([1.0, float(p)]).tobytes()) for s in (0, 4096) for p in range(100)], "strip int, part long, g binary")
+    for width in (3, 32, 1000):
+        assert {r.strip: np.frombuffer(r.g).tolist() for r in leak._tree_sum(parts, 100, width).collect()} == {0: [100.0, 4950.0], 4096: [100.0, 4950.0]}
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "s", "Hello world, hello."), (2, None, None), (3, "s", ""), (4, "s", "é" * 10_000), (5, "s", "<|endoftext|>")], "doc_id long, source string, text string")
     n = {r.doc_id: r.n_tokens for r in tokens.with_token_counts(df).collect()}

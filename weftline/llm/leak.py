@@ -3,19 +3,21 @@
 The items are the stated query set: they are taken in blocks of a bounded number
 of words, and every block is held against all documents.
 
-1. One scan normalises and tokenises the documents and keeps, in ids of the
-   block's vocabulary, each document's known words and its maximal runs of
-   known words. A passage that repeats ``run`` words of an item lies in such a
-   run, so nothing is lost by looking there alone.
-2. Document frequencies are counted over all documents, and a randomised SVD of
-   the TF-IDF matrix (documents x vocabulary) is computed in a few passes: each
-   partition multiplies its rows with the current basis, the partial products
-   are added up, and only vocabulary x rank numbers reach the driver.
-3. Windows of the runs and of the items are projected, and pairs with a high
-   cosine are candidates. Equal windows have equal vectors, so all of them are.
+1. One scan normalises and tokenises the documents and keeps every document as
+   ids of the block's vocabulary, unknown words as -1. All that follows reads that.
+2. Documents are cut into passages. Passage frequencies, then a randomised SVD of
+   the TF-IDF matrix (passages x vocabulary), are computed in a few passes: each
+   partition multiplies its rows with the current basis, the partial products are
+   added in levels of bounded width, and only vocabulary x rank numbers reach the
+   driver.
+3. Windows of the documents and of the items are projected and scaled to unit
+   length, and pairs with a high cosine are candidates. Equal windows have equal
+   vectors, so all of them are.
 4. Candidates are checked: for verbatim leaks word by word; for paraphrases by
    the longest common subsequence and by how many of the passage's telling
-   words (its answer: names with digits, and the rarest words) turn up.
+   words (its answer: words with digits, and the rarest words) turn up. As a
+   document must hold so many of them, an index from telling words to item
+   passages says beforehand which passages a document can leak at all.
 """
 
 from __future__ import annotations
@@ -75,76 +77,117 @@ def item_blocks(items: DataFrame, block_words: int = 200_000) -> Iterator[Block]
         yield Block(vocabulary, some)
 
 
-def known_runs(docs: DataFrame, vocabulary: dict[str, int], run: int) -> DataFrame:
-    """(doc_id, hits, runs): distinct known word ids, and the maximal runs of at least
-    ``run`` known words, end to end with -1 after each. Documents without known
-    words have no row."""
+def known_words(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, n_words, ids): each document as ids of the vocabulary, -1 for other words; ids
+    is null where no word is known. Null and empty texts have no row."""
     kept = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most block_words entries
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = kept.value.get
         for b in batches:
-            ids, hits, runs = [], [], []
+            doc_ids, sizes, ids = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = np.array(list(map(get, words(text), repeat(-1))), dtype=np.int32)
-                known = w >= 0
-                if not known.any():
-                    continue
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-                long = [np.append(w[i:j], np.int32(-1)) for i, j in zip(edge[::2], edge[1::2], strict=True) if j - i >= run]
-                ids.append(doc)
-                hits.append(np.unique(w[known]))
-                runs.append(np.concatenate(long) if long else w[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int32()))], names=["doc_id", "hits", "runs"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, hits array<int>, runs array<int>")
-
-
-def document_frequencies(known: DataFrame, size: int) -> np.ndarray:
-    """Over all documents; at most one row per word of the block reaches the driver."""
-    df = np.zeros(size)
-    for r in known.select(F.explode("hits").alias("w")).groupBy("w").count().collect():
-        df[r.w] = r["count"]
-    return df
-
-
-def _dense(b: pa.RecordBatch, idf: np.ndarray, at: int, n: int) -> np.ndarray:
-    """Rows at..at+n of a batch of hits as unit TF-IDF vectors."""
-    col = b.column("hits").slice(at, n)
-    a = np.zeros((len(col), len(idf)), dtype=np.float32)
-    flat = col.flatten().to_numpy()
-    rows = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
-    a[rows, flat] = idf[flat]
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-
-
-def latent_basis(known: DataFrame, idf: np.ndarray, rank: int = 64, passes: int = 2, seed: int = 5, extra: np.ndarray | None = None) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the TF-IDF matrix, by randomised
-    subspace iteration. ``extra``: further rows (the items), held on the driver."""
+                if len(w):
+                    doc_ids.append(doc)
+                    sizes.append(len(w))
+                    ids.append(w if (w >= 0).any() else None)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_words", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, ids array<int>")
+
+
+def _passages(b: pa.RecordBatch, window: int, size: int, at_once: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, word, times) of the known words in a batch of documents, each cut into passages
+    of ``window`` words, some ``at_once`` words at a time."""
+    lists = b.column("ids")
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten().to_numpy()
+    if not len(flat):
+        return
+    starts = np.concatenate([[0], ends[:-1]])
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + at_once, side="right")))
+        ids = flat[starts[i] : ends[j - 1]]
+        sizes = ends[i:j] - starts[i:j]
+        passages = -(-sizes // window)
+        first = np.cumsum(passages) - passages
+        within = np.arange(len(ids)) - np.repeat(starts[i:j] - starts[i], sizes)
+        row = np.repeat(first, sizes) + within // window
+        known = ids >= 0
+        key, times = np.unique(row[known].astype(np.int64) * size + ids[known], return_counts=True)
+        yield key // size, key % size, times
+        i = j
+
+
+def _tree_sum(parts: DataFrame, n: int, width: int = 32) -> DataFrame:
+    """Adds ``parts(strip, part, g)``, arrays of doubles as bytes, per strip: ``width`` of the
+    ``n`` partitions at a time, so that no task holds more than that many arrays."""
+
+    def total(p: pd.DataFrame) -> pd.DataFrame:
+        g = sum(np.frombuffer(x) for x in p["g"])
+        return pd.DataFrame({"strip": p["strip"].iloc[:1], "part": p["part"].iloc[:1] // width, "g": [g.tobytes()]})
+
+    while True:
+        parts = parts.groupBy("strip", F.expr(f"part div {width}")).applyInPandas(total, "strip int, part long, g binary")
+        n = -(-n // width)
+        if n <= 1:
+            return parts
+
+
+def _partition() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def passage_frequencies(known: DataFrame, size: int, window: int) -> np.ndarray:
+    """In how many passages each word of the block is, over all documents."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size)
+        for b in batches:
+            for _, word, _ in _passages(b, window, size):
+                n += np.bincount(word, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_partition()], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["strip", "part", "g"])
+
+    ids = known.select("ids")
+    rows = _tree_sum(ids.mapInArrow(partial, "strip int, part long, g binary"), ids.rdd.getNumPartitions()).collect()  # one row: a number per word of the block
+    return np.frombuffer(rows[0].g).copy() if rows else np.zeros(size)
+
+
+def latent_basis(known: DataFrame, idf: np.ndarray, window: int, rank: int = 64, passes: int = 2, seed: int = 5, extra: np.ndarray | None = None) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the TF-IDF matrix of all passages, by
+    randomised subspace iteration. ``extra``: further rows (the items), held on the driver."""
     size = len(idf)
     rank = min(rank, size)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))[0]
-    idf32 = idf.astype(np.float32)
     strip_rows = 4096
+    ids = known.select("ids")
     for _ in range(passes):
-        basis = known.sparkSession.sparkContext.broadcast(q.astype(np.float32))  # vocabulary x rank
+        basis = known.sparkSession.sparkContext.broadcast((q.astype(np.float32), idf.astype(np.float32)))  # vocabulary x rank
 
         def partial(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
+            q, idf = basis.value
             g = np.zeros((size, rank))
-            step = max(16, min(1024, 4_000_000 // max(1, size)))
             for b in batches:
-                for i in range(0, b.num_rows, step):
-                    a = _dense(b, idf32, i, step)
-                    g += a.T @ (a @ basis.value)
+                for row, word, times in _passages(b, window, size):
+                    if not len(row):
+                        continue
+                    x = times.astype(np.float32) * idf[word]
+                    x /= np.sqrt(np.bincount(row, x * x))[row].astype(np.float32)
+                    # Rows are in order: sums over a passage, then, by word, over all passages.
+                    cut_ = np.flatnonzero(np.diff(row, prepend=-1))
+                    y = np.add.reduceat(q[word] * x[:, None], cut_)
+                    at = np.repeat(np.arange(len(cut_)), np.diff(np.append(cut_, len(row))))
+                    by = np.argsort(word, kind="stable")
+                    cut_ = np.flatnonzero(np.diff(word[by], prepend=-1))
+                    g[word[by][cut_]] += np.add.reduceat(y[at[by]] * x[by, None], cut_)
             part = range(0, size, strip_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.int32()), pa.array([g[i : i + strip_rows].tobytes() for i in part], pa.binary())], names=["strip", "g"])
-
-        def total(p: pd.DataFrame) -> pd.DataFrame:
-            g = sum(np.frombuffer(x) for x in p["g"])
-            return pd.DataFrame({"strip": p["strip"].iloc[:1], "g": [g.tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.int32()), pa.array([_partition()] * len(part), pa.int64()), pa.array([g[i : i + strip_rows].tobytes() for i in part], pa.binary())], names=["strip", "part", "g"])
 
-        # The partial products of few partitions are added per strip of the vocabulary.
-        rows = known.select("hits").mapInArrow(partial, "strip int, g binary").groupBy("strip").applyInPandas(total, "strip int, g binary").collect()
+        rows = _tree_sum(ids.mapInArrow(partial, "strip int, part long, g binary"), ids.rdd.getNumPartitions()).collect()
         g = np.zeros((size, rank))
         for r in rows:
             x = np.frombuffer(r.g).reshape(-1, rank)
@@ -180,15 +223,17 @@ class Model:
     known: Scratch
 
 
-def fit(docs: DataFrame, block: Block, run: int, rank: int) -> Model:
-    known = Scratch(known_runs(docs, block.vocabulary, run), "known-runs")
-    n = docs.count()
-    idf = np.log((n + 1) / (document_frequencies(known.df, len(block.vocabulary)) + 1)) + 1
-    extra = np.zeros((len(block.items), len(idf)))
-    for i, (_, w) in enumerate(block.items):
-        extra[i, w] = idf[w]
+def fit(docs: DataFrame, block: Block, window: int, rank: int) -> Model:
+    known = Scratch(known_words(docs, block.vocabulary), "known-words")
+    size = len(block.vocabulary)
+    n = known.df.agg(F.sum(F.ceil(F.col("n_words") / window))).first()[0] or 0
+    idf = np.log((n + 1) / (passage_frequencies(known.df, size, window) + 1)) + 1
+    starts = [(w, i) for _, w in block.items for i in range(0, len(w), window)]
+    extra = np.zeros((len(starts), size))
+    for r, (w, i) in enumerate(starts):
+        np.add.at(extra[r], w[i : i + window], idf[w[i : i + window]])
     extra /= np.maximum(np.linalg.norm(extra, axis=1, keepdims=True), 1e-12)
-    return Model(latent_basis(known.df, idf, rank, extra=extra) * idf[:, None], idf, known)
+    return Model(latent_basis(known.df, idf, window, rank, extra=extra) * idf[:, None], idf, known)
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_cosine: float = 0.999, block_words: int = 200_000) -> DataFrame:
@@ -223,12 +268,20 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
             qv, qw, qi, weights, axis, band = q.value
             qx = qv[:, axis].copy()
             for b in batches:
-                lens = pa.compute.list_value_length(b.column("runs")).to_numpy(zero_copy_only=False)
-                flat = b.column("runs").flatten().to_numpy()
+                lens = pa.compute.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False)
+                flat = b.column("ids").flatten().to_numpy()
                 doc = np.repeat(b.column("doc_id").to_numpy(), lens)
                 found = set()
-                end = np.flatnonzero(flat < 0)
-                start = np.concatenate([[0], end[:-1] + 1]).astype(int) if len(end) else end
+                # Maximal runs of known words within a document: a leak lies in one of at least ``run`` words.
+                known = flat >= 0
+                begins = known & ~np.concatenate([[False], known[:-1]])
+                ends_ = known & ~np.append(known[1:], False)
+                borders = np.cumsum(lens)[:-1]
+                begins[borders] |= known[borders]
+                ends_[borders - 1] |= known[borders - 1]
+                start, end = np.flatnonzero(begins), np.flatnonzero(ends_) + 1
+                long = end - start >= run
+                start, end = start[long], end[long]
                 w, d, v = [], [], []
                 held = 0
                 for i, j in zip(start, end, strict=True):
@@ -262,9 +315,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
                 a = sorted(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in a], pa.int64()), pa.array([y for _, y in a], pa.int64())], names=["doc_id", "item_id"])
 
-        # Few documents have runs; they are spread evenly over the tasks.
-        with_runs = m.known.df.where(F.size("runs") > 0).select("doc_id", "runs").repartition(spark.sparkContext.defaultParallelism * 2, "doc_id")
-        x = with_runs.mapInArrow(search, "doc_id long, item_id long")
+        x = m.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long")
         out = x if out is None else out.unionByName(x)
     if out is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id")).limit(0)
@@ -284,6 +335,27 @@ def _lcs(same: np.ndarray) -> np.ndarray:
     return row[-1]
 
 
+class _Index:
+    """From telling words to the item passages that hold them, with how many of a
+    passage's positions each word fills. A document can only pass the answer check
+    for passages of whose telling positions it fills ``min_answer``."""
+
+    def __init__(self, padded: np.ndarray, told: np.ndarray, size: int, min_answer: float):
+        j, k = np.nonzero(told)
+        key, times = np.unique(padded[j, k].astype(np.int64) * len(padded) + j, return_counts=True)
+        word = key // len(padded)
+        self.passage, self.times = key % len(padded), times
+        self.first = np.searchsorted(word, np.arange(size + 1))
+        # With nothing telling a passage is always looked at.
+        self.least = np.where(told.any(axis=1), min_answer * told.sum(axis=1) - 1e-9, 0.0)
+
+    def passages(self, ids: np.ndarray) -> np.ndarray:
+        w = np.unique(ids[ids >= 0])
+        n, at = self.first[w + 1] - self.first[w], self.first[w]
+        some = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(self.passage[some], self.times[some], minlength=len(self.least)) >= self.least)
+
+
 def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int = 12, rank: int = 48, min_cosine: float = 0.6, min_lcs: float = 0.5, min_answer: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share): per document and item the best
     pair of passages that passes all three thresholds.
@@ -295,7 +367,8 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
     of words that no item has, which the other two thresholds see. lcs_share is the
     longest common subsequence over the item passage's words, answer_share the part
     of the item passage's telling words found in the document passage: words with a
-    digit and the quarter with the highest idf.
+    digit and the quarter with the highest idf. Null and empty texts match nothing,
+    repeated rows of either table give a pair once.
     """
     spark = docs.sparkSession
     out = None
@@ -311,19 +384,15 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
         told = np.where(padded >= 0, telling[padded], False)
         # The last row is the unknown word, -1.
         weights = np.concatenate([m.weights, np.zeros((1, m.weights.shape[1]))])
-        qt = np.concatenate([_project(w, weights, len(w)) for _, w in ps]).T.copy()
-        q = spark.sparkContext.broadcast((block.vocabulary, weights, qt, owner, size, padded, told))  # bounded by block_words
+        qv = np.concatenate([_project(w, weights, len(w)) for _, w in ps])
+        index = _Index(padded, told, len(m.idf), min_answer)
+        q = spark.sparkContext.broadcast((weights, qv, owner, size, padded, told, index))  # bounded by block_words
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, qt, owner, size, padded, told = q.value
-            get = vocabulary.get
-            # A common subsequence is no longer than the known words of a window.
-            least = min_lcs * size.min() - 1e-9
+            weights, qv, owner, size, padded, told, index = q.value
             for b in batches:
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                wins: list[np.ndarray] = []
-                vecs: list[np.ndarray] = []
-                of: list[np.ndarray] = []
+                held: list[tuple[np.ndarray, ...]] = []
 
                 def check(doc: np.ndarray, w: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
                     same = w.T[:, None, :] == padded[j].T[None, :, :]
@@ -339,41 +408,41 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
                             best[d, i] = tuple(x)  # noqa: B023
 
                 def flush() -> None:
-                    doc, w, v = np.concatenate(of), np.concatenate(wins), np.concatenate(vecs)  # noqa: B023
-                    for k in range(0, len(v), 1024):
-                        s = v[k : k + 1024] @ qt
-                        i, j = np.nonzero(s >= min_cosine)
-                        for c in range(0, len(i), 8192):
-                            x, y = i[c : c + 8192], j[c : c + 8192]
-                            check(doc[k + x], w[k + x], y, s[x, y])
-                    for x in (of, wins, vecs):  # noqa: B023
-                        x.clear()
-
-                held = 0
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    ids = np.array(list(map(get, words(text), repeat(-1))), dtype=np.int32)
-                    if not len(ids):
+                    doc, w, j, cosine = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
+                    for k in range(0, len(doc), 8192):
+                        check(doc[k : k + 8192], w[k : k + 8192], j[k : k + 8192], cosine[k : k + 8192])
+                    held.clear()  # noqa: B023
+
+                n = 0
+                for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                    ids = ids.values.to_numpy()
+                    some = index.passages(ids)
+                    if not len(some):
                         continue
                     long = min(window, len(ids))
+                    # A common subsequence is no longer than the known words of a window.
                     known = np.concatenate([[0], np.cumsum(ids >= 0)])
-                    at = np.flatnonzero(known[long:] - known[:-long] >= least)
-                    if not len(at):
-                        continue
-                    w = np.full((len(at), window), -3, dtype=np.int32)
-                    w[:, :long] = _windows(ids, long)[at]
-                    wins.append(w)
-                    vecs.append(_project(ids, weights, long)[at])
-                    of.append(np.full(len(at), doc))
-                    held += len(at)
-                    if held >= 4096:
-                        flush()
-                        held = 0
+                    at = np.flatnonzero(known[long:] - known[:-long] >= min_lcs * size[some].min() - 1e-9)
+                    # A very long document is taken in stretches.
+                    for k in range(0, len(at), 4096):
+                        a = at[k : k + 4096]
+                        v = _project(ids[a[0] : a[-1] + long], weights, long)[a - a[0]]
+                        s = v @ qv[some].T
+                        x, y = np.nonzero(s >= min_cosine)
+                        if len(x):
+                            w = np.full((len(x), window), -3, dtype=np.int32)
+                            w[:, :long] = _windows(ids, long)[a[x]]
+                            held.append((np.full(len(x), doc), w, some[y], s[x, y]))
+                            n += len(x)
+                            if n >= 8192:
+                                flush()
+                                n = 0
                 if held:
                     flush()
                 a = sorted(best.items())
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in a], pa.int64()), pa.array([k[1] for k, _ in a], pa.int64()), *[pa.array([v[i] for _, v in a], pa.float64()) for i in (1, 0, 2)]], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        x = docs.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism * 2, "doc_id").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        x = m.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = x if out is None else out.unionByName(x)
     if out is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), *[F.lit(0.0).alias(c) for c in ("cosine", "lcs_share", "answer_share")]).limit(0)
