@@ -173,3 +173,29 @@ def test_tables_padded_to_fixed_columns():
         assert max(chars, key=chars.get) == "table", chars
     loose = "\n".join(f"The liver was {cell(16)} not read  and it {cell(12)} had to be  seen again in {cell(14)}" + ("." if i % 2 else "  for the spring.") for i in range(6))
     assert quality.judge(loose, common)[0]["prose"] == sum(map(len, loose.split("\n")))
+
+
+def _entries(indent: str):
+    """Entries of two lines: a name, and what looks like a sentence."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdklmnrt") + rng.choice("aeiou") for _ in range(3))
+    return "\n".join(f"{word()} {word()[:3]}\n{indent}" + " ".join(word() for _ in range(9)) + f" the {word()}." for _ in range(9))
+
+
+def test_indentation_and_line_lengths_decide(monkeypatch):
+    common = frozenset(COMMON)
+    kind = lambda t: max(quality.KINDS, key=quality.judge(t, common)[0].get)
+    rng = random.Random(9)
+    # Lines of any length in which only the indentation returns.
+    flat = "\n".join(("    " if k % 3 else "") + " ".join("".join(rng.choice("bdklmnrt") + rng.choice("aeiou") for _ in range(3)) for _ in range(rng.randrange(3, 11))) + ("." if k % 2 else "") for k in range(18))
+    by_length, by_indent = _entries(""), flat
+    assert kind(by_length) == kind(by_indent) == "list"
+    with monkeypatch.context() as m:
+        m.setattr(quality, "_length_period", lambda x: 0)
+        assert kind(by_length) != "list" and kind(by_indent) == "list"
+    with monkeypatch.context() as m:
+        m.setattr(quality, "_period", lambda x: 0)
+        assert kind(by_indent) != "list" and kind(by_length) == "list"
+    # Paragraphs of equally many lines, the first one indented, are prose.
+    wrapped = "\n".join(("   " if k % 4 == 0 else "") + "The liver was not read as normal, and it had to be seen again" for k in range(16))
+    assert kind(wrapped) == "prose"

@@ -2,13 +2,13 @@
 
 A document is cut into lines, lines are joined into blocks, and every block is
 judged: tables by delimiters that stand in the same number (and order), or by
-gaps that begin or end in the same columns, down consecutive lines, lists by marks, keys and entries that do not fill the line,
-junk by what its characters and words are made of, prose by common words and
-sentences. The kind with most characters is the document's kind. Indentation
-periodicity and line-length autocorrelation are only reported, per document:
-they mix the kinds of a mixed document, and lines without marks are judged one
-by one: wrapped prose fills its lines (each next word would not have fitted),
-entries do not.
+gaps that begin or end in the same columns, down consecutive lines; lists by
+marks, keys and entries that do not fill the line, or, where entries take several
+lines and look like sentences one by one, by an indentation or a line length
+that returns after the same number of lines (indentation periodicity, line-length
+autocorrelation); junk by what its characters and words are made of; prose by
+common words and sentences: wrapped prose fills its lines (each next word would
+not have fitted), entries do not. The kind with most characters is the document's.
 
 Everything is per document, in Arrow batches, in time linear in the text.
 """
@@ -89,6 +89,17 @@ def _period(indents: np.ndarray) -> int:
     return at if best > 0.4 else 0
 
 
+def _length_period(lens: np.ndarray) -> int:
+    """The distance (2 to 8 lines) after which line lengths return, 0 if they do not: their
+    autocorrelation there is high, and far above that of neighbouring lines."""
+    if len(lens) < 8 or lens.min() == lens.max():
+        return 0
+    near = _autocorrelation(lens, 1)
+    found = [(_autocorrelation(lens, lag), lag) for lag in range(2, min(8, len(lens) // 3) + 1)]
+    best, at = max(found, key=lambda x: (x[0], -x[1]))
+    return at if best >= 0.5 and best >= near + 0.5 else 0
+
+
 def _gaps(line: str) -> tuple[frozenset[int], frozenset[int]]:
     """Columns in which the gaps of a line (two blanks or more, within it) begin, and end."""
     found = [m.span() for m in _GAP.finditer(line.rstrip(), len(line) - len(line.lstrip()))] if "  " in line else []
@@ -242,6 +253,12 @@ def _judge_stretch(lines: list[str], ws_of: list[list[str]], hits: list[int], ma
         n = sum(len(ws_of[k]) for k in block)
         share = sum(hits[k] for k in block) / n if n else 0.0
         listed = j - i >= 3 and len(loose) >= 0.8 * (j - i) and filled <= 0.5 * (j - i - 1) and share < 0.25
+        if not listed and j - i >= 6 and share < 0.25 and sum(bool(_END.search(lines[k])) for k in block) <= 0.6 * (j - i):
+            # Entries of several lines: not wrapped text, and what stands in a line returns.
+            full = sum(len(lines[k]) + 1 + len((lines[k + 1].split() or [""])[0]) > 0.92 * width for k in range(i, j - 1))
+            if full <= 0.5 * (j - i - 1):
+                lens = np.array([len(lines[k]) for k in block], dtype=float)
+                listed = _period(np.array([len(lines[k]) - len(lines[k].lstrip()) for k in block], dtype=float)) > 0 or _length_period(lens) > 0
         beside = j - i < 3 and len(loose) == j - i and share < 0.2 and any(0 <= k < len(kind) and kind[k] == "list" for k in (i - 1, j)) and n <= 12 * (j - i)
         for k in block:
             kind[k] = "list" if listed or beside else "prose"

@@ -101,14 +101,29 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p10_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the statistics that SQL can say as well."""
+    return p10_statistics(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in RATIOS])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     q = quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), statistics=False)
     return q.where("kind <> 'prose'").select("doc_id", "kind")
 
 
+def p9_rates_by_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The rates of the mixture for sizes that SQL can count as well: characters for tokens."""
+    sizes = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    r = mixing.source_rates(sizes, table(spark, d, "source_weights"))
+    return r.select("source", "size", F.round("rate", 6).alias("rate"), "short")
+
+
+RATIOS = ["n_chars", "n_words", "mean_word_length", "symbol_share", "digit_share"]
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_all": p3_all, "p8_found": p8_found, "p8_paraphrases": p8_paraphrases,
-    "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics,
+    "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rates_by_characters": p9_rates_by_characters, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_ratios": p10_ratios,
 }
 
 
@@ -135,7 +150,16 @@ measured AS (SELECT mesh_id_0, mesh_id_1, x.c AS n0, y.c AS n1, n01, n FROM ever
 
 _GRAM = "SELECT {k}, w[i:i + 11] AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, regexp_extract_all(strip_accents(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g'))), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}) WHERE len(w) >= 12)"
 
+_WORDS = r"regexp_extract_all(regexp_replace(text, '</?[A-Za-z][^<>\r\n]*>', ' ', 'g'), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')"
+_BARE = r"regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x{85}]', '', 'g')"
+
 SQL = {
+    "p9_rates_by_characters": """WITH s AS (SELECT lower(trim(source, E' \t\n\r')) AS source, sum(coalesce(length(text), 0))::BIGINT AS size FROM documents GROUP BY 1), w AS (SELECT lower(trim(source)) AS source, target_share, max_repeats FROM source_weights),
+x AS (SELECT w.source, coalesce(s.size, 0)::BIGINT AS size, target_share * (SELECT sum(size) FROM s) AS wanted, max_repeats FROM w LEFT JOIN s ON s.source = w.source)
+SELECT source, size, round(CASE WHEN size > 0 THEN least(wanted / size, max_repeats) ELSE 0.0 END, 6) AS rate, size * max_repeats < wanted AS short FROM x""",
+    "p10_ratios": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), x AS (SELECT doc_id, text, {_WORDS} AS w, greatest(length({_BARE}), 1) AS n FROM t)
+SELECT doc_id, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0.0 END, 6) AS mean_word_length,
+  round((n - coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x))), 0)) / n, 6) AS symbol_share, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '\\p{{Nd}}+'), lambda x: length(x))), 0) / n, 6) AS digit_share FROM x""",
     "p2_groups": f"WITH RECURSIVE {_GROUPS} SELECT node AS mondo_id, min(other) AS group_id FROM reach GROUP BY node",
     "p2_found": f"WITH RECURSIVE {_GROUPS} SELECT node AS mondo_id, min(other) AS group_id FROM reach GROUP BY node HAVING count(*) > 1",
     "p3_pairs": f"WITH {_OCC} SELECT mesh_id_0, mesh_id_1, n0, n1, n01, round(n01 * n / (n0 * n1), 6) AS lift, round(log2(n01 * n / (n0 * n1)), 6) AS pmi FROM found",
