@@ -88,3 +88,9 @@ def test_every_pair_of_items_is_reported(spark, tmp_path):
     # Five articles, among them one without an item.
     assert got == {("D1", "D2"): (2, 2, 2, 2.5), ("D1", "D3"): (2, 2, 1, 1.25), ("D2", "D3"): (2, 2, 1, 1.25), ("C9", "D3"): (2, 2, 1, 1.25)}
     assert queries.QUERIES["p3_pairs"](spark, str(tmp_path)).count() == 0
+
+
+def test_counts_of_billions_do_not_overflow(spark):
+    items = spark.createDataFrame([(b, i) for b in range(4) for i in "xy"], "basket long, item string")
+    r = cooccurrence.associations(items, 5_000_000_000_000_000_000, 1, 5.0).first()
+    assert (r.n0, r.n1, r.n01) == (4, 4, 4) and abs(r.lift / 1.25e18 - 1) < 1e-12

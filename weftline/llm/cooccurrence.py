@@ -47,9 +47,12 @@ def associations(occurrences: DataFrame, n_baskets: int, min_together: int = 1,
     """
     occ = cut(occurrences.where("basket is not null and item is not null").select("basket", "item").distinct(), "occurrences")
     counts = cut(occ.groupBy("item").agg(F.count(F.lit(1)).alias("c")), "items")
-    usable = counts.where((F.col("c") >= min_together) & (F.col("c") * min_lift <= n_baskets))
+    usable = counts.where((F.col("c") >= min_together) & (F.col("c") * F.lit(float(min_lift)) <= n_baskets))
     pairs = pair_counts(occ.join(usable.select("item"), "item", "left_semi"), block).where(F.col("n01") >= min_together)
     x = pairs.join(counts.select(F.col("item").alias("item0"), F.col("c").alias("n0")), "item0").join(counts.select(F.col("item").alias("item1"), F.col("c").alias("n1")), "item1")
-    exact = (F.col("n01") * n_baskets) >= (F.lit(min_lift) * F.col("n0") * F.col("n1"))
-    lift = F.col("n01") * F.lit(float(n_baskets)) / (F.col("n0") * F.col("n1"))
+    # Products of counts leave 64 bits at billions of baskets; as decimals they are exact.
+    d = lambda c: c.cast("decimal(19,0)")
+    together, chance = d(F.col("n01")) * d(F.lit(n_baskets)), d(F.col("n0")) * d(F.col("n1"))
+    exact = together.cast("double") >= F.lit(float(min_lift)) * chance.cast("double")
+    lift = together.cast("double") / chance.cast("double")
     return x.where(exact).select("item0", "item1", "n0", "n1", "n01", lift.alias("lift"), F.log2(lift).alias("pmi"))

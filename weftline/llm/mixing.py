@@ -28,7 +28,9 @@ def source_rates(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     """
     by = sizes.groupBy(clean_source("source").alias("source")).agg(F.sum("n_tokens").alias("size"))
     total = by.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    w = weights.select(clean_source("source").alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
+    w = weights.select(clean_source("source").alias("source"), "target_share", "max_repeats").where("source is not null")
+    # A source listed twice counts with its largest share.
+    w = w.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("w")).select("source", "w.target_share", "w.max_repeats")
     x = w.join(by, "source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     x = x.withColumn("total", F.lit(total).cast("long"))
     wanted = F.col("target_share") * F.col("total")
