@@ -92,5 +92,5 @@ def test_every_pair_of_items_is_reported(spark, tmp_path):
 
 def test_counts_of_billions_do_not_overflow(spark):
     items = spark.createDataFrame([(b, i) for b in range(4) for i in "xy"], "basket long, item string")
-    r = cooccurrence.associations(items, 5_000_000_000_000_000_000, 1, 5.0).first()
+    r = associations(items, 5_000_000_000_000_000_000, 1, 5.0).first()
     assert (r.n0, r.n1, r.n01) == (4, 4, 4) and abs(r.lift / 1.25e18 - 1) < 1e-12
