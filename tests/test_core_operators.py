@@ -29,21 +29,38 @@ def test_salted_empty_and_tied_identity(spark):
     assert [tuple(r) for r in salted_aggregate(same, ["key"], F.col("id"), [count_rows("n")]).collect()] == [("x", 100)]
 
 
-def test_store_of_signed_deltas(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), (" ", 1), ("bb", 2)], "c string, load_no int")
-    store = pf.ValueCounts(spark).apply(pf.value_counts(df, "t", ["c"]))
+def test_store_of_signed_deltas(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 1), (" ", 1), ("bb", 2), ("z", None)], "c string, load_no int")
+    store = pf.ValueCounts(spark, str(tmp_path / "store"))
+    assert set(store.sync("t", df, ["c"])) == {1, 2, None} and store.sync("t", df, ["c"]) == []
     p = pf.column_profile(store.read(), {("t", "c"): "a+"}).first()
-    assert (p.n_rows, p.n_null, p.n_distinct, p.min_value, p.max_value, p.max_length, p.n_format) == (5, 2, 2, "a", "bb", 2, 1)
-    assert p.entropy_bits == pytest.approx(0.9182958340544896)
-    wrong = df.where("load_no = 2")
-    store.apply(pf.value_counts(wrong, "t", ["c"]), -1)
-    p = pf.column_profile(store.read()).first()
-    assert (p.n_rows, p.n_distinct, p.entropy_bits) == (4, 1, 0.0)
-    assert {tuple(r) for r in store.compact().read().collect()} == {tuple(r) for r in store.read().collect()}
-    nothing = pf.ValueCounts(spark).apply(pf.value_counts(df.limit(0), "t", ["c"])).read()
+    assert (p.n_rows, p.n_null, p.n_distinct, p.min_value, p.max_value, p.max_length, p.n_format) == (6, 2, 3, "a", "z", 2, 2)
+    assert p.entropy_bits == pytest.approx(1.5)
+    before = sorted(map(str, store.read().collect()))
+    more = df.union(spark.createDataFrame([("new", 8), ("a", 8)], df.schema))
+    assert store.sync("t", more, ["c"]) == [8] and pf.column_profile(store.read()).first().n_rows == 8
+    # Another process finds what is there; a load that came and went leaves nothing.
+    again = pf.ValueCounts(spark, str(tmp_path / "store"))
+    assert again.sync("t", df, ["c"]) == [8] and sorted(map(str, again.read().collect())) == before
+    assert spark.read.parquet(again.path).where("sign = -1").count() == 2
+    assert again.sync("t", more, ["c"]) == [8] and pf.column_profile(again.read()).first().n_rows == 8
+    changed = more.where("not (load_no = 1 and c <=> 'a')").union(spark.createDataFrame([("q", 1)], df.schema))
+    assert again.sync("t", changed, ["c"]) == [1] and {tuple(r) for r in again.read().where("load_no = 1").select("value", "n").collect()} == {(None, 1), (" ", 1), ("q", 1)}
+    again.put(pf.value_counts(changed, "t", ["c"]), "t", [1, 2, 8, None])  # delivered twice
+    assert pf.column_profile(again.read()).first().n_rows == 7
+    assert sorted(map(str, again.compact().read().collect())) == sorted(map(str, again.read().collect()))
+    nothing = pf.load_store({"t": (df.limit(0), ["c"])}).read()
     assert pf.column_profile(nothing).count() == 0 and pf.unusual_loads(nothing, {"nulls": [("t", "c")]}).count() == 0
 
 
+def test_counts_of_billions(spark):
+    rows = [("t", "c", load, v, n) for load in (1, 2, 3) for v, n in (("x" * 100, 3_000_000_000_000), (None, 1_000_000_000_000 * load))]
+    counts = spark.createDataFrame(rows, "table_name string, column_name string, load_no int, value string, n long")
+    assert {(r.kind, r.load_no) for r in pf.unusual_loads(counts, {"nulls": [("t", "c")], "length": [("t", "c")]}, null_gap=0.2).collect()} == {("nulls", 1)}
+    r = {x.load_no: x for x in pf.load_distances(counts).collect()}
+    assert r[1].value_distance == 0.0 and r[1].value_divergence == 0.0 and r[2].value_entropy == 0.0
+
+
 def test_unusual_loads(spark):
     rows = [("x" * 30, 1)] * 30 + [("x" * 20, 2)] * 30 + [(None, 3)] * 10 + [("y" * 20, 3)] * 20 + [("z", 4)] * 5 + [("w", None)] * 40
     df = spark.createDataFrame([(v if v is None or len(v) > 1 else f"{v}{i:020d}"[:20], n) for i, (v, n) in enumerate(rows)], "c string, load_no int")
@@ -104,21 +121,37 @@ def test_flags_and_other_grammars(spark):
     assert (list(r.x), list(r.n), list(r.l)) == (["MIM:1", "HGNC:HGNC:2", "Ensembl:E.1"], ["12", "34", "12"], ["a; b", "c"])
 
 
+def test_identifiers_by_their_form(spark):
+    texts = ["mondo_0001234 ! x;MONDO:0005678", "MONDO:00012345 Mondo:7654321", "none", None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string").withColumn("pos", F.lit("a clashing column"))
+    got = [(r.row_id, r.pos, r.value, r.flag) for r in peg.value_rows(df.drop("pos"), "t", peg.term_ids("MONDO")).collect()]
+    assert got == [(0, 1, "MONDO:0001234", None), (0, 2, "MONDO:0005678", None), (1, 1, "MONDO:7654321", None), (2, None, None, "no_value")]
+
+
+@pytest.mark.parametrize(("text", "values", "flag"), [
+    ("[a; b]|c", ["a; b", "c"], None), ("[a; b|c", ["a", "b", "c"], "unclosed_bracket"), ('"x|y", [p]', ["x|y", "p"], None), ('"x|[p;q]', ["x", "p;q"], "unclosed_quote"), ('["a|b"]', ['"a|b"'], None), ("[]", [], "no_value"),
+    ('a""b', ["a", "b"], None), ('"a""', ["a"], "unclosed_quote"), ("[a[b]", ["a", "b"], "unclosed_bracket"), ("a]b", ["a", "b"], None),
+])
+def test_malformed_quotes_and_brackets(spark, text, values, flag):
+    r = spark.createDataFrame([(text,)], "t string").select(F.transform(peg.split_values("t", peg.LISTS), lambda v: v["value"]).alias("v"), peg.parse_flags("t", peg.LISTS).alias("f")).first()
+    assert (list(r.v), r.f) == (values, flag)
+
+
 def test_loads_with_other_values_of_like_number_and_length(spark):
     rng = random.Random(9)
     rows = [(load, rng.choice("ABCD") if load != 3 else rng.choice("WXYZ"), f"{rng.randrange(10**6):06d}" if load != 5 else "".join(rng.choice("abcdef") for _ in range(6)), rng.choice(["p", "q"])) for load in range(1, 9) for _ in range(60)]
     df = spark.createDataFrame(rows, "load_no int, kind string, id string, same string")
-    store = pf.load_store({"t": (df, df.columns)}, by_load=True)
+    store = pf.load_store({"t": (df, df.columns)})
     counts = store.read()
     assert spark.read.parquet(store.path).count() == counts.count()
     kinds = ["nulls", "length", "repeats"]
     assert pf.unusual_loads(counts.where("column_name <> 'same'"), {k: [("t", "kind"), ("t", "id")] for k in kinds[:2]}).count() == 0
     assert {(r.column_name, r.kind, r.load_no) for r in pf.different_loads(pf.load_distances(counts)).collect()} == {("kind", "values", 3), ("id", "shapes", 5)}
     d = {(r.column_name, r.load_no): r for r in pf.load_distances(counts).collect()}
-    assert d["kind", 3].value_distance == 1.0 and d["same", 1].value_distance < 0.2 and d["id", 1].shape_distance == pytest.approx(1 / 7, abs=1e-6)
+    assert d["kind", 3].value_distance == 1.0 and d["kind", 3].value_divergence == 1.0 and 1.5 < d["kind", 3].value_entropy <= 2.0 and d["same", 1].value_distance < 0.2 and d["id", 1].shape_distance == pytest.approx(1 / 7, abs=1e-6)
     p = {r.column_name: r for r in pf.column_profile(counts, {("t", "kind"): "[A-D]"}, {("t", "load_no")}).collect()}
     assert p["kind"].n_format == 60 and p["id"].n_format is None and (p["load_no"].min_value, p["load_no"].max_value) == ("1", "8")
-    only = pf.load_store({"t": (df.where("load_no = 1"), ["kind"]), "u": (df.select("kind"), ["kind"])}, by_load=True).read()
+    only = pf.load_store({"t": (df.where("load_no = 1"), ["kind"]), "u": (df.select("kind"), ["kind"])}).read()
     assert [r.value_distance for r in pf.load_distances(only).collect()] == [None, None] and pf.different_loads(pf.load_distances(only)).count() == 0
 
 
@@ -128,7 +161,7 @@ def test_every_column_of_the_node_tables_is_profiled(spark):
 
     d = "/root/testdata/sf0.001"
     want = {(t, c) for t in ("disease_nodes", "phenotype_nodes", "genes", "chemical_nodes", "graph_nodes") for c in table(spark, d, t).columns}
-    p = {(r.table_name, r.column_name): r for r in QUERIES["p5_columns"](spark, d).collect()}
+    p = {(r.table_name, r.column_name): r for r in QUERIES["p5_profile"](spark, d).collect()}
     assert set(p) == want and p["genes", "Symbol"].n_format is None and p["chemical_nodes", "inchikey"].n_format is not None
     t = table(spark, d, "genes").agg(F.min("row_id"), F.max("row_id")).first()
     assert (p["genes", "row_id"].min_value, p["genes", "row_id"].max_value) == (str(t[0]), str(t[1]))

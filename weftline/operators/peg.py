@@ -8,16 +8,18 @@ exactly that with atomic groups and possessive quantifiers, so a grammar
 without recursion compiles to one pattern and parsing stays inside the JVM.
 
 ``split_values`` reads a text from left to right with the ordered alternatives
-quoted / bracketed / bare: a quote that is not closed makes its alternative
-fail, and the reading goes back to the opening mark, which then only separates.
+quoted / bracketed / bare, or with a form of its own (an identifier): a quote or
+bracket that is not closed makes its alternative fail, and the reading goes back
+to the opening mark, which then only separates and is flagged.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import OUTER_SPACE
@@ -41,6 +43,9 @@ class Expr:
     def some(self) -> Expr:
         return Expr(f"(?>{self.pattern})++")
 
+    def times(self, n: int) -> Expr:
+        return Expr(f"(?>{self.pattern}){{{n}}}")
+
     def maybe(self) -> Expr:
         return Expr(f"(?>{self.pattern})?+")
 
@@ -49,6 +54,10 @@ def text(s: str) -> Expr:
     return Expr(re.escape(s))
 
 
+def any_case(s: str) -> Expr:
+    return Expr(f"(?i:{re.escape(s)})")
+
+
 def chars(inside: str) -> Expr:
     """One character of a class, e.g. chars(r"\\p{L}0-9")."""
     return Expr(f"[{inside}]")
@@ -82,15 +91,19 @@ class FieldGrammar:
     needs: class of which a value must hold a character to count.
     mark: quotation mark, or None where quotes only separate.
     brackets: pair around a bracketed value, or None.
+    form: what a bare value must be as a whole, in the place of ``bare``.
+    tidy: how a value is written in the end.
     """
 
     bare: str
     needs: str
     mark: str | None = '"'
     brackets: tuple[str, str] | None = None
+    form: Expr | None = None
+    tidy: Callable[[Column], Column] | None = None
 
     def value(self) -> Expr:
-        e = run(self.bare)
+        e = self.form or run(self.bare)
         if self.brackets:
             e = bracketed(*self.brackets) | e
         if self.mark:
@@ -98,8 +111,12 @@ class FieldGrammar:
         return e
 
     def token(self) -> Expr:
-        """A value, or else one opening mark that was never closed."""
-        return self.value() | text(self.mark) if self.mark else self.value()
+        """A value, or else one opening mark or bracket that was never closed."""
+        e = self.value()
+        for m in (self.mark, self.brackets and self.brackets[0]):
+            if m:
+                e = e | text(m)
+        return e
 
 
 def split_values(c: Column | str, g: FieldGrammar) -> Column:
@@ -119,20 +136,33 @@ def split_values(c: Column | str, g: FieldGrammar) -> Column:
         if g.brackets:
             b = F.startswith(x, F.lit(g.brackets[0]))
             v = F.when(b, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(v)
-        return F.struct(F.regexp_replace(v, OUTER_SPACE, "").alias("value"), q.alias("quoted"))
+        v = F.regexp_replace(v, OUTER_SPACE, "")
+        return F.struct((g.tidy(v) if g.tidy else v).alias("value"), q.alias("quoted"))
 
     return F.filter(F.transform(raw, one), lambda t: t["value"].rlike(f"[{g.needs}]"))
 
 
 def parse_flags(c: Column | str, g: FieldGrammar) -> Column:
-    """Null for a text read without trouble, else what was wrong: unclosed_quote
-    (an opening mark without its end, so it was read as a separator), or no_value
-    (text there, but nothing in it counts)."""
+    """Null for a text read without trouble, else what was wrong: unclosed_quote or
+    unclosed_bracket (an opening mark without its end, so it was read as a
+    separator), or no_value (text there, but nothing in it counts)."""
     c = F.col(c) if isinstance(c, str) else c
+    out = F.when((F.size(split_values(c, g)) == 0) & F.coalesce(F.regexp_replace(c, OUTER_SPACE, "") != "", F.lit(False)), F.lit("no_value"))
+    if not g.mark and not g.brackets:
+        return out
     tokens = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({g.token().pattern})"), F.lit(1))
-    unclosed = F.array_contains(tokens, F.lit(g.mark)) if g.mark else F.lit(False)
-    nothing = (F.size(split_values(c, g)) == 0) & F.coalesce(F.regexp_replace(c, OUTER_SPACE, "") != "", F.lit(False))
-    return F.when(unclosed, F.lit("unclosed_quote")).when(nothing, F.lit("no_value"))
+    found = lambda m: F.array_contains(tokens, F.lit(m)) if m else F.lit(False)
+    return F.when(found(g.mark), F.lit("unclosed_quote")).when(found(g.brackets and g.brackets[0]), F.lit("unclosed_bracket")).otherwise(out)
+
+
+def value_rows(df: DataFrame, column: str, g: FieldGrammar) -> DataFrame:
+    """The other columns of ``df`` with (pos, value, quoted, flag), one row per value, positions
+    from 1. A text that is flagged and holds no value gives one row without; null,
+    empty and blank texts give none."""
+    rest = [f"`{c}`" for c in df.columns if c != column]
+    x = df.select(*rest, split_values(f"`{column}`", g).alias("__v"), parse_flags(f"`{column}`", g).alias("flag"))
+    x = x.where("size(__v) > 0 or flag is not null").select(*rest, "flag", F.posexplode_outer("__v").alias("__p", "__x"))
+    return x.select(*rest, (F.col("__p") + 1).cast("int").alias("pos"), F.col("__x.value").alias("value"), F.col("__x.quoted").alias("quoted"), "flag")
 
 
 LETTERS = r"\p{L}\p{M}\p{N}"
@@ -142,5 +172,13 @@ SYNONYMS = FieldGrammar(bare=rf"{LETTERS} ,'().\-", needs=LETTERS)
 XREFS = FieldGrammar(bare=rf"{LETTERS}:./_\-", needs=":", mark=None)
 #: article numbers: runs of digits
 NUMBERS = FieldGrammar(bare="0-9", needs="0-9", mark=None)
+
+
+def term_ids(prefix: str) -> FieldGrammar:
+    """Ids of a prefix and seven digits, a colon or underscore between, in any letter case."""
+    digits = chars("0-9").times(7) + not_ahead(chars("0-9"))
+    return FieldGrammar(bare="", needs="0-9", mark=None, form=any_case(prefix) + chars(":_") + digits, tidy=lambda v: F.replace(F.upper(v), F.lit("_"), F.lit(":")))
+
+
 #: general lists with quoted, bracketed and bare values
 LISTS = FieldGrammar(bare=r"^|;,\t\r\n\"\[\]", needs=LETTERS, brackets=("[", "]"))

@@ -1,10 +1,12 @@
 """Column profiles from maintained value-count tables.
 
-A store keeps, per table, column and load, how often each value occurs:
-``(table_name, column_name, load_no, value, n)`` with signed ``n``. A load is
-added by appending its counts; a correction or a withdrawn load is appended
-with negative counts. Reading sums the deltas (and drops what cancels), so
-maintenance never touches earlier files; ``compact`` rewrites the sums.
+A store keeps, per table, column and load, how often each value occurs, in
+signed deltas ``(table_name, load_no, sign, column_name, value, n)``. A load is
+one delta, and a folder of its own: delivering it again replaces it, withdrawing
+it adds the same counts with the sign -1, delivering it after that takes the
+withdrawal back. ``sync`` compares the loads of a table with what the store
+holds of them and applies a delta for each that is new, changed or gone, and
+nothing for the others. Reading sums the deltas and drops what cancels.
 
 All metrics follow from the counts: exact, without a second look at the rows.
 Values are compared as text; a null value is kept as null, so that null rates
@@ -14,6 +16,7 @@ that fills a third of a column is a few rows per task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions.text import is_blank
-from weftline.storage import cut, scratch_path
+from weftline.storage import delete, make_folder, read_small, scratch_path, write_small
 
-SCHEMA = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("load_no", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("n", T.LongType())])
+SCHEMA = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("n", T.LongType()), T.StructField("table_name", T.StringType()), T.StructField("load_no", T.IntegerType()), T.StructField("sign", T.IntegerType())])
 
 
 def value_counts(df: DataFrame, table_name: str, columns: Sequence[str], load: str | None = "load_no") -> DataFrame:
@@ -39,26 +42,71 @@ def value_counts(df: DataFrame, table_name: str, columns: Sequence[str], load: s
 
 
 class ValueCounts:
-    """The maintained table, a folder of Parquet deltas. ``path`` None puts it
-    into the shared scratch folder."""
+    """The maintained table, a folder of Parquet deltas by table, load and sign. It lasts as
+    long as ``path``; None puts it into the shared scratch folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch_path(spark, "value-counts")
+        self.spark, self.path = spark, (path or scratch_path(spark, "value-counts")).rstrip("/")
+        make_folder(spark, self.path)
 
-    def apply(self, counts: DataFrame, sign: int = 1) -> ValueCounts:
-        """Appends a delta: +1 adds the counts, -1 takes them away."""
-        counts.select("table_name", "column_name", "load_no", "value", (F.col("n") * sign).alias("n")).write.mode("append").parquet(self.path)
+    def _folder(self, table: str, load: int | None, sign: int) -> str:
+        return f"{self.path}/table_name={table}/load_no={'__HIVE_DEFAULT_PARTITION__' if load is None else load}/sign={sign}"
+
+    def _write(self, counts: DataFrame, sign: int) -> None:
+        x = counts.select("column_name", "value", "n", "table_name", "load_no", F.lit(sign).alias("sign"))
+        x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_name", "load_no", "sign").parquet(self.path)
+
+    def put(self, counts: DataFrame, table: str, loads: Collection[int | None]) -> ValueCounts:
+        """Adds the loads of one table, each as one delta in the place of what it had before."""
+        for load in loads:
+            delete(self.spark, self._folder(table, load, -1))
+        self._write(counts, 1)
         return self
 
-    def read(self) -> DataFrame:
-        """Current counts; what cancels to zero is gone."""
-        raw = self.spark.read.schema(SCHEMA).parquet(self.path)
-        return raw.groupBy("table_name", "column_name", "load_no", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    def withdraw(self, table: str, loads: Collection[int | None]) -> ValueCounts:
+        """Takes loads away by the same counts with the sign -1; unknown loads have no effect."""
+        of = F.lit(False)
+        for load in loads:
+            of = of | F.col("load_no").eqNullSafe(F.lit(load).cast("int"))
+        self._write(self._raw().where((F.col("table_name") == table) & (F.col("sign") == 1) & of), -1)
+        return self
+
+    def _raw(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def compact(self) -> ValueCounts:
+    def read(self) -> DataFrame:
+        """(table_name, column_name, load_no, value, n): current counts; what cancels to zero is gone."""
+        return self._raw().groupBy("table_name", "column_name", "load_no", "value").agg(F.sum(F.col("n") * F.col("sign")).alias("n")).where("n <> 0")
+
+    def sync(self, table: str, df: DataFrame, columns: Sequence[str], load: str | None = "load_no") -> list[int | None]:
+        """Brings the store to what ``df`` holds; the loads for which a delta was applied. A
+        load is known by its number of rows and the sum of their hashes: one pass without a
+        shuffle of values. Loads are deliveries, a bounded few."""
+        k = (F.col(load) if load else F.lit(None)).cast("int").alias("load_no")
+        prints = df.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).collect()
+        now = {json.dumps(r.load_no): f"{r.n}:{r.h}:{','.join(columns)}" for r in prints}
+        manifest = f"{self.path}/_loads_{table}.json"
+        before = json.loads(read_small(self.spark, manifest) or "{}")
+        changed = [json.loads(x) for x in now if before.get(x) != now[x]]
+        gone = [json.loads(x) for x in before if x not in now]
+        if changed:
+            c = value_counts(df, table, columns, load)
+            if len(changed) < len(now):
+                of = F.lit(False)
+                for x in changed:
+                    of = of | F.col("load_no").eqNullSafe(F.lit(x).cast("int"))
+                c = c.where(of)
+            self.put(c, table, changed)
+        if gone:
+            self.withdraw(table, gone)
+        if changed or gone:
+            write_small(self.spark, manifest, json.dumps(now))
+        return changed + gone
+
+    def compact(self, path: str | None = None) -> ValueCounts:
         """A new store with the deltas summed; the old files stay for their readers."""
-        new = ValueCounts(self.spark)
-        self.read().write.parquet(new.path)
+        new = ValueCounts(self.spark, path)
+        new._write(self.read(), 1)
         return new
 
 
@@ -109,6 +157,17 @@ def load_statistics(counts: DataFrame) -> DataFrame:
     return s.join(t, ["table_name", "column_name"]).select("table_name", "column_name", "load_no", "n", (F.col("n") - F.col("there")).alias("nulls"), "there", "distinct", "chars", (F.col("tn") - F.col("n")).alias("o_n"), (F.col("tn") - F.col("tt") - F.col("n") + F.col("there")).alias("o_nulls"), (F.col("tt") - F.col("there")).alias("o_there"), (F.col("tc") - F.col("chars")).alias("o_chars"))
 
 
+def _null_gap(gap: float) -> Column:
+    return F.abs(F.col("nulls") / F.col("n") - F.col("o_nulls") / F.nullif("o_n", F.lit(0))) >= gap - 1e-9
+
+
+def _mean_lengths() -> tuple[Column, Column]:
+    """The mean lengths of a load and of the others times the values of both: as doubles, which
+    are exact below 2^53 and never overflow."""
+    d = lambda c: F.col(c).cast("double")
+    return d("chars") * d("o_there"), d("o_chars") * d("there")
+
+
 def unusual_loads(counts: DataFrame, kinds: dict[str, Sequence[tuple[str, str]]], min_rows: int = 20, null_gap: float = 0.2, length_ratio: float = 1.5, repeat_ratio: float = 2.0) -> DataFrame:
     """(table_name, column_name, kind, load_no) of loads that differ from all other
     loads together: kind nulls (null rates ``null_gap`` apart), length (mean lengths
@@ -116,9 +175,7 @@ def unusual_loads(counts: DataFrame, kinds: dict[str, Sequence[tuple[str, str]]]
     columns of each kind. Loads below ``min_rows`` rows and rows without a load
     number are not judged, though they count among the others."""
     s = load_statistics(counts).where(F.col("load_no").isNotNull() & (F.col("n") >= min_rows))
-    # Differences of the ratios without division, so that they are exact at the limit.
-    gap = F.abs(F.col("nulls") * F.col("o_n") - F.col("o_nulls") * F.col("n")) >= F.lit(null_gap) * F.col("n") * F.col("o_n") - F.lit(1e-9) * F.col("n") * F.col("o_n")
-    here, others = F.col("chars") * F.col("o_there"), F.col("o_chars") * F.col("there")
+    gap, here, others = _null_gap(null_gap), *_mean_lengths()
     tests: dict[str, Column] = {
         "nulls": (F.col("o_n") > 0) & gap,
         "length": (F.col("there") > 0) & (F.col("o_there") > 0) & ((here >= F.lit(length_ratio) * others) | (here * F.lit(length_ratio) <= others)),
@@ -134,18 +191,24 @@ def unusual_loads(counts: DataFrame, kinds: dict[str, Sequence[tuple[str, str]]]
 
 
 def _distance(counts: DataFrame, of: Column, name: str) -> DataFrame:
-    """Per table, column and load, the share of the load's non-blank values that would have
-    to be others for ``of`` to be distributed as in all other loads together (total
-    variation, 0 to 1); null where there are no other loads."""
+    """Per table, column and load, how far ``of`` is distributed over the load's non-blank
+    values from how it is over those of all other loads together; null where there are none.
+    <name>_distance: the share that would have to be others (total variation, 0 to 1);
+    <name>_divergence: Jensen and Shannon's, 0 to 1 bits; <name>_entropy: bits of the load."""
     key, load = ["table_name", "column_name"], ["table_name", "column_name", "load_no"]
     c = counts.where(~is_blank("value")).withColumn("of", of).groupBy(*load, "of").agg(F.sum("n").alias("n"))
     # A value has one row per load, so windows stay small; so do those over loads.
     c = c.withColumn("o", F.sum("n").over(Window.partitionBy(*key, "of")) - F.col("n"))
     size = c.groupBy(*load).agg(F.sum("n").alias("size"))
     size = size.withColumn("o_size", F.sum("size").over(Window.partitionBy(*key)) - F.col("size"))
-    same = F.sum(F.least(F.col("n") / F.col("size"), F.col("o") / F.nullif("o_size", F.lit(0))))
+    p, q = F.col("n") / F.col("size"), F.col("o") / F.nullif("o_size", F.lit(0))
+    part = lambda x: F.coalesce(F.when(x > 0, x * F.log2(2 * x / (p + q))), F.lit(0.0))
     x = c.alias("c").join(size.alias("s"), [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in load])
-    return x.groupBy(*[F.col(f"c.{k}") for k in load]).agg(F.when(F.max("o_size") > 0, F.round(1 - same, 6)).alias(name))
+    others = F.max("o_size") > 0
+    # Values that only the others have add half their share each.
+    divergence = F.greatest((F.sum(part(p)) + F.sum(part(q)) + 1 - F.sum(q)) / 2, F.lit(0.0))
+    return x.groupBy(*[F.col(f"c.{k}") for k in load]).agg(
+        F.when(others, F.round(1 - F.sum(F.least(p, q)), 6)).alias(f"{name}_distance"), F.when(others, F.round(divergence, 6)).alias(f"{name}_divergence"), F.round(F.greatest(-F.sum(p * F.log2(p)), F.lit(0.0)), 6).alias(f"{name}_entropy"))
 
 
 def load_distances(counts: DataFrame) -> DataFrame:
@@ -156,10 +219,10 @@ def load_distances(counts: DataFrame) -> DataFrame:
         shape = F.regexp_replace(shape, pattern, mark)
     # Texts of several words are all of a different shape; their first characters say what they are.
     out = load_statistics(counts)
-    for of, name in ((F.col("value"), "value_distance"), (F.substring(shape, 1, 8), "shape_distance")):
+    for of, name in ((F.col("value"), "value"), (F.substring(shape, 1, 8), "shape")):
         d = _distance(counts, of, name).alias("d")
         on = [F.col(f"x.{k}").eqNullSafe(F.col(f"d.{k}")) for k in ("table_name", "column_name", "load_no")]
-        out = out.alias("x").join(d, on, "left").select("x.*", name)
+        out = out.alias("x").join(d, on, "left").select("x.*", *[f"{name}_{x}" for x in ("distance", "divergence", "entropy")])
     return out
 
 
@@ -173,9 +236,9 @@ def different_loads(distances: DataFrame, min_rows: int = 20, gap: float = 0.2,
     w = Window.partitionBy("table_name", "column_name")  # one row per load
     per = F.when(F.col("distinct") > 0, F.col("there") / F.col("distinct"))
     s = s.withColumn("per", per).withColumns({f"usual_{c}": F.median(c).over(w) for c in ("per", "value_distance", "shape_distance")})
-    mean, others = F.col("chars") * F.col("o_there"), F.col("o_chars") * F.col("there")
+    mean, others = _mean_lengths()
     tests = {
-        "nulls": (F.col("o_n") > 0) & (F.abs(F.col("nulls") / F.col("n") - F.col("o_nulls") / F.nullif("o_n", F.lit(0))) >= gap - 1e-9),
+        "nulls": (F.col("o_n") > 0) & _null_gap(gap),
         "length": (F.col("there") > 0) & (F.col("o_there") > 0) & ((mean >= F.lit(ratio) * others) | (mean * F.lit(ratio) <= others)),
         "repeats": (F.col("per") >= repeat_ratio) & (F.col("usual_per") < repeat_ratio),
         "values": F.col("value_distance") - F.col("usual_value_distance") >= gap,
@@ -195,19 +258,13 @@ def format_violations(counts: DataFrame, formats: dict[tuple[str, str], str]) ->
     return v.where(bad).distinct()
 
 
-def load_store(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str | None = None, by_load: bool = False) -> ValueCounts:
-    """A store with one delta per table holding all its loads, or one per load. A table
-    without load_no is one delta."""
+def load_store(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str | None = None) -> ValueCounts:
+    """The store at ``path`` brought to what the tables hold, one delta per load. A table
+    without load_no is one load."""
     spark = next(iter(tables.values()))[0].sparkSession
     store = ValueCounts(spark, path)
     for name, (df, cols) in tables.items():
-        counts = value_counts(df, name, cols, "load_no" if "load_no" in df.columns else None)
-        if not by_load:
-            store.apply(counts)
-            continue
-        counts = cut(counts, "load-counts")
-        for r in counts.select("load_no").distinct().collect():  # deliveries, a bounded few
-            store.apply(counts.where(F.col("load_no").eqNullSafe(F.lit(r.load_no))))
+        store.sync(name, df, cols, "load_no" if "load_no" in df.columns else None)
     return store
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank, micros
 from weftline.operators import hierarchy as hi
 from weftline.operators.orphans import orphans
-from weftline.operators.peg import NUMBERS, SYNONYMS, XREFS, parse_flags, split_values
+from weftline.operators.peg import NUMBERS, SYNONYMS, XREFS, split_values, term_ids, value_rows
 from weftline.operators.profile import column_profile, different_loads, format_violations, load_distances, load_statistics, load_store, unusual_loads
 from weftline.operators.skew import count_rows, max_of, min_of, salted_aggregate
 from weftline.plans.tables import table
+from weftline.storage import session_path
 
 #: Tables with a hierarchy: id column, prefix of its ids.
 HIERARCHIES = {"disease_nodes": ("mondo_id", "MONDO"), "phenotype_nodes": ("hp_id", "HP")}
@@ -19,8 +22,7 @@ HIERARCHIES = {"disease_nodes": ("mondo_id", "MONDO"), "phenotype_nodes": ("hp_i
 
 def parent_ids(c: Column | str, prefix: str) -> Column:
     """All ids with this prefix in a text, written as PREFIX:0000000, in order."""
-    digits = F.regexp_extract_all(c, F.lit(rf"(?i){prefix}[:_]([0-9]{{7}})(?![0-9])"), F.lit(1))
-    return F.transform(digits, lambda d: F.concat(F.lit(prefix + ":"), d))
+    return F.transform(split_values(c, term_ids(prefix)), lambda v: v["value"])
 
 
 def term_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -103,8 +105,16 @@ UNUSUAL = {
     "length": [("disease_nodes", "definition")],
     "repeats": [("disease_nodes", "umls_cui"), ("chemical_nodes", "inchikey")],
 }
-PROFILED = ("disease_nodes", "phenotype_nodes", "genes", "chemical_nodes")
-NOT_PROFILED = {"row_id", "load_no", "loaded_at"}
+
+
+def store_path(spark: SparkSession, d: str, name: str) -> str:
+    """The value counts of a folder of tables, one place for all queries of a session: what
+    the first has counted, the next only compares with the tables."""
+    return f"{session_path(spark)}/value-counts-{name}-{hashlib.sha1(d.encode()).hexdigest()[:16]}"
+
+
+def digest(value: Column) -> Column:
+    return F.unhex(F.md5(value)).alias("digest")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,55 +122,44 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     joined back to the rows that hold it; loads are judged from the counts alone."""
     cols = {"disease_nodes": ["definition", "umls_cui"], "chemical_nodes": ["inchikey"]}
     tables = {t: (table(spark, d, t), c) for t, c in cols.items()}
-    counts = load_store(tables).read()
+    counts = load_store(tables, store_path(spark, d, "found")).read()
     bad = format_violations(counts, FORMATS)
     rows = None
     for t, (df, cs) in tables.items():
         pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cs])
-        x = df.select("row_id", F.lit(t).alias("table_name"), F.explode(pairs).alias("p")).select("row_id", "table_name", "p.*").where("value is not null")
+        x = df.select("row_id", F.lit(t).alias("table_name"), F.explode(pairs).alias("p")).where("p.value is not null").select("row_id", "table_name", "p.column_name", digest(F.col("p.value")))
         rows = x if rows is None else rows.unionByName(x)
-    fmt = rows.join(bad, ["table_name", "column_name", "value"], "left_semi").select("table_name", "column_name", F.lit("format").alias("kind"), F.col("row_id").alias("ref_id"))
+    # Values are joined by a digest of 128 bits, so that no text is moved.
+    bad = bad.select("table_name", "column_name", digest(F.col("value")))
+    fmt = rows.join(bad, ["table_name", "column_name", "digest"], "left_semi").select("table_name", "column_name", F.lit("format").alias("kind"), F.col("row_id").alias("ref_id"))
     loads = unusual_loads(counts, UNUSUAL).select("table_name", "column_name", "kind", F.col("load_no").cast("long").alias("ref_id"))
     return fmt.unionByName(loads)
 
 
-def all_counts(spark: SparkSession, d: str) -> DataFrame:
-    tables = {}
-    for t in PROFILED:
-        df = table(spark, d, t)
-        tables[t] = (df, [c for c in df.columns if c not in NOT_PROFILED])
-    return load_store(tables).read()
-
-
-def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = column_profile(all_counts(spark, d), FORMATS)
-    return p.withColumn("null_rate", F.round("null_rate", 6)).withColumn("entropy_bits", F.round("entropy_bits", 6)).withColumn("n_format", F.coalesce("n_format", F.lit(0).cast("long")))
-
-
-def p5_loads(spark: SparkSession, d: str) -> DataFrame:
-    """Every column and load beside the other loads."""
-    return load_statistics(all_counts(spark, d))
-
-
-NODE_TABLES = (*PROFILED, "graph_nodes")
+NODE_TABLES = ("disease_nodes", "phenotype_nodes", "genes", "chemical_nodes", "graph_nodes")
 
 
 def every_count(spark: SparkSession, d: str) -> tuple[DataFrame, set[tuple[str, str]]]:
     """Counts of every column of the node tables, one delta per load, and the columns of numbers."""
     tables = {t: table(spark, d, t) for t in NODE_TABLES}
     numbers = {(t, c) for t, df in tables.items() for c, kind in df.dtypes if kind in ("int", "bigint")}
-    return load_store({t: (df, df.columns) for t, df in tables.items()}, by_load=True).read(), numbers
+    return load_store({t: (df, df.columns) for t, df in tables.items()}, store_path(spark, d, "all")).read(), numbers
 
 
-def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every column of every node table; n_format is null where there is no pattern."""
     counts, numbers = every_count(spark, d)
     p = column_profile(counts, FORMATS, numbers)
     return p.withColumn("null_rate", F.round("null_rate", 6)).withColumn("entropy_bits", F.round("entropy_bits", 6))
 
 
+def p5_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Every column and load beside the other loads; graph_nodes has no loads and is one of its own."""
+    return load_statistics(every_count(spark, d)[0])
+
+
 def p5_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Every column and load of every node table beside the other loads."""
+    """p5_loads with distances, divergences and entropies of values and of their shapes."""
     return load_distances(every_count(spark, d)[0])
 
 
@@ -192,28 +191,29 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 # 7: one row per packed value
 
-PACKED = {("disease_nodes", "synonyms"): SYNONYMS, ("genes", "dbXrefs"): XREFS, ("ctd_interactions", "PubMedIDs"): NUMBERS}
+PACKED = {("disease_nodes", "synonyms"): SYNONYMS, ("genes", "dbXrefs"): XREFS, ("ctd_interactions", "PubMedIDs"): NUMBERS, ("disease_nodes", "is_a"): term_ids("MONDO")}
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def packed_values(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, column_name, row_id, pos, value, quoted, flag) of every packed column."""
     out = None
-    for (t, c), g in [*PACKED.items(), (("disease_nodes", "is_a"), None)]:
-        values = F.transform(split_values(c, g), lambda v: v["value"]) if g else parent_ids(c, HIERARCHIES[t][1])
-        x = table(spark, d, t).select("row_id", F.posexplode(values).alias("pos", "value")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "row_id", (F.col("pos") + 1).cast("int").alias("pos"), "value")
+    for (t, c), g in PACKED.items():
+        x = value_rows(table(spark, d, t).select("row_id", F.col(c).alias("packed")), "packed", g)
+        x = x.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "row_id", "pos", "value", "quoted", "flag")
         out = x if out is None else out.unionByName(x)
     return out
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packed_values(spark, d).where("pos is not null").select("table_name", "column_name", "row_id", "pos", "value")
+
+
 def p7_flags(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose packed text was not read without trouble."""
-    out = None
-    for (t, c), g in PACKED.items():
-        x = table(spark, d, t).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "row_id", parse_flags(c, g).alias("flag")).where("flag is not null")
-        out = x if out is None else out.unionByName(x)
-    return out
+    return packed_values(spark, d).where("flag is not null and coalesce(pos, 1) = 1").select("table_name", "column_name", "row_id", "flag")
 
 
 QUERIES |= {
-    "p4_found": p4_found, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_profile": p5_profile, "p5_loads": p5_loads, "p5_columns": p5_columns, "p5_distances": p5_distances, "p5_unusual": p5_unusual,
+    "p4_found": p4_found, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_profile": p5_profile, "p5_loads": p5_loads, "p5_distances": p5_distances, "p5_unusual": p5_unusual,
     "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_flags": p7_flags,
 }

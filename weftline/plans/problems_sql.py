@@ -30,15 +30,16 @@ orphans AS (SELECT r.edge_id, r.side, r.loaded_at, CASE WHEN count(n.id) = 0 THE
   HAVING NOT coalesce(bool_or(n.created_at <= r.loaded_at AND (n.deleted_at IS NULL OR n.deleted_at > r.loaded_at)), false))"""
 
 _NODE_TABLES = {
-    "disease_nodes": ["mondo_id", "disease_name", "definition", "synonyms", "is_a", "umls_cui", "omim_id", "orpha_id", "doid", "icd10cm", "mesh_id", "snomed_id", "source_database"],
-    "phenotype_nodes": ["hp_id", "name", "definition", "synonyms", "is_a", "source_database"],
-    "genes": ["GeneID", "Symbol", "Synonyms", "dbXrefs", "chromosome", "description", "type_of_gene", "Full_name_from_nomenclature_authority", "source_database"],
-    "chemical_nodes": ["chemical_id", "chemical_name", "mesh_id", "cas_number", "pubchem_cid", "inchikey", "dtxsid", "mesh_parent_ids", "source_database"],
+    "disease_nodes": ["row_id", "load_no", "loaded_at", "mondo_id", "disease_name", "definition", "synonyms", "is_a", "umls_cui", "omim_id", "orpha_id", "doid", "icd10cm", "mesh_id", "snomed_id", "source_database"],
+    "phenotype_nodes": ["row_id", "load_no", "loaded_at", "hp_id", "name", "definition", "synonyms", "is_a", "source_database"],
+    "genes": ["row_id", "load_no", "loaded_at", "GeneID", "Symbol", "Synonyms", "dbXrefs", "chromosome", "description", "type_of_gene", "Full_name_from_nomenclature_authority", "source_database"],
+    "chemical_nodes": ["row_id", "load_no", "loaded_at", "chemical_id", "chemical_name", "mesh_id", "cas_number", "pubchem_cid", "inchikey", "dtxsid", "mesh_parent_ids", "source_database"],
+    "graph_nodes": ["id", "node_type", "source_key", "source_database", "created_at", "deleted_at"],
 }
 
 
 def _cells(cols: dict[str, list[str]]) -> str:
-    return " UNION ALL ".join(f"SELECT row_id, '{t}' AS table_name, '{c}' AS column_name, load_no, {c} AS value FROM {t}" for t, cs in cols.items() for c in cs)
+    return " UNION ALL ".join(f"SELECT {'NULL::BIGINT AS row_id' if t == 'graph_nodes' else 'row_id'}, '{t}' AS table_name, '{c}' AS column_name, {'NULL::INTEGER AS load_no' if t == 'graph_nodes' else 'load_no'}, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in cols.items() for c in cs)
 
 
 def _stats(cols: dict[str, list[str]]) -> str:
@@ -60,6 +61,9 @@ _PACKED = {
     ("disease_nodes", "is_a"): "list_transform(regexp_extract_all(is_a, '(?i)MONDO[:_]([0-9]{7})', 1), lambda v: 'MONDO:' || v)",
 }
 
+#: What is left of a text without its quoted parts still has a quote.
+_UNCLOSED = """coalesce(contains(regexp_replace(synonyms, '"(?:[^"]|"")*"', '', 'g'), '"'), false)"""
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT a.node AS term_id, min(b.node) AS cycle_id FROM reach a JOIN reach b ON a.up = b.node AND b.up = a.node GROUP BY a.node",
     "p1_hierarchy": f"WITH RECURSIVE {_PATHS} SELECT node AS term_id, cycle_id, min(depth)::INTEGER AS depth_min, max(depth)::INTEGER AS depth_max, count(*) AS n_paths, string_agg(DISTINCT root, '|' ORDER BY root) AS roots FROM rep JOIN pth USING (r) GROUP BY node, cycle_id",
@@ -78,11 +82,11 @@ UNION ALL SELECT table_name, column_name, 'repeats', load_no::BIGINT FROM judged
     "p5_profile": f"""WITH cells AS ({_cells(_NODE_TABLES)}), v AS (SELECT table_name, column_name, CASE WHEN {_there('value')} THEN value END AS value FROM cells),
 g AS (SELECT table_name, column_name, value, count(*) AS n FROM v GROUP BY ALL)
 SELECT table_name, column_name, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (value IS NULL), 0)::BIGINT AS n_null, round(coalesce(sum(n) FILTER (value IS NULL), 0) / sum(n), 6) AS null_rate, count(value) AS n_distinct,
-  min(value) AS min_value, max(value) AS max_value, min(length(value))::INTEGER AS min_length, max(length(value))::INTEGER AS max_length,
+  CASE WHEN column_name IN ('row_id', 'load_no') THEN min(try_cast(value AS BIGINT))::VARCHAR ELSE min(value) END AS min_value, CASE WHEN column_name IN ('row_id', 'load_no') THEN max(try_cast(value AS BIGINT))::VARCHAR ELSE max(value) END AS max_value, min(length(value))::INTEGER AS min_length, max(length(value))::INTEGER AS max_length,
   round(coalesce(greatest(log2(sum(n) FILTER (value IS NOT NULL)) - sum(n * log2(n)) FILTER (value IS NOT NULL) / sum(n) FILTER (value IS NOT NULL), 0.0), 0.0), 6) AS entropy_bits,
-  coalesce(sum(n) FILTER (value IS NOT NULL AND {_FORMAT}), 0)::BIGINT AS n_format FROM g GROUP BY table_name, column_name""",
+  CASE WHEN (table_name, column_name) IN (('disease_nodes', 'umls_cui'), ('disease_nodes', 'definition'), ('chemical_nodes', 'inchikey')) THEN coalesce(sum(n) FILTER (value IS NOT NULL AND {_FORMAT}), 0)::BIGINT END AS n_format FROM g GROUP BY table_name, column_name""",
     "p6_found": f"WITH {_ORPHANS} SELECT edge_id, side, kind FROM orphans",
     "p6_report": f"WITH {_ORPHANS} SELECT side, kind, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n FROM orphans GROUP BY ALL",
     "p7_found": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, row_id, generate_subscripts(v, 1)::INTEGER AS pos, unnest(v) AS value FROM (SELECT row_id, {e} AS v FROM {t})" for (t, c), e in _PACKED.items()),
-    "p7_flags": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, row_id, 'no_value' AS flag FROM {t} WHERE {_there(c)} AND len({e}) = 0" for (t, c), e in _PACKED.items() if c != "is_a"),
+    "p7_flags": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, row_id, flag FROM (SELECT row_id, CASE WHEN {_UNCLOSED if c == 'synonyms' else 'false'} THEN 'unclosed_quote' WHEN {_there(c)} AND len({e}) = 0 THEN 'no_value' END AS flag FROM {t}) WHERE flag IS NOT NULL" for (t, c), e in _PACKED.items()),
 }

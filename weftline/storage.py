@@ -39,6 +39,14 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def session_path(spark: SparkSession) -> str:
+    """A folder of this run under the shared one; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/weftline-{_RUN}"
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/weftline-{_RUN}/{name}-{next(_NUMBER)}"
@@ -47,6 +55,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob on whatever file system it names, sorted."""
+    fs, p = _file_system(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file (a manifest, a configuration), None if it is not there."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _file_system(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
 class Scratch:
     """A written table: ``df`` reads it, ``drop()`` deletes its files."""
 
@@ -58,8 +108,7 @@ class Scratch:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        fs, p = _file_system(self.spark, self.path)
-        fs.delete(p, True)
+        delete(self.spark, self.path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
