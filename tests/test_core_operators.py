@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from weftline.operators import peg
 from weftline.operators import profile as pf
-from weftline.operators.orphans import orphans
-from weftline.operators.skew import count_rows, heavy_keys, max_of, min_of, salted_aggregate, sum_of
+from weftline.operators.enrichment import meeting
+from weftline.operators.orphans import _numbers_by_partition, orphans
+from weftline.operators.skew import count_rows, heavy_keys, max_of, min_of, salted_aggregate, sum_of, with_salt
 
 
 def test_salted_equals_group_by_with_a_hot_key(spark):
@@ -22,6 +23,31 @@ def test_salted_equals_group_by_with_a_hot_key(spark):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_hot_null_key_is_spread(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else f"k{i}", i) for i in range(4000)], "id long, key string, v long")
+    heavy = heavy_keys(df, ["key"], F.col("id"))
+    assert [r.key for r in heavy.collect()] == [None]
+    assert with_salt(df, ["key"], F.col("id"), heavy).where("key is null").select("__salt").distinct().count() > 10
+    assert salted_aggregate(df, ["key"], F.col("id"), [count_rows("n")]).where("key is null").first().n == 2000
+
+
+def test_batches_have_a_partition_of_their_own(spark):
+    no = _numbers_by_partition(spark, 7, 3)
+    assert len(set(no)) == 21
+    df = spark.createDataFrame([(x,) for x in no], "no long").repartition(7, "no").select(F.spark_partition_id().alias("p"))
+    assert {r["count"] for r in df.groupBy("p").count().collect()} == {3}
+
+
+def test_pairs_of_large_documents(spark):
+    rng = random.Random(2)
+    rows = sorted({(f"e{rng.randrange(60)}", rng.choice([1, 1, 1, 2, 3])) for _ in range(200)})
+    s = spark.createDataFrame(rows, "source_id string, doc int")
+    t = s.withColumnRenamed("source_id", "target_id")
+    want = sorted((a, b, d) for a, d in rows for b, e in rows if d == e)
+    for block in (1, 7, 1000):
+        assert sorted(tuple(r) for r in meeting(s, t, block).collect()) == want
+
+
 def test_salted_empty_and_tied_identity(spark):
     empty = spark.createDataFrame([], "id long, key string")
     assert salted_aggregate(empty, ["key"], F.col("id"), [count_rows("n")]).count() == 0

@@ -1,7 +1,8 @@
 """Co-occurrence of two kinds of entities in documents, with the one-sided Fisher test.
 
 Pairs come from an equi-join on the document, never from a nested loop over
-entities; only pairs that meet are made. The tail of the hypergeometric
+entities; only pairs that meet are made. The entities of a large document are
+cut into blocks whose pairs are keys of their own, so no task makes them all. The tail of the hypergeometric
 distribution is summed in log space by built-in expressions: log-factorials
 from a Stirling series (exact values below 10), so no table is built and no
 Python runs.
@@ -48,7 +49,17 @@ def with_fisher(df: DataFrame, a: str, n_s: str, n_t: str, total: str, name: str
     return x.selectExpr(*[f"`{c}`" for c in keep], f"least(greatest({p}, 0D), 1D) as `{name}`")
 
 
-def pair_statistics(source: DataFrame, target: DataFrame, corpus: int, upper_triangle: bool = False) -> DataFrame:
+def meeting(source: DataFrame, target: DataFrame, block: int = 256) -> DataFrame:
+    """(source_id, target_id, doc) of distinct ``source(source_id, doc)`` and
+    ``target(target_id, doc)``. A document with more than ``block`` sources is met
+    block by block: each source is in one block, each target comes to all."""
+    large = source.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).select("doc", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g"))
+    s = source.join(large, "doc", "left").select("source_id", "doc", F.coalesce(F.pmod(F.xxhash64("source_id"), F.col("g")), F.lit(0)).cast("int").alias("b"))
+    t = target.join(large, "doc", "left").select("target_id", "doc", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g") - 1, F.lit(0)))).alias("b"))
+    return s.join(t, ["doc", "b"]).select("source_id", "target_id", "doc")
+
+
+def pair_statistics(source: DataFrame, target: DataFrame, corpus: int, upper_triangle: bool = False, block: int = 256) -> DataFrame:
     """``source(source_id, doc)``, ``target(target_id, doc)`` -> per pair that meets:
     cooccurrence, enrichment, p_fisher, odds_ratio.
 
@@ -59,7 +70,7 @@ def pair_statistics(source: DataFrame, target: DataFrame, corpus: int, upper_tri
     """
     s = source.where("source_id is not null and doc is not null").select("source_id", "doc").distinct()
     t = target.where("target_id is not null and doc is not null").select("target_id", "doc").distinct()
-    j = s.join(t, "doc")
+    j = meeting(s, t, block)
     if upper_triangle:
         j = j.where("source_id < target_id")
     pairs = j.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("cooccurrence"))

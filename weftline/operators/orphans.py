@@ -5,8 +5,9 @@ ranges are balanced without sampling and a key's range needs no lookup. The
 parents of a range are stored as arrays sorted by key hash, key and start of
 life; lives of one key are merged so that they are disjoint. The references of
 a range come in batches of bounded size (a key that a third of all rows refer
-to fills many batches, each with its own copy of the range's arrays) and every
-batch is probed at once: a binary search for the key, then one for the time.
+to fills many batches, each with its own copy of the range's arrays, small beside
+it) and every batch is probed at once: a binary search for the key, then one for
+the time. Batches are numbered so that a task holds exactly one.
 Hash hits are confirmed by comparing the keys themselves.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank, micros
@@ -100,7 +101,22 @@ def _running_max(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def orphans(refs: DataFrame, parents: DataFrame, per_range: int = 1 << 16, per_batch: int = 150_000, max_ranges: int = 1 << 15) -> DataFrame:
+def _numbers_by_partition(spark: SparkSession, tasks: int, each: int) -> list[int]:
+    """tasks * each distinct whole numbers in the order 0, 1, .. of the partition to which Spark's
+    hash sends them (repeated ``each`` times): with these as keys no two of the first
+    ``tasks`` share a partition."""
+    seen: list[list[int]] = [[] for _ in range(tasks)]
+    n, start, short = max(1000, 16 * tasks * each), 0, tasks
+    while short:
+        for r in spark.range(start, start + n).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).toLocalIterator():
+            if len(seen[r.p]) < each:
+                seen[r.p].append(r.id)
+                short -= len(seen[r.p]) == each
+        start += n
+    return [x for k in range(each) for x in (s[k] for s in seen)]
+
+
+def orphans(refs: DataFrame, parents: DataFrame, per_range: int = 1 << 14, per_batch: int = 150_000, max_tasks: int = 1 << 15) -> DataFrame:
     """(ref_id, side, kind, at) of references without a parent alive at that time.
 
     ``refs(ref_id, side, key, at)``, ``parents(key, born, died)``. A reference
@@ -109,20 +125,24 @@ def orphans(refs: DataFrame, parents: DataFrame, per_range: int = 1 << 16, per_b
     none is alive) or later (all were born afterwards). A reference without a
     time (null) has no parent at that time: missing, or later if the key exists.
     Repeated rows are reported each; empty tables give an empty result (without
-    parents every reference is missing).
+    parents every reference is missing). Ranges hold about ``per_range`` parents
+    and batches about ``per_batch`` references at any size; beyond ``max_tasks``
+    batches a task takes several, one after the other.
     """
     spark = refs.sparkSession
-    ranges = int(min(max_ranges, max(1, -(-parents.count() // per_range))))
+    ranges = max(1, -(-parents.count() // per_range))
     store = Scratch(parent_ranges(parents, ranges), "parents").df
     r = refs.where(~is_blank("key")).select("ref_id", "side", "key", F.coalesce(micros("at"), F.lit(int(np.iinfo(np.int64).min))).alias("at"), range_of(F.col("key"), ranges).alias("rng"))
-    # Batches per range from its count of references: at most max_ranges rows.
-    batches = {x.rng: -(-x["count"] // per_batch) for x in r.groupBy("rng").count().collect()}
-    sizes = spark.createDataFrame([(k, int(v)) for k, v in batches.items()] or [(0, 1)], "rng int, batches int")
-    small = F.broadcast(sizes)  # at most max_ranges rows of two ints
-    r = r.join(small, "rng").withColumn("batch", F.pmod(F.xxhash64("ref_id", "side"), F.col("batches")).cast("int")).drop("batches").withColumn("h", F.xxhash64("key"))
-    p = store.join(small, "rng").select("rng", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "entries")
-    # As many partitions as batches, whatever the session's default: a task holds few of them.
-    tasks = min(max(1, sum(batches.values())), max_ranges)
-    r, p = r.repartition(tasks, "rng", "batch"), p.repartition(tasks, "rng", "batch")
+    # Batches per range from its count of references: one row per range.
+    batches = sorted((x.rng, -(-x["count"] // per_batch)) for x in r.groupBy("rng").count().collect())
+    n = sum(b for _, b in batches)
+    tasks = min(max(1, n), max_tasks)
+    number = iter(_numbers_by_partition(spark, tasks, -(-max(1, n) // tasks)))
+    sizes = spark.createDataFrame([(k, b, [next(number) for _ in range(b)]) for k, b in batches] or [(0, 1, [next(number)])], "rng int, batches int, numbers array<bigint>")
+    small = F.broadcast(sizes)  # two ints a range and one number a batch: a millionth of the references and parents
+    batch = F.pmod(F.xxhash64("ref_id", "side"), F.col("batches")).cast("int")
+    r = r.join(small, "rng").select("ref_id", "side", "key", "at", F.xxhash64("key").alias("h"), F.get("numbers", batch).alias("no"))
+    p = store.join(small, "rng").select("entries", F.explode("numbers").alias("no"))
+    r, p = r.repartition(tasks, "no"), p.repartition(tasks, "no")
     kind = refs.schema["ref_id"].dataType.simpleString()
-    return r.groupBy("rng", "batch").cogroup(p.groupBy("rng", "batch")).applyInArrow(_probe, f"ref_id {kind}, side string, kind string, at long")
+    return r.groupBy("no").cogroup(p.groupBy("no")).applyInArrow(_probe, f"ref_id {kind}, side string, kind string, at long")

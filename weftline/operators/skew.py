@@ -20,27 +20,34 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import Scratch
+
 SAMPLE_MOD = 16
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], identity: Column, heavy_share: float = 0.005, per_salt: float = 0.002) -> DataFrame:
     """(keys..., salts): keys with at least ``heavy_share`` of the sampled rows and
     over how many salts each is spread, so that one salt holds about ``per_salt``
-    of all rows. At most 1/heavy_share rows; made on the driver."""
+    of all rows. At most 1/heavy_share rows; made on the driver. One scan."""
     sample = df.where(F.pmod(F.xxhash64(identity, F.lit(77)), F.lit(SAMPLE_MOD)) == 0)
-    n = sample.groupBy(*keys).count()
-    total = sample.count()
-    rows = n.where(F.col("count") >= max(2.0, heavy_share * total)).withColumn("salts", F.ceil(F.col("count") / F.lit(max(1.0, per_salt * total))).cast("int")).select(*keys, "salts").collect()
+    n = Scratch(sample.groupBy(*keys).count(), "sampled-keys")
+    total = n.df.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    rows = n.df.where(F.col("count") >= max(2.0, heavy_share * total)).withColumn("salts", F.ceil(F.col("count") / F.lit(max(1.0, per_salt * total))).cast("int")).select(*keys, "salts").collect()
     spark = df.sparkSession
-    schema = n.select(*keys).withColumn("salts", F.lit(0)).schema
+    schema = n.df.select(*keys).withColumn("salts", F.lit(0)).schema
+    n.drop()
     return spark.createDataFrame(rows, schema)
 
 
 def with_salt(df: DataFrame, keys: Sequence[str], identity: Column, heavy: DataFrame) -> DataFrame:
-    """df with a column ``__salt``: 0 for ordinary keys (null keys too), a stable
-    spread over 0..salts-1 for heavy ones."""
-    h = F.broadcast(heavy.withColumnRenamed("salts", "__salts"))  # at most 1/heavy_share rows
-    return df.join(h, list(keys), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(identity), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    """df with a column ``__salt``: 0 for ordinary keys, a stable spread over
+    0..salts-1 for heavy ones. A null key is a key like any other."""
+    h = F.broadcast(heavy.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("salts").alias("__salts")))  # at most 1/heavy_share rows
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    salt = F.coalesce(F.pmod(F.xxhash64(identity), F.col("__salts")), F.lit(0)).cast("int")
+    return df.join(h, same, "left").withColumn("__salt", salt).drop("__salts", *[f"__{i}" for i in range(len(keys))])
 
 
 @dataclass(frozen=True)

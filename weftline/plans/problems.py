@@ -14,7 +14,7 @@ from weftline.operators.peg import NUMBERS, SYNONYMS, XREFS, split_values, term_
 from weftline.operators.profile import column_profile, different_loads, format_violations, load_distances, load_statistics, load_store, unusual_loads
 from weftline.operators.skew import count_rows, max_of, min_of, salted_aggregate
 from weftline.plans.tables import table
-from weftline.storage import session_path
+from weftline.storage import cut, session_path
 
 #: Tables with a hierarchy: id column, prefix of its ids.
 HIERARCHIES = {"disease_nodes": ("mondo_id", "MONDO"), "phenotype_nodes": ("hp_id", "HP")}
@@ -88,8 +88,9 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "graph_edges").count()
-    degrees = salted_aggregate(edge_ends(spark, d), ["side", "node_id"], F.col("edge_id"), [count_rows("degree")])
+    degrees = cut(salted_aggregate(edge_ends(spark, d), ["side", "node_id"], F.col("edge_id"), [count_rows("degree")]), "degrees")
+    # Every row has one start, blank or not.
+    n = degrees.where("side = 'start'").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
     return degrees.where((F.col("degree") * 50 >= n) & ~is_blank("node_id")).select("side", "node_id")
 
 
