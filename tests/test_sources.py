@@ -4,6 +4,7 @@ import gzip
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.sources import obo, readers
@@ -99,7 +100,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "pm").mkdir()
     (tmp_path / "pm" / "D01.txt").write_text("5\n7\n\n")
     assert rows(readers.id_per_file(spark, str(tmp_path / "pm" / "*.txt")), "entity_id", "doc") == {("D01", "5"), ("D01", "7")}
-    assert readers.first_existing(str(tmp_path), ["no", "a.gaf"]) == str(p) and readers.either_source((None, len), ("x", lambda v: {v: 1})) == {"x": 1}
+    assert readers.first_existing(spark, str(tmp_path), ["no", "a.gaf"]).endswith("/a.gaf") and readers.first_existing(spark, str(tmp_path), ["no"]) is None and readers.either_source((None, len), ("x", lambda v: {v: 1})) == {"x": 1}
     x = tmp_path / "m.xml"
     x.write_text("<R><DescriptorRecord><DescriptorUI>D1</DescriptorUI><DescriptorName><String>Pain</String></DescriptorName><TreeNumberList><TreeNumber>C23.888.1</TreeNumber></TreeNumberList></DescriptorRecord><DescriptorRecord><DescriptorUI>D2</DescriptorUI><DescriptorName><String>Root</String></DescriptorName><TreeNumberList><TreeNumber>C23.888</TreeNumber></TreeNumberList></DescriptorRecord></R>")
     m = readers.xml_rows(spark, str(x), "DescriptorRecord", "DescriptorUI string, DescriptorName struct<String:string>, TreeNumberList struct<TreeNumber:array<string>>").select(F.col("DescriptorUI").alias("mesh_id"), F.col("DescriptorName.String").alias("mesh_name"), F.col("TreeNumberList.TreeNumber").alias("tree_numbers"))
@@ -184,3 +185,117 @@ def test_pages_articles_and_slim(spark, tmp_path):
     st = spark.createDataFrame([(f"http://o/MONDO_01, http://o/EFO_{k}", f"s{k}") for k in range(3)], "trait_uris string, study string")
     sl = t.slim_terms(spark.createDataFrame([("DOID:7", "b"), ("DOID:404", "no")], "doid string, name string"), spark.createDataFrame([("DOID:7", "cancer")], "doid string, name string"), st, mo, do, 2)
     assert [tuple(r) for r in sl.collect()] == [("DOID:7", "cancer"), ("DOID:9", "Deep fever")]
+
+
+def test_obo_with_other_line_ends(spark, tmp_path):
+    want = rows(terms(spark, tmp_path), "id", "name", "is_obsolete")
+    crlf = tmp_path / "crlf.obo"
+    crlf.write_bytes(OBO.replace("\n", "\r\n").encode())
+    tight = tmp_path / "tight.obo"
+    tight.write_text(OBO.replace("\n\n", "\n"))
+    assert len(want) == 5 and rows(obo.terms(spark, str(crlf)), "id", "name", "is_obsolete") == want == rows(obo.terms(spark, str(tight)), "id", "name", "is_obsolete")
+
+
+def test_more_readers(spark, tmp_path):
+    p = tmp_path / "c.tsv"
+    p.write_text("a\tb\n1\t2\n3\n4\t5\t6\n#no\ty#z\n")
+    assert rows(readers.well_formed(spark, str(p), ["a", "b"], header=True), "a", "b") == {("1", "2"), ("3", None), ("#no", "y#z")}
+    assert rows(readers.ragged(spark, str(p), ["a", "b"], cut_at="#"), "a", "b") == {("a", "b"), ("1", "2"), ("3", ""), ("4", "5")}
+    m = tmp_path / "m.csv"
+    m.write_text(",g1,g2,g3\ng1,0,11,x\ng2,11,0,12\ng3,1,12,0\n")
+    wide, labels = readers.wide_matrix(spark, str(m))
+    assert rows(t.rate_covariation(wide, labels)["gene_covariation"], "source_hgnc", "target_hgnc", "erc_score") == {("g1", "g2", 11.0), ("g2", "g3", 12.0)}
+    for name, text in (("nodes_Gene", "id,name\ng1,a\n"), ("nodes_Drug", "id,name\nd1,b\n"), ("edges_binds", "start_id,end_id\nd1,g1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    found = readers.typed_tables(spark, str(tmp_path), "nodes")
+    assert set(found) == {"Gene", "Drug"} and rows(found["Gene"], "id", "name") == {("g1", "a")}
+    hits = spark.createDataFrame([("t1", 2, "C2"), ("t1", 1, "C1"), ("t2", 3, "C1"), ("t2", 4, "")], "term string, n int, cui string")
+    assert rows(readers.search_ids(hits, "term", "n", "cui"), "cui", "term", "rank") == {("C1", "t1", 1), ("C2", "t1", 2)}
+
+
+RDF_TEXT = """<?xml version="1.0"?>
+<!DOCTYPE rdf:RDF [<!ENTITY xsd "http://www.w3.org/2001/XMLSchema#" >]>
+<rdf:RDF xmlns="http://o/kg#" xml:base="http://o/kg" xmlns:kg="http://o/kg#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
+<owl:Ontology rdf:about="http://o/kg"/>
+<owl:Class rdf:about="#Gene"/>
+<owl:NamedIndividual rdf:about="#bare"/>
+<owl:NamedIndividual rdf:about="#gene_1"><rdf:type rdf:resource="#Gene"/><kg:name rdf:datatype="&xsd;string">A &lt; B</kg:name><kg:binds rdf:resource="http://o/kg#drug_1"/></owl:NamedIndividual>
+<owl:NamedIndividual rdf:about="http://o/kg#drug_1"><rdf:type rdf:resource="#Drug"/></owl:NamedIndividual>
+</rdf:RDF>
+"""
+
+
+def test_individuals_of_an_rdf_file(spark, tmp_path):
+    from weftline.graph import build
+
+    p = tmp_path / "kg.rdf"
+    p.write_text(RDF_TEXT)
+    tr = readers.rdf_individuals(spark, str(p))
+    assert {(r.id, r.node_type, str(r.props)) for r in build.triple_nodes(tr).collect()} == {("gene_1", "Gene", "{'name': ['A < B']}"), ("drug_1", "Drug", "{}")}
+    assert [tuple(r) for r in build.triple_edges(tr).collect()] == [("binds", "gene_1", "drug_1")]
+    assert build.main_namespace(tr).first().namespace == "http://o/kg#"
+
+
+def test_a_run_over_a_landing_folder(spark, tmp_path):
+    from weftline.sources import registry
+
+    assert len(registry.REGISTRY) == 22
+    for source, name, text in (
+        ("reactome", "ReactomePathways.txt", "R1\tP\tHomo sapiens\nR2\tQ\tMus musculus\n"), ("reactome", "NCBI2Reactome_All_Levels.txt", "7\tR1\tu\tP\tTAS\tHomo sapiens\n7\tR1\tu\tP\tTAS\tHomo sapiens\n"),
+        ("collectri", "tf_gene_interactions.tsv", "source_genesymbol\ttarget_genesymbol\tis_directed\tis_stimulation\tis_inhibition\tconsensus_direction\tconsensus_stimulation\tconsensus_inhibition\nTF\tG\t1\t1\t0\t1\t1\t0\n\tG\t1\t1\t0\t1\t1\t0\n"),
+        ("mondo", "mondo.obo", OBO.replace("DOID:", "MONDO:")), ("bad", "x", ""),
+    ):
+        (tmp_path / source).mkdir(exist_ok=True)
+        (tmp_path / source / name).write_text(text)
+    config = {"reactome": {"enabled": True}, "collectri": {"enabled": True}, "mondo": {"enabled": True}, "mesh": {"enabled": False}, "sider": {"enabled": True}, "string": {"enabled": True, "args": {"min_score": "x"}}, "nowhere": {"enabled": True}}
+    done, failed = registry.run(spark, str(tmp_path), config, {"scope": {"terms": ["fever"]}})
+    assert set(failed) == {"nowhere"} and set(done) == {"reactome", "collectri", "mondo", "sider", "string"}
+    assert rows(done["reactome"]["pathways"], "reactome_id") == {("R1",)} and done["reactome"]["ncbi_gene_pathway_relationships"].count() == 1
+    assert rows(done["collectri"]["tf_gene_interactions"], "tf_symbol", "target_gene", "is_directed") == {("TF", "G", 1)} and rows(done["mondo"]["disease_nodes"], "mondo_id") == {("MONDO:9",)}
+    empty = done["string"]["gene_interactions"]
+    assert empty.count() == 0 and dict(empty.dtypes)["combined_score"] == "bigint"
+    registry.write_tables({"mondo": done["mondo"], "sider": done["sider"]}, str(tmp_path / "out"))
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "out/mondo/disease_nodes.tsv")).count() == 1
+    with pytest.raises(ValueError):
+        registry.register(registry.REGISTRY["mesh"])
+
+
+def test_declared_outputs_are_those_of_the_plans(spark):
+    """Every plan run on empty inputs makes tables of the declared columns."""
+    from weftline.sources import registry
+
+    g = spark.createDataFrame([], "DB string, DB_Object_Symbol string, Qualifier string, GO_ID string, Evidence_Code string, Aspect string, Taxon string")
+    o = spark.createDataFrame([], "id string, name string, def string, namespace string, is_obsolete boolean, subset array<string>, xref array<string>, synonym array<string>, is_a array<string>, relationship array<string>")
+    for name, given in (("gene_ontology", {"obo": o, "gaf": g}), ("mondo", {"obo": o}), ("uberon", {"basic": o, "human": o}), ("hpo", {"obo": o})):
+        s = registry.REGISTRY[name]
+        for k, df in s.tables(spark, given).items():
+            assert set(df.columns) == {f.name for f in spark.createDataFrame([], s.outputs[k]).schema}, (name, k)
+
+
+def test_registered_functions(spark):
+    from weftline.functions.registered import register
+
+    def shout(word: str, times: int = 1) -> list[str]:
+        return [word.upper()] * times
+
+    assert register(spark, shout) == {"word": "string", "times": "bigint"}
+    assert spark.sql("select shout('a', 2) as r").first().r == ["A", "A"]
+    with pytest.raises(TypeError):
+        register(spark, lambda x: x)
+
+
+def test_catalog_view(spark):
+    from weftline.graph import catalog_view as cv
+    from weftline.graph.export import with_json
+
+    rec = spark.createDataFrame([("d1", " L ", "Direct", "Yes", "", "", " ", "Gene, Disease,x", "binds"), ("d2", None, "New", "no", "TBD", "3", "d1", "Drug", None), ("", "n", "New", "Yes", "", "", "", "", "")], ["ID", "Label", "Integration Path", "Active", "Status", "Latest Version", "Sub-source Of", "Biomedical Entities (Node types)", "Biomedical Relationships (Edge types)"])
+    c = cv.records(rec, {"Gene": "nt_G", "Disease": "nt_D", "Drug": "nt_R"}, {"binds": "et_b"})
+    assert sorted((r.id, r.label, r.active, r.status, r.version, r.parent, tuple(r.nodes), tuple(r.edges)) for r in c.collect()) == [("d1", "L", True, "N/A", "N/A", None, ("nt_G", "nt_D"), ("et_b",)), ("d2", "", False, "TBD", "3", "d1", ("nt_R",), ())]
+    f = cv.facet_counts(c, ["Direct", "Hetionet", "New"]).first()
+    assert (f.Direct, f.Hetionet, f.New, f.active_yes, f.active_no, f.status_TBD, f.status_obsolete) == (1, 0, 1, 1, 1, 1, 1)
+    links = spark.createDataFrame([("d1", "nt_G"), ("d2", "nt_R"), ("d2", "d1")], "source string, target string")
+    assert rows(cv.visible_links(links, c, cv.is_visible(["Direct"])), "source", "target") == {("d1", "nt_G")}
+    assert rows(cv.inactive_types(c, cv.is_visible(["Direct", "New"])), "type") == {("nt_R",)} and rows(cv.inactive_types(c, cv.is_visible([])), "type") == {("nt_G",), ("nt_D",), ("et_b",), ("nt_R",)}
+    assert 'const D = [' in with_json("x /*here*/ y", "/*here*/", "D", c)
+    with pytest.raises(ValueError):
+        with_json("x", "/*here*/", "D", c)

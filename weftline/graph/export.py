@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.storage import write_small
+
 CSV = {"header": "true", "escape": '"', "quote": '"'}
 
 
@@ -81,4 +81,13 @@ def write_lines(df: DataFrame, path: str) -> None:
 def write_report(metrics: DataFrame, path: str, run: dict | None = None) -> None:
     """A JSON report of metric rows: a metric table is catalog-sized."""
     rows = [json.loads(x) for x in metrics.toJSON().toLocalIterator()]
-    Path(path).write_text(json.dumps({**(run or {}), "metrics": rows}, indent=2, sort_keys=True))
+    write_small(metrics.sparkSession, path, json.dumps({**(run or {}), "metrics": rows}, indent=2, sort_keys=True))
+
+
+def with_json(template: str, placeholder: str, name: str, records: DataFrame) -> str:
+    """A page whose placeholder is replaced, once, by a constant that holds the records: a
+    catalog, small by itself. A template without the placeholder is an error."""
+    if placeholder not in template:
+        raise ValueError(f"no {placeholder!r} in the template")
+    rows = [json.loads(x) for x in records.toJSON().toLocalIterator()]
+    return template.replace(placeholder, f"const {name} = {json.dumps(rows, ensure_ascii=False, indent=2)};", 1)

@@ -299,12 +299,6 @@ def map_fields(s, d):
     return table(s, d, "graph_edges").select("edge_id", F.col("props")["evidence"].alias("evidence"), F.col("props")["score"].try_cast("double").alias("score")).where("score is not null")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linestatus <> 'O' THEN 'activation' WHEN l_linestatus = 'O' AND l_returnflag <> 'A' THEN 'repression' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'dual' ELSE 'unknown' END AS mode, l_quantity FROM lineitem")
-def conditional_mapping(s, d):
-    up, down = F.col("l_returnflag") == "A", F.col("l_linestatus") == "O"
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(up & ~down, "activation").when(down & ~up, "repression").when(up & down, "dual").otherwise("unknown").alias("mode"), "l_quantity")
-
-
 @query("SELECT doc_id, upper(trim(coalesce(source, ''), E' \\t\\n\\r')) AS src, CASE WHEN regexp_full_match(topic_id, 'MONDO:[0-9]+') THEN 1 ELSE 0 END AS has_topic FROM documents")
 def normalized_sources(s, d):
     return table(s, d, "documents").select("doc_id", F.upper(x.strip(F.coalesce("source", F.lit("")))).alias("src"), F.coalesce(F.col("topic_id").rlike("^MONDO:[0-9]+$"), F.lit(False)).cast("int").alias("has_topic"))
@@ -755,22 +749,7 @@ def last_results(s, d):
     return logs.last_results(table(s, d, "events"), "user_id", "event_type", "event_id", "value").withColumnRenamed("value", "result")
 
 
-# Per-source plans over the domain's own tables
-
-@query("""WITH e AS (SELECT CASE WHEN starts_with(trim(ChemicalID), 'MESH:') OR trim(ChemicalID) = '' THEN trim(ChemicalID) ELSE 'MESH:' || trim(ChemicalID) END AS chemical_id, trim(GeneID) AS gene_id, coalesce(trim(Interaction), '') AS interaction_text, coalesce(trim(OrganismID), '') AS organism, coalesce(PubMedIDs, '') AS pubmed_id, unnest(string_split(InteractionActions, '|')) AS action FROM ctd_interactions WHERE ChemicalID IS NOT NULL AND trim(coalesce(GeneID, '')) <> '')
-SELECT DISTINCT chemical_id, gene_id, interaction_text, organism, pubmed_id, 'CTD' AS source_database FROM e WHERE chemical_id <> '' AND lower(action) LIKE 'increases^expression%'""")
-def ctd_increases_expression(s, d):
-    from weftline.sources.tables import ctd_chemical
-
-    return ctd_chemical(table(s, d, "ctd_interactions"))["chemical_increases_expression"]
-
-
-@query("""SELECT row_id, "GeneID", regexp_matches("Symbol", '-(AS|OT|IT)[0-9]+$') OR contains(lower(coalesce(description, '')), 'readthrough') OR contains(lower(coalesce(description, '')), 'uncharacterized') OR coalesce(regexp_full_match("Symbol", 'LOC[0-9]+|LINC[0-9]+'), false) AS secondary FROM genes""")
-def gene_secondary_entries(s, d):
-    g = table(s, d, "genes")
-    sec = F.coalesce(F.col("Symbol").rlike(r"^(?:LOC\d+|LINC\d+)$"), F.lit(False)) | x.contains_ci("description", "readthrough") | x.contains_ci("description", "uncharacterized") | F.coalesce(F.col("Symbol").rlike(r"-(?:AS|OT|IT)\d+$"), F.lit(False))
-    return g.select("row_id", "GeneID", sec.alias("secondary"))
-
+# Articles
 
 _MED = """doc AS (SELECT DISTINCT pmid AS doc, regexp_replace(upper(trim(mesh_id)), '^MESH:', '') AS m, entity_kind FROM pmid_mesh WHERE mesh_id IS NOT NULL AND pmid IS NOT NULL), src AS (SELECT doc, m FROM doc WHERE entity_kind = 'symptom'), tgt AS (SELECT doc, m FROM doc WHERE entity_kind = 'anatomy'),
 corp AS (SELECT count(*) AS corpus FROM (SELECT DISTINCT doc FROM src INTERSECT SELECT DISTINCT doc FROM tgt)), ns AS (SELECT m, count(*) AS n FROM src GROUP BY m), nt AS (SELECT m, count(*) AS n FROM tgt GROUP BY m),

@@ -14,13 +14,14 @@ def _tag(name: str) -> Column:
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """One row per [Term]: id, name, def, namespace, is_obsolete, and the arrays subset,
     xref, synonym, is_a, relationship. Single tags are null where absent, arrays
-    empty. Files are split at blank lines, so stanzas are read in parallel.
+    empty. Files are split where a line begins with a bracket, so stanzas are read in
+    parallel, whatever their line ends and whether or not blank lines part them.
 
     xref values end before a quoted description or a modifier ({...}).
     """
-    s = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.transform(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x))
-    s = s.select(F.filter(lines, lambda x: x != "").alias("lines")).where("lines[0] = '[Term]'")
+    s = spark.read.option("lineSep", "\n[").text(path)
+    lines = F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x))
+    s = s.select(lines.alias("lines")).where("lines[0] in ('Term]', '[Term]')")
     one = lambda t: F.try_element_at(_tag(t), F.lit(1))
     return s.select(
         one("id").alias("id"), one("name").alias("name"), one("def").alias("def"), one("namespace").alias("namespace"), F.coalesce(one("is_obsolete") == "true", F.lit(False)).alias("is_obsolete"),

@@ -3,7 +3,8 @@
 All are pure DataFrame -> DataFrame plans without UDFs. ``_ord`` columns, where
 a source needs one, give the order of rows in the file (rows.with_ordinal or
 readers.ragged(with_ordinal=True)): choosing the first row per key depends on it.
-Missing inputs give missing outputs; columns that a plan doesn't use are ignored.
+Missing inputs give missing outputs (registry.run makes empty tables of them);
+columns that a plan doesn't use are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ def _order(df: DataFrame) -> list:
 
 # genes and interactions
 
+#: Symbols of entries that are not a gene of their own.
+SECONDARY_SYMBOL = r"^(?:LOC\d+|LINC\d+)$|-(?:AS|OT|IT)\d+$"
+
+
 def ncbigene(gene_info: DataFrame, taxon: str = "9606") -> dict[str, DataFrame]:
     """gene_info has tax_id and the columns below. ``xrefs`` is a map; widen() makes columns."""
     keep = ["GeneID", "Symbol", "Synonyms", "dbXrefs", "chromosome", "description", "type_of_gene", "Full_name_from_nomenclature_authority"]
-    secondary = F.coalesce(F.col("Symbol").rlike(r"^(?:LOC\d+|LINC\d+)$"), F.lit(False)) | x.contains_ci("description", "readthrough") | x.contains_ci("description", "uncharacterized") | F.coalesce(F.col("Symbol").rlike(r"-(?:AS|OT|IT)\d+$"), F.lit(False))
+    secondary = F.coalesce(F.col("Symbol").rlike(SECONDARY_SYMBOL), F.lit(False)) | x.contains_ci("description", "readthrough") | x.contains_ci("description", "uncharacterized")
     g = gene_info.where(F.col("tax_id") == taxon).select(*keep).withColumn("xrefs", n.key_values("dbXrefs"))
     # Entries that are not a gene of their own lose their Ensembl id.
     g = g.withColumn("xrefs", F.when(secondary, F.map_filter("xrefs", lambda k, _: k != "Ensembl")).otherwise(F.col("xrefs")))
@@ -45,7 +50,8 @@ def widen(df: DataFrame, map_column: str, prefix: str, keys: Sequence[str]) -> D
     return df.select(*[c for c in df.columns if c != map_column], *[F.col(map_column)[k].alias(prefix + k) for k in keys])
 
 
-#: Alias sources that name NCBI genes, best first.
+#: Alias sources that name NCBI genes, best first, and what others that do look like.
+LOOSE_ALIAS = "hgnc_entrez|geneid|dr_geneid"
 ALIAS_PRIORITY = ("Ensembl_HGNC_entrez_id", "UniProt_DR_GeneID", "KEGG_GENEID")
 
 
@@ -53,10 +59,11 @@ def string_ppi(links: DataFrame, aliases: DataFrame, min_score: int = 700, taxon
     """links(protein1, protein2, combined_score), aliases(string_protein_id, alias, source)."""
     bare = lambda c: F.regexp_replace(c, rf"^{taxon}\.", "")
     rank = F.coalesce(*[F.when(F.col("source") == s, i) for i, s in enumerate(ALIAS_PRIORITY)], F.lit(99))
-    named = aliases.where(F.col("source").isin(list(ALIAS_PRIORITY)))
-    # Only if no source has a known name, any that looks like one.
-    loose = aliases.where(F.coalesce(F.lower("source").rlike("hgnc_entrez|geneid|dr_geneid"), F.lit(False)))
-    pool = named if named.take(1) else loose
+    # Only if no source has a known name, any that looks like one: whether there is one is an aggregate of one row.
+    known = F.coalesce(F.col("source").isin(list(ALIAS_PRIORITY)), F.lit(False))
+    loose = F.coalesce(F.lower("source").rlike(LOOSE_ALIAS), F.lit(False))
+    some = F.broadcast(aliases.agg(F.coalesce(F.bool_or(known), F.lit(False)).alias("_named")))
+    pool = aliases.withColumn("_known", known).withColumn("_loose", loose).where("_known or _loose").join(some, F.col("_known") == F.col("_named"))
     genes = keep_first(pool.select(bare("string_protein_id").alias("protein"), "alias", rank.alias("rank")), ["protein"], ["rank", "alias"])
     scored = links.where(F.col("combined_score").cast("long") >= min_score).select(bare("protein1").alias("p1"), bare("protein2").alias("p2"), F.col("combined_score").cast("long").alias("combined_score"), *(["_ord"] if "_ord" in links.columns else []))
     e = resolve_two(scored, genes, "p1", "p2", "protein", "alias", ("gene_id_1", "gene_id_2"))
@@ -245,6 +252,7 @@ def mesh(descriptors: DataFrame, root: str = "C23.888") -> dict[str, DataFrame]:
 
 def disgenet(items: DataFrame) -> dict[str, DataFrame]:
     """items: saved result pages (readers.json_pages with the fields below)."""
+    # The vocabularies that get a column.
     vocab = ["MSH", "ICD10", "NCI", "OMIM", "ICD9CM", "HPO", "DO", "MONDO", "UMLS", "EFO", "ORDO"]
     pairs = F.transform(F.coalesce("diseaseVocabularies", F.array().cast("array<string>")), lambda v: F.struct(F.when(F.substring_index(v, "_", 1) == "MESH", "MSH").otherwise(F.substring_index(v, "_", 1)).alias("key"), F.substring(v, F.instr(v, "_") + 1, F.length(v)).alias("value")))
     codes = n.first_wins(F.filter(pairs, lambda p: F.length(p["value"]) > 0))
@@ -303,6 +311,11 @@ def ctd_exposure(events: DataFrame, go_terms: DataFrame | None = None) -> dict[s
     return out
 
 
+def go_namespaces(enriched: DataFrame) -> DataFrame:
+    """(go_id, namespace) of the enrichment table: GOTermID, Ontology (spelled out)."""
+    return enriched.select(x.strip("GOTermID").alias("go_id"), F.replace(F.lower(x.strip("Ontology")), F.lit(" "), F.lit("_")).alias("namespace")).where("go_id <> ''").distinct()
+
+
 def sider(effects: DataFrame, terms: DataFrame) -> dict[str, DataFrame]:
     """effects(stitch_flat, stitch_stereo, umls_label, concept_type, umls_meddra, name),
     terms(umls_cui, concept_type, meddra_id, name); preferred terms only."""
@@ -368,6 +381,7 @@ DRUG_LINKS = {
 def drugbank_links(links: DataFrame) -> dict[str, DataFrame]:
     """The fallback without the full file: identifiers only, other properties empty."""
     d = links.withColumnsRenamed(DRUG_LINKS)
+    # What only the full file has.
     only_full = ["drugDescription", "drugGroups", "drugCategories", "drugIndication", "drugPharmacology", "drugMechanism", "drugToxicity", "drugHalfLife", "drugState", "molecularFormula", "molecularWeight", "smiles", "inchi", "inchikey", *CROSS_REFERENCES]
     for c in only_full:
         if c not in d.columns:
