@@ -279,13 +279,14 @@ def nested_entries(s, d):
     return e.select(F.array_join("e", "^").alias("i"), F.col("e")[0].alias("verb"), F.col("e")[1].alias("what"))
 
 
+_ONE = "trim(regexp_replace({c}, '[\\r\\n\\t]+', ' ', 'g'))"
 _QUOTED = """'"' || definition || ' [see ' || row_id || ']." [' || source_database || ']'"""
 
 
-@query(f"""WITH t AS (SELECT row_id, {_QUOTED} AS s FROM disease_nodes WHERE definition IS NOT NULL AND regexp_full_match(definition, '[ -~]+')), u AS (SELECT row_id, CASE WHEN starts_with(s, '"') THEN s[2:] ELSE s END AS s FROM t)
-SELECT row_id, trim(regexp_replace(regexp_replace(s, '^(.*) \\[.*$', '\\1'), '"+$', '')) AS before_last, trim(regexp_replace(split_part(s, ' [', 1), '"$', '')) AS before_first, regexp_extract('"' || s, '^"(.*?)"', 1) AS quoted FROM u""")
+@query(f"""WITH t AS (SELECT row_id, {_QUOTED} AS s FROM disease_nodes WHERE definition IS NOT NULL), u AS (SELECT row_id, CASE WHEN starts_with(s, '"') THEN s[2:] ELSE s END AS s FROM t)
+SELECT row_id, {_ONE.format(c="regexp_replace(regexp_replace(s, '(?s)^(.*) \\[.*$', '\\1'), '" + chr(34) + "+$', '')")} AS before_last, {_ONE.format(c="regexp_replace(split_part(s, ' [', 1), '" + chr(34) + "$', '')")} AS before_first, regexp_extract('"' || s, '(?s)^"(.*?)"', 1) AS quoted FROM u""")
 def definition_clean(s, d):
-    t = table(s, d, "disease_nodes").where(F.col("definition").isNotNull() & F.col("definition").rlike("^[ -~]+$")).select("row_id", F.expr(_QUOTED).alias("s"))
+    t = table(s, d, "disease_nodes").where("definition is not null").select("row_id", F.expr(_QUOTED).alias("s"))
     return t.select("row_id", x.definition_before_last_bracket("s").alias("before_last"), x.definition_before_first_bracket("s").alias("before_first"), x.first_quoted("s").alias("quoted"))
 
 
@@ -346,15 +347,19 @@ def fisher(s, d):
     return _pairs(s, d).select("source_id", "target_id", F.round("p_fisher", 6).alias("p_fisher"))
 
 
+def dimension_products(s: SparkSession, d: str) -> DataFrame:
+    """(i, j, score): the products of two dimensions, summed over all vectors."""
+    v = table(s, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return v.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+
+
 @query("""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS score FROM v a JOIN v b USING (vec_id) GROUP BY ALL)
 SELECT 'd' || i AS source_hgnc, 'd' || j AS target_hgnc, round(score, 6) AS erc_score, 'ERC' AS source_database FROM m WHERE i < j AND score >= 0.5""")
 def matrix_upper(s, d):
     """The products of the embeddings' dimensions over all vectors, a square matrix, as pairs."""
     from weftline.sources.tables import rate_covariation
 
-    v = table(s, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    cells = v.select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-    m = cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "score"))), lambda c: c["score"]).alias("scores"))
+    m = dimension_products(s, d).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "score"))), lambda c: c["score"]).alias("scores"))
     return rate_covariation(m, [f"d{i}" for i in range(64)], 0.5)["gene_covariation"].withColumn("erc_score", F.round("erc_score", 6))
 
 

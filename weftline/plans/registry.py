@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.plans import problems, problems_sql, reference
+from weftline.plans import problems, problems_sql, reference, source_queries
 
+# source_queries adds to those of reference.
 _MODULES = [(reference.QUERIES, reference.SQL), (problems.QUERIES, problems_sql.SQL)]
+__all__ = ["queries", "sql", "source_queries"]
 
 
 def queries() -> dict:
