@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions import nested as n
 from weftline.functions import text as x
 from weftline.graph.mapping import EdgeMapping, NodeMapping
+from weftline.operators.rows import keep_first
 
 
 def node_id(node_type: str, value: Column | str) -> Column:
@@ -29,7 +30,10 @@ def _filtered(df: DataFrame, m: NodeMapping | EdgeMapping) -> DataFrame:
 def mapped_rows(df: DataFrame, m: NodeMapping) -> DataFrame:
     """(id, node_type, key, prop, value, ord): one row per property value of a mapping's
     nodes, and one without property per node. Blank ids make no node, blank values no property."""
-    df = _filtered(df, m).where(~x.is_blank(m.id_column))
+    df = _filtered(df, m).where(~x.is_blank(F.col(m.id_column).cast("string")))
+    if m.unique_rows:
+        order = ["_ord"] if "_ord" in df.columns else [c for c, t in df.dtypes if not t.startswith("map")]
+        df = keep_first(df.withColumn("_id", node_id(m.node_type, F.col(m.id_column).cast("string"))), ["_id"], order)
     merge = next((c for c, p in m.properties.items() if p == m.merge_on), None)
     key = F.nullif(x.strip(F.col(merge).cast("string")), F.lit("")) if merge else F.lit(None).cast("string")
     pairs = [F.struct(F.lit(p).alias("prop"), F.col(c).cast("string").alias("value"), F.lit(i).alias("ord")) for i, (c, p) in enumerate(m.properties.items())]

@@ -17,7 +17,8 @@ class NodeMapping:
     merge_on names a property on which rows enrich nodes that are already there
     instead of making new ones; filter keeps rows whose column equals the value
     (compared as text); compound splits "key:value" entries of a packed column
-    into properties.
+    into properties; unique_rows makes a node of the first row of its id alone (by
+    _ord where there is one), as for nodes that are taken from a table of edges.
     """
 
     name: str
@@ -29,7 +30,7 @@ class NodeMapping:
     filter_column: str | None = None
     filter_value: str | None = None
     compound: dict[str, dict[str, str]] = field(default_factory=dict)
-    unique_rows: bool = True
+    unique_rows: bool = False
     enabled: bool = True
 
 

@@ -17,7 +17,7 @@ from weftline.operators import enrichment, rows
 from weftline.operators.hierarchy import hierarchy
 from weftline.operators.peg import XREFS, split_values
 from weftline.plans.tables import table
-from weftline.storage import cut
+from weftline.storage import scratch_path
 from weftline.streaming import logs
 
 QUERIES: dict = {}
@@ -766,3 +766,120 @@ def article_cooccurrence(s, d):
     t = table(s, d, "pmid_mesh").where("mesh_id is not null").select(F.col("pmid").alias("doc"), F.regexp_replace(F.upper(F.trim("mesh_id")), "^MESH:", "").alias("m"), "entity_kind")
     a, b = t.where("entity_kind = 'symptom'").select(F.col("m").alias("source_id"), "doc"), t.where("entity_kind = 'anatomy'").select(F.col("m").alias("target_id"), "doc")
     return enrichment.pair_statistics(a, b, enrichment.corpus_size(a, b)).select("source_id", "target_id", "cooccurrence", "enrichment")
+
+
+# Registries, index lists, embedded graphs
+
+def _registry(s, d):
+    """Parts as resources: every third is a tool, the others data or libraries."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("tool"), F.lit("data"), F.lit("library")), (k % 3 + 1).cast("int"))
+    return table(s, d, "part").select(k.alias("id"), kind.alias("kind"), F.concat("p_name", F.lit(" "), k.cast("string")).alias("name"), F.concat(F.lit("pkg."), F.lower("p_type")).alias("module"), F.col("p_brand").alias("category"), F.when(k % 2 == 0, "CSV").otherwise("json").alias("format"))
+
+
+@query("SELECT p_name || ' ' || p_partkey AS name FROM part WHERE contains('pkg.' || lower(p_type), 'pkg.eco') AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#17') AND p_brand = 'Brand#17' AND p_partkey % 2 = 0")
+def registry_filter(s, d):
+    r = _registry(s, d)
+    names = [x.name for x in r.where("category in ('Brand#1', 'Brand#2', 'Brand#17')").select("name").collect()]  # a choice of names, as a user gives them
+    return logs.catalog_filter(r, module="pkg.eco", category="Brand#17", fmt="csv", names=names).select("name")
+
+
+@query("SELECT kind, count(*) AS n, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS categories FROM (SELECT (['tool', 'data', 'library'])[p_partkey % 3 + 1] AS kind, p_brand FROM part) GROUP BY kind")
+def registry_counts(s, d):
+    return logs.catalog_counts(_registry(s, d)).withColumn("categories", F.array_join("categories", "|"))
+
+
+@query("WITH r AS (SELECT (['tool', 'data', 'library'])[p_partkey % 3 + 1] AS kind, p_name || ' ' || p_partkey AS name, p_brand AS category FROM part) SELECT kind, name, category, CASE WHEN kind = 'tool' THEN (row_number() OVER (PARTITION BY kind ORDER BY name) - 1)::INTEGER END AS id FROM r")
+def registry_json(s, d):
+    """Written as JSON without ids and read back: tools are numbered anew."""
+    at = scratch_path(s, "registry")
+    logs.write_registry(_registry(s, d), at)
+    return logs.read_registry(s, at, "kind string, name string, category string").select("kind", "name", "category", "id")
+
+
+@query("WITH r AS (SELECT o_orderkey, unnest([o_custkey % 60, o_orderkey % 2100]) AS pos FROM orders) SELECT o_orderkey, p_name FROM r JOIN part ON p_partkey = pos")
+def select_by_index(s, d):
+    """Lists of positions in a text, malformed entries among them, and what stands there."""
+    text = F.concat(F.lit("I would take\nTools: ["), (F.col("o_custkey") % 60).cast("string"), F.lit(", x, "), (F.col("o_orderkey") % 2100).cast("string"), F.lit(", 1.5] and DATA: [7]"))
+    r = table(s, d, "orders").select("o_orderkey", logs.index_list(text, "TOOLS").alias("at"))
+    return logs.select_by_index(r, table(s, d, "part").select(F.col("p_partkey").cast("int").alias("pos"), "p_name"), "at").select("o_orderkey", "p_name")
+
+
+@query("SELECT event_id, 'n' || (event_id % 5) AS first_node, 2 AS n_nodes, 'n' || (event_id % 5) || '>m' AS link FROM events WHERE event_id % 3 <> 0")
+def embedded_graphs(s, d):
+    k = (F.col("event_id") % 5).cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, "no graph {here}").otherwise(F.concat(F.lit('see {"nodes": [{"id": "n'), k, F.lit('", "label": "x"}, {"id": "m"}], "links": [{"source": "n'), k, F.lit('", "target": "m"}]} above')))
+    g = table(s, d, "events").select("event_id", logs.embedded_graph(text).alias("g")).where("g.nodes is not null")
+    return g.select("event_id", F.col("g.nodes")[0]["id"].alias("first_node"), F.size("g.nodes").alias("n_nodes"), F.concat(F.col("g.links")[0]["source"], F.lit(">"), F.col("g.links")[0]["target"]).alias("link"))
+
+
+@query("WITH o AS (SELECT id, node_type FROM graph_nodes WHERE source_database = 'CTD'), n AS (SELECT id, max(node_type) AS node_type FROM graph_nodes WHERE source_database <> 'CTD' GROUP BY id), v AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o)) SELECT node_type, count(*) AS n, (SELECT count(*) FROM graph_edges WHERE source_database IN ('CTD', 'STRING')) AS n_links FROM v GROUP BY node_type")
+def graph_merge(s, d):
+    """New nodes by id beside the old ones, links appended as they come."""
+    v, e = table(s, d, "graph_nodes").select("id", "node_type", "source_database"), table(s, d, "graph_edges").select("edge_id", "source_database")
+    of = lambda df, x: df.where(F.col("source_database") == x)
+    nodes, links = logs.merge_graph(of(v, "CTD"), v.where("source_database <> 'CTD'"), of(e, "CTD"), of(e, "STRING"))
+    n = links.count()
+    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n")).withColumn("n_links", F.lit(n).cast("long"))
+
+
+# More metrics
+
+@query("SELECT DISTINCT gene, disease FROM (SELECT id AS gene, unnest(regexp_extract_all(p, '([0-9]{6})\\s*\\(3\\)', 1)) AS disease FROM (SELECT mondo_id AS id, coalesce(disease_name, '') || ', ' || coalesce(omim_id, '') || ' (' || (row_id % 4) || '); x, ' || coalesce(orpha_id, '') || '(3)' AS p FROM disease_nodes WHERE trim(mondo_id) <> ''))")
+def known_pairs(s, d):
+    t = table(s, d, "disease_nodes")
+    text = F.concat(F.coalesce("disease_name", F.lit("")), F.lit(", "), F.coalesce("omim_id", F.lit("")), F.lit(" ("), (F.col("row_id") % 4).cast("string"), F.lit("); x, "), F.coalesce("orpha_id", F.lit("")), F.lit("(3)"))
+    return gm.known_pairs(t.select(F.col("mondo_id").alias("gene"), text.alias("phenotypes")))
+
+
+@query("SELECT node_type AS name, count(*) AS n FROM graph_nodes GROUP BY 1 UNION ALL SELECT rel_type, count(*) FROM graph_edges GROUP BY 1")
+def type_counts(s, d):
+    a, b = gm.node_counts(table(s, d, "graph_nodes")), gm.edge_counts(table(s, d, "graph_edges"))
+    return a.withColumnRenamed("node_type", "name").unionByName(b.withColumnRenamed("rel_type", "name"))
+
+
+@query("SELECT round(avg((o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)::INT), 6) AS rate FROM orders")
+def direct_download_rate(s, d):
+    k = F.col("o_orderkey")
+    notes = F.when(k % 5 == 0, "from GitHub releases").when(k % 7 == 0, "github.com/x").when(k % 2 == 0, "an ftp server")
+    return table(s, d, "orders").select(notes.alias("notes")).agg(F.round(tm.rate(tm.direct_download("notes")), 6).alias("rate"))
+
+
+_DECLARED = {"genes": ["GeneID", "Symbol", "LocusTag"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "nowhere": ["x"]}
+
+
+@query("SELECT 'genes' AS table_name, 'LocusTag' AS missing, (SELECT string_agg(column_name, '|' ORDER BY column_name) FROM (DESCRIBE genes) WHERE column_name NOT IN ('GeneID', 'Symbol', 'LocusTag')) AS additional UNION ALL SELECT 'nowhere', 'x', ''")
+def schema_conformance(s, d):
+    found = tm.schema_conformance(_DECLARED, {t: table(s, d, t) for t in ("genes", "part")})
+    return s.createDataFrame([(t, "|".join(a), "|".join(b)) for t, a, b in found], "table_name string, missing string, additional string")
+
+
+@query("SELECT kind, name, bool_or(declared) AS declared, bool_or(populated) AS populated FROM (SELECT 'class' AS kind, unnest(['Gene', 'Disease', 'Chemical', 'Drug', 'Thing']) AS name, true AS declared, false AS populated UNION ALL SELECT 'relation', unnest(['geneInteractsWithGene', 'treats']), true, false UNION ALL SELECT 'class', node_type, false, true FROM graph_nodes UNION ALL SELECT 'relation', rel_type, false, true FROM graph_edges) GROUP BY kind, name")
+def catalog_listing(s, d):
+    """Types that a catalog declares beside those that have data, after additions and a removal."""
+    c = catalog.Catalog()
+    c.add_class("Thing")
+    for name in ("Gene", "Disease", "Chemical", "Drug", "Gone"):
+        c.add_class(name, "Thing")
+    c.add_object_property("geneInteractsWithGene", "Gene", "Gene")
+    c.add_object_property("treats", "Drug", "Disease", "treatedBy")
+    c.remove("Gone")
+    return c.listing(s, table(s, d, "graph_nodes"), table(s, d, "graph_edges"))
+
+
+@query(f"""SELECT row_id, coalesce(disease_name, 'NA') AS plain, split_part(split_part('http://x/y#' || mondo_id, '#', 2), ' ', 1) AS fragment, trim(split_part(coalesce(is_a, ''), ' !', 1), E' \\t\\n\\r') AS parent, CASE WHEN coalesce(disease_name, 'NA') = 'NA' THEN NULL ELSE disease_name END AS known,
+coalesce(umls_cui, '-') || CASE WHEN coalesce(mesh_id, '-') <> coalesce(umls_cui, '-') THEN '|' || coalesce(mesh_id, '-') ELSE '' END AS ids FROM disease_nodes""")
+def text_cleaning(s, d):
+    t = table(s, d, "disease_nodes")
+    name = F.coalesce("disease_name", F.lit("NA"))
+    esc = F.concat(F.lit("\x1b[31m"), name, F.lit("\x1b[0m"))
+    return t.select("row_id", x.without_ansi(esc).alias("plain"), x.first_token(x.local_fragment(F.concat(F.lit("http://x/y#"), "mondo_id"))).alias("fragment"), x.before(F.coalesce("is_a", F.lit("")), " !").alias("parent"), x.normalize_na(name).alias("known"), F.array_join(n.ordered_union(F.array(F.coalesce("umls_cui", F.lit("-"))), F.array(F.coalesce("mesh_id", F.lit("-"))), F.array(F.coalesce("umls_cui", F.lit("-")))), "|").alias("ids"))
+
+
+@query("SELECT id, nullif(first(name), '') AS name, count(*) AS n FROM (SELECT 'gene_' || lower(trim(GeneID)) AS id, arg_min(coalesce(Symbol, ''), row_id) AS name FROM genes WHERE trim(GeneID) <> '' GROUP BY 1) GROUP BY id")
+def unique_rows(s, d):
+    """One node per id, made of its first row."""
+    g = table(s, d, "genes").withColumn("_ord", F.col("row_id")).withColumn("Symbol", F.coalesce("Symbol", F.lit("")))
+    m = NodeMapping("genes", "Gene", "genes", "GeneID", {"Symbol": "name"}, unique_rows=True)
+    v = build.build_nodes({"genes": g}, [m])
+    return v.select("id", F.try_element_at(F.col("props")["name"], F.lit(1)).alias("name"), F.coalesce(F.size(F.col("props")["name"]), F.lit(1)).cast("long").alias("n"))
