@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Default vocabulary file; a parameter everywhere.
@@ -25,10 +27,13 @@ def _encoder(path: str, pattern: str):
 
 
 def with_token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source"), tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``keep`` columns and n_tokens of the whole text; null and empty texts have 0."""
+    """``keep`` columns and n_tokens of the whole text; null and empty texts have 0. The
+    vocabulary file is shipped to the executors from the driver's path."""
+    name = os.path.basename(tokenizer)
+    df.sparkSession.sparkContext.addFile(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer, pattern)
+        enc = _encoder(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
