@@ -382,19 +382,19 @@ def _items(s, d):
         F.concat(F.lit("C"), (k % 60).cast("string")).alias("diseaseUMLSCUI"), F.lit("n").alias("diseaseName"), F.lit("disease").alias("diseaseType"), F.array(F.lit("a"), F.lit("b")).alias("diseaseClasses_MSH"), F.array().cast("array<string>").alias("diseaseClasses_UMLS_ST"), ((k % 100) / 100).alias("score"), F.lit(1.0).alias("ei"), (k % 9).alias("numPMIDs"), voc.alias("diseaseVocabularies"))
 
 
-@query("SELECT * EXCLUDE (v, w) FROM (SELECT DISTINCT CAST(edge_id % 700 AS VARCHAR) AS \"geneId\", 'C' || (edge_id % 60) AS \"diseaseId\", (edge_id % 100) / 100 AS \"gdaScore\", 1.0::DOUBLE AS \"evidenceIndex\", edge_id % 9 AS \"numberOfPublications\", NULL::BIGINT AS \"numberOfSnps\", 'DisGeNET' AS source_database, edge_id % 20 AS v, edge_id % 30 AS w FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL)")
+@query("SELECT * EXCLUDE (v, w) FROM (SELECT DISTINCT CAST(edge_id % 700 AS VARCHAR) AS \"geneId\", 'C' || (edge_id % 60) AS \"diseaseId\", (edge_id % 100) / 100 AS \"gdaScore\", 1.0::DOUBLE AS \"evidenceIndex\", edge_id % 9 AS \"numberOfPublications\", 'DisGeNET' AS source_database, edge_id % 20 AS v, edge_id % 30 AS w FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL)")
 def src_disgenet(s, d):
-    return src.disgenet(_items(s, d))["gene_disease_associations"]
+    return src.disgenet(_items(s, d))["gene_disease_associations"].drop("numberOfSnps")
 
 
-@query("SELECT DISTINCT CAST(g AS VARCHAR) AS \"geneId\", 'S' || g AS \"geneSymbol\", CASE WHEN g % 3 <> 0 THEN 'E' || g END AS \"ensemblId\", NULL::VARCHAR AS \"proteinId\", 0.5::DOUBLE AS \"pLI\", 0.25::DOUBLE AS \"DSI\", NULL::DOUBLE AS \"DPI\", 'DisGeNET' AS source_database FROM (SELECT edge_id % 700 AS g FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL)")
+@query("SELECT DISTINCT CAST(g AS VARCHAR) AS \"geneId\", 'S' || g AS \"geneSymbol\", CASE WHEN g % 3 <> 0 THEN 'E' || g END AS \"ensemblId\", 0.5::DOUBLE AS \"pLI\", 0.25::DOUBLE AS \"DSI\", 'DisGeNET' AS source_database FROM (SELECT edge_id % 700 AS g FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL)")
 def src_disgenet_genes(s, d):
-    return src.disgenet(_items(s, d))["genes"]
+    return src.disgenet(_items(s, d))["genes"].drop("proteinId", "DPI")
 
 
-@query("SELECT \"diseaseId\", \"MSH\", \"DO\", \"OMIM\", \"diseaseClass\", \"diseaseSemanticType\", source_database FROM (SELECT 'C' || (edge_id % 60) AS \"diseaseId\", min('D' || (edge_id % 20)) AS \"MSH\", 'DOID:' || min(CAST(edge_id % 30 AS VARCHAR)) AS \"DO\", NULL::VARCHAR AS \"OMIM\", 'a; b' AS \"diseaseClass\", NULL::VARCHAR AS \"diseaseSemanticType\", 'DisGeNET' AS source_database FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL GROUP BY 1)")
+@query("SELECT \"diseaseId\", \"MSH\", \"DO\", \"diseaseClass\", source_database FROM (SELECT 'C' || (edge_id % 60) AS \"diseaseId\", min('D' || (edge_id % 20)) AS \"MSH\", 'DOID:' || min(CAST(edge_id % 30 AS VARCHAR)) AS \"DO\", 'a; b' AS \"diseaseClass\", 'DisGeNET' AS source_database FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL GROUP BY 1)")
 def src_disgenet_diseases(s, d):
-    return src.disgenet(_items(s, d))["diseases"].select("diseaseId", "MSH", "DO", "OMIM", "diseaseClass", "diseaseSemanticType", "source_database")
+    return src.disgenet(_items(s, d))["diseases"].select("diseaseId", "MSH", "DO", "diseaseClass", "source_database")
 
 
 def _articles(s, d):
@@ -449,12 +449,12 @@ def io_tsv(s, d):
     return readers.delimited(s, at, ["c_custkey", "c_name", "c_mktsegment"], header=True)
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b, NULL::VARCHAR AS c FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b, true AS c_is_null FROM part")
 def io_headerless_gz(s, d):
     """Two fields per line, blank-separated names quoted, read into three columns."""
     at = _folder(s, "gz")
     table(s, d, "part").select("p_partkey", "p_name").write.option("compression", "gzip").option("quoteAll", "true").option("sep", ";").csv(at)
-    return readers.delimited(s, at, ["a", "b", "c"], sep=";", quote='"')
+    return readers.delimited(s, at, ["a", "b", "c"], sep=";", quote='"').select("a", "b", F.col("c").isNull().alias("c_is_null"))
 
 
 @query("SELECT 'C' || o_custkey AS a, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS b, CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE 'x' END AS c FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 > 0")
