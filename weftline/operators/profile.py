@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions.text import is_blank
-from weftline.storage import delete, make_folder, read_small, scratch_path, write_small
+from weftline.storage import delete, make_folder, matching, read_small, scratch_path, write_small
 
 SCHEMA = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("n", T.LongType()), T.StructField("table_name", T.StringType()), T.StructField("load_no", T.IntegerType()), T.StructField("sign", T.IntegerType())])
 
@@ -75,8 +75,16 @@ class ValueCounts:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def read(self) -> DataFrame:
-        """(table_name, column_name, load_no, value, n): current counts; what cancels to zero is gone."""
-        return self._raw().groupBy("table_name", "column_name", "load_no", "value").agg(F.sum(F.col("n") * F.col("sign")).alias("n")).where("n <> 0")
+        """(table_name, column_name, load_no, value, n): current counts. A load is one delta, in
+        which a value stands once; only where one was taken away are deltas summed, and
+        what cancels to zero is gone."""
+        names = ["table_name", "column_name", "load_no", "value", "n"]
+        raw, taken = self._raw(), F.lit(False)
+        for folder in matching(self.spark, f"{self.path}/table_name=*/load_no=*/sign=-1"):
+            table, load = (x.split("=", 1)[1] for x in folder.rstrip("/").split("/")[-3:-1])
+            taken = taken | ((F.col("table_name") == table) & F.col("load_no").eqNullSafe(F.lit(None if load.startswith("__HIVE") else int(load)).cast("int")))
+        summed = raw.where(taken).groupBy("table_name", "column_name", "load_no", "value").agg(F.sum(F.col("n") * F.col("sign")).alias("n")).where("n <> 0")
+        return raw.where(~taken).select(*names).unionByName(summed.select(*names))
 
     def sync(self, table: str, df: DataFrame, columns: Sequence[str], load: str | None = "load_no") -> list[int | None]:
         """Brings the store to what ``df`` holds; the loads for which a delta was applied. A
