@@ -73,6 +73,25 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
 
 
+def write_rdf(nodes: DataFrame, edges: DataFrame, path: str, base: str) -> None:
+    """The graph as named individuals of one RDF/XML file under the folder ``path``: types,
+    property values as literals, edges as resources, one element a statement, so that
+    nothing is gathered per node. One file is one task's work, so this is for graphs
+    of an ontology's size; ``ntriples`` writes any."""
+    xml = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    iri = lambda c: F.concat(F.lit(f"{base}#"), xml(c))
+    part = lambda name, inside: F.concat(F.lit("<kg:"), name, inside)
+    kinds = nodes.select("id", F.concat(F.lit('<rdf:type rdf:resource="'), iri(F.col("node_type")), F.lit('"/>')).alias("t"))
+    values = nodes.select("id", F.explode("props").alias("p", "vs")).select("id", "p", F.explode("vs").alias("v")).where("v is not null").select("id", part(F.col("p"), F.concat(F.lit(">"), xml(F.col("v")), F.lit("</kg:"), F.col("p"), F.lit(">"))).alias("t"))
+    links = edges.where("end_id is not null").select(F.col("start_id").alias("id"), part(F.col("rel_type"), F.concat(F.lit(' rdf:resource="'), iri(F.col("end_id")), F.lit('"/>'))).alias("t"))
+    links = links.join(nodes.select("id").distinct(), "id", "left_semi")
+    statements = kinds.unionByName(values).unionByName(links).select("id", "t").distinct()
+    one = statements.select(F.lit(1).alias("o"), F.concat(F.lit('<owl:NamedIndividual rdf:about="'), iri(F.col("id")), F.lit('">'), "t", F.lit("</owl:NamedIndividual>")).alias("value"))
+    head = f'<rdf:RDF xml:base="{base}" xmlns:kg="{base}#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n<owl:Ontology rdf:about="{base}"/>'
+    frame = nodes.sparkSession.createDataFrame([(0, head), (2, "</rdf:RDF>")], "o int, value string")
+    frame.unionByName(one).repartition(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     """Sorted distinct lines, gzipped."""
     df.select(F.col(df.columns[0]).cast("string").alias("value")).distinct().orderBy("value").write.mode("overwrite").option("compression", "gzip").text(path)

@@ -75,6 +75,12 @@ def first_and_last(df: DataFrame, group: str, order: str, keep: int) -> DataFram
     return df.withColumn("_a", F.row_number().over(w)).withColumn("_b", F.row_number().over(back)).where((F.col("_a") == 1) | (F.col("_b") <= keep - 1)).drop("_a", "_b")
 
 
+def unmatched(df: DataFrame, dimension: DataFrame, on: str, key: str, show: int | None = None) -> DataFrame:
+    """The distinct values that the dimension lacks, sorted; for a report the first ``show``."""
+    x = df.select(F.col(on).alias("value")).where("value is not null").distinct().join(dimension.select(F.col(key).alias("value")).distinct(), "value", "left_anti").orderBy("value")
+    return x.limit(show) if show is not None else x
+
+
 def lookup(df: DataFrame, dimension: DataFrame, on: str, key: str, value: str, name: str, default: object = None) -> DataFrame:
     """A left join to a dimension with one row per key (the first by value if there
     are more); unmatched rows get the default. The dimension is broadcast by the

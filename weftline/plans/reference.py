@@ -151,6 +151,12 @@ def semi_and_anti(s, d):
     return o.join(c, "o_custkey", "left_semi").join(li, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT DISTINCT start_id AS value FROM graph_edges WHERE start_id IS NOT NULL AND start_id NOT IN (SELECT id FROM graph_nodes WHERE id IS NOT NULL) ORDER BY value LIMIT 15")
+def unmatched_sample(s, d):
+    """The first of the starts that no node has, as a log shows them."""
+    return rows.unmatched(table(s, d, "graph_edges"), table(s, d, "graph_nodes"), "start_id", "id", 15)
+
+
 @query("SELECT 'suppliesTo' AS rel_type, 'supplier_' || s_suppkey AS start_id, 'customer_' || c_custkey AS end_id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def edge_resolution(s, d):
     ns, es, tabs = _trade_mappings(s, d)

@@ -375,7 +375,7 @@ def src_aopdb_genes(s, d):
 
 def _items(s, d):
     e, k = table(s, d, "graph_edges"), F.col("edge_id")
-    voc = F.array(F.concat(F.lit("MESH_D"), (k % 20).cast("string")), F.lit("MESH_late"), F.concat(F.lit("DO_"), (k % 30).cast("string")), F.lit("OMIM_"), F.lit("none"))
+    voc = F.array(F.lit("MSH_unknown"), F.concat(F.when(k % 2 == 0, "MESH_D").otherwise("mesh_D"), (k % 20).cast("string")), F.lit("MESH_late"), F.concat(F.lit("DO_"), (k % 30).cast("string")), F.lit("OMIM_"), F.lit("none"))
     gid = k % 700
     return e.where("start_id is not null and end_id is not null").select(
         gid.alias("geneNcbiID"), F.concat(F.lit("S"), gid.cast("string")).alias("symbolOfGene"), F.when(gid % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("E"), gid.cast("string")), F.lit("x"))).alias("geneEnsemblIDs"), F.lit(None).cast("array<string>").alias("geneProteinStrIDs"), F.lit(0.5).alias("genepLI"), F.lit(0.25).alias("geneDSI"), F.lit(None).cast("double").alias("geneDPI"),
@@ -392,9 +392,9 @@ def src_disgenet_genes(s, d):
     return src.disgenet(_items(s, d))["genes"].drop("proteinId", "DPI")
 
 
-@query("SELECT \"diseaseId\", \"MSH\", \"DO\", \"diseaseClass\", source_database FROM (SELECT 'C' || (edge_id % 60) AS \"diseaseId\", min('D' || (edge_id % 20)) AS \"MSH\", 'DOID:' || min(CAST(edge_id % 30 AS VARCHAR)) AS \"DO\", 'a; b' AS \"diseaseClass\", 'DisGeNET' AS source_database FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL GROUP BY 1)")
+@query("SELECT \"diseaseId\", \"MSH\", \"DO\", '' AS \"OMIM\", \"diseaseClass\", source_database FROM (SELECT 'C' || (edge_id % 60) AS \"diseaseId\", min('D' || (edge_id % 20)) AS \"MSH\", 'DOID:' || min(CAST(edge_id % 30 AS VARCHAR)) AS \"DO\", 'a; b' AS \"diseaseClass\", 'DisGeNET' AS source_database FROM graph_edges WHERE start_id IS NOT NULL AND end_id IS NOT NULL GROUP BY 1)")
 def src_disgenet_diseases(s, d):
-    return src.disgenet(_items(s, d))["diseases"].select("diseaseId", "MSH", "DO", "diseaseClass", "source_database")
+    return src.disgenet(_items(s, d))["diseases"].select("diseaseId", "MSH", "DO", "OMIM", "diseaseClass", "source_database")
 
 
 def _articles(s, d):
@@ -542,17 +542,25 @@ def io_graph(s, d):
 
 @query("SELECT node_type, count(*) AS n, sum(k)::BIGINT AS n_values FROM (SELECT a.id, a.node_type, count(DISTINCT b.source_key) AS k FROM (SELECT DISTINCT id, node_type FROM graph_nodes WHERE id IS NOT NULL) a LEFT JOIN graph_nodes b ON a.id = b.id GROUP BY ALL) GROUP BY node_type")
 def io_rdf(s, d):
-    """Nodes written as individuals of an RDF/XML file, read back as triples."""
-    at = _folder(s, "rdf")
-    v = table(s, d, "graph_nodes").where("id is not null")
-    one = F.concat(F.lit('<owl:NamedIndividual rdf:about="#'), "id", F.lit('"><rdf:type rdf:resource="http://ex.org/kg#'), "node_type", F.lit('"/>'), F.coalesce(F.concat(F.lit("<kg:source>"), F.replace(F.replace("source_key", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</kg:source>")), F.lit("")), F.lit("</owl:NamedIndividual>"))
-    head = '<rdf:RDF xml:base="http://ex.org/kg" xmlns:kg="http://ex.org/kg#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n<owl:Ontology rdf:about="http://ex.org/kg"/>'
-    body = s.createDataFrame([(0, head), (2, "</rdf:RDF>")], "o int, value string").unionByName(v.select(F.lit(1).alias("o"), one.alias("value")))
-    body.repartition(1).sortWithinPartitions("o").select("value").write.text(at)
-    t = build.triple_nodes(readers.rdf_individuals(s, at))
+    """Nodes and edges written as individuals of an RDF/XML file, nodes read back as triples."""
+    t = build.triple_nodes(readers.rdf_individuals(s, _rdf_file(s, d)))
     return t.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size(F.col("props")["source"]), F.lit(0))).alias("n_values"))
 
 
+def _rdf_file(s, d) -> str:
+    at, g = _folder(s, "rdf"), table(s, d, "graph_nodes").where("id is not null")
+    v = g.groupBy("id", "node_type").agg(F.create_map(F.lit("source"), F.array_sort(F.collect_set("source_key"))).alias("props"))
+    export.write_rdf(v, table(s, d, "graph_edges"), at, "http://ex.org/kg")
+    return at
+
+
+@query("SELECT rel_type, count(*) AS n FROM (SELECT DISTINCT rel_type, start_id, end_id FROM graph_edges WHERE start_id IN (SELECT id FROM graph_nodes) AND end_id IN (SELECT id FROM graph_nodes)) GROUP BY rel_type")
+def io_rdf_edges(s, d):
+    """The same file's links between individuals."""
+    t = readers.rdf_individuals(s, _rdf_file(s, d))
+    return gm.edge_counts(build.triple_edges(t).distinct())
+
+
 @query("SELECT 'genes' AS table_name, 0::BIGINT AS n_rows, 9 + 1 AS n_columns UNION ALL SELECT 'symptom_nodes', 0, 3")
 def io_empty_outputs(s, d):
     """What a source gives whose landing folder is empty: its tables, typed, without rows."""

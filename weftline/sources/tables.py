@@ -45,8 +45,12 @@ def ncbigene(gene_info: DataFrame, taxon: str = "9606") -> dict[str, DataFrame]:
     return {"genes": _from(g, "NCBIGene")}
 
 
-def widen(df: DataFrame, map_column: str, prefix: str, keys: Sequence[str]) -> DataFrame:
-    """Columns for chosen keys of a map (keys are named by the mapping, not found by a job)."""
+def widen(df: DataFrame, map_column: str, prefix: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Columns for the keys of a map: those given, or all there are, sorted (found by one
+    aggregate; for maps whose keys are names of sources, a bounded few)."""
+    if keys is None:
+        found = df.select(F.explode(F.map_keys(map_column)).alias("k")).distinct()
+        keys = sorted(r.k for r in found.collect())
     return df.select(*[c for c in df.columns if c != map_column], *[F.col(map_column)[k].alias(prefix + k) for k in keys])
 
 
@@ -254,14 +258,17 @@ def disgenet(items: DataFrame) -> dict[str, DataFrame]:
     """items: saved result pages (readers.json_pages with the fields below)."""
     # The vocabularies that get a column.
     vocab = ["MSH", "ICD10", "NCI", "OMIM", "ICD9CM", "HPO", "DO", "MONDO", "UMLS", "EFO", "ORDO"]
-    pairs = F.transform(F.coalesce("diseaseVocabularies", F.array().cast("array<string>")), lambda v: F.struct(F.when(F.substring_index(v, "_", 1) == "MESH", "MSH").otherwise(F.substring_index(v, "_", 1)).alias("key"), F.substring(v, F.instr(v, "_") + 1, F.length(v)).alias("value")))
-    codes = n.first_wins(F.filter(pairs, lambda p: F.length(p["value"]) > 0))
+    # Entries are PREFIX_code, in any letter case; the first code of a vocabulary counts.
+    prefix = lambda v: F.upper(F.substring_index(v, "_", 1))
+    key = lambda v: F.when(prefix(v) == "MESH", "MSH").when(prefix(v).isin(vocab[1:]), prefix(v))
+    entries = F.filter(F.coalesce("diseaseVocabularies", F.array().cast("array<string>")), lambda v: v.contains("_") & key(v).isNotNull())
+    codes = n.first_wins(F.transform(entries, lambda v: F.struct(key(v).alias("key"), F.substring(v, F.instr(v, "_") + 1, F.length(v)).alias("value"))))
     first = lambda c: F.try_element_at(c, F.lit(1))
     g = items.withColumn("_v", codes).select(
         F.col("geneNcbiID").cast("string").alias("geneId"), F.col("symbolOfGene").alias("geneSymbol"), first(F.col("geneEnsemblIDs")).alias("ensemblId"), first(F.col("geneProteinStrIDs")).alias("proteinId"), F.col("genepLI").alias("pLI"), F.col("geneDSI").alias("DSI"), F.col("geneDPI").alias("DPI"),
         F.col("diseaseUMLSCUI").alias("diseaseId"), "diseaseName", "diseaseType", n.joined_or_null("diseaseClasses_MSH").alias("diseaseClass"), n.joined_or_null("diseaseClasses_UMLS_ST").alias("diseaseSemanticType"),
         F.col("score").alias("gdaScore"), F.col("ei").alias("evidenceIndex"), F.col("numPMIDs").alias("numberOfPublications"), *[F.col("_v")[v].alias(v) for v in vocab]).distinct()
-    g = g.withColumn("DO", x.ensure_prefix("DO", "DOID:"))
+    g = g.withColumn("DO", F.when(F.startswith("DO", F.lit("DOID:")), F.col("DO")).otherwise(F.concat(F.lit("DOID:"), "DO")))
     gene_cols, dis_cols = ["geneId", "geneSymbol", "ensemblId", "proteinId", "pLI", "DSI", "DPI"], ["diseaseId", "diseaseName", "diseaseType", "diseaseClass", "diseaseSemanticType", *vocab]
     genes, diseases = g.select(*gene_cols), g.select(*dis_cols)
     edges = g.select("geneId", "diseaseId", "gdaScore", "evidenceIndex", "numberOfPublications", F.lit(None).cast("long").alias("numberOfSnps"))
