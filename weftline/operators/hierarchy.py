@@ -43,7 +43,7 @@ from weftline.storage import Scratch, cut
 KEEP, RAKED, SPLICED, LOOP = 0, 1, 2, 3
 
 #: Links of a core that one task takes: two ids and what was spliced between them.
-PER_TASK = 20_000
+PER_TASK = 1_000
 #: A round that takes out less than this share of the links is worth a look for cycles to merge.
 SLOW = 0.02
 
