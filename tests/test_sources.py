@@ -299,3 +299,17 @@ def test_catalog_view(spark):
     assert 'const D = [' in with_json("x /*here*/ y", "/*here*/", "D", c)
     with pytest.raises(ValueError):
         with_json("x", "/*here*/", "D", c)
+
+
+def test_jdbc_scan(spark):
+    """A query pushed to an embedded database."""
+    from pyspark.errors import PySparkException
+
+    url, driver = "jdbc:derby:memory:sources;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df = spark.createDataFrame([(i, f"n{i % 3}") for i in range(20)], "struct_id int, name string")
+    try:
+        df.write.format("jdbc").options(url=url, dbtable="omop", **driver).save()
+    except PySparkException as e:
+        pytest.skip(f"no embedded database: {str(e)[:60]}")
+    got = readers.jdbc_query(spark, url, 'select "struct_id", "name" from omop where "struct_id" > 9', **driver)
+    assert rows(got, "struct_id", "name") == {(i, f"n{i % 3}") for i in range(10, 20)}

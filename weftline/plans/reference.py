@@ -689,6 +689,27 @@ def running_budget(s, d):
     return logs.running_budget(table(s, d, "events"), "user_id", "event_id", "value", 300.0).select("user_id", "event_id", F.round("running_total", 4).alias("running_total"), "over_budget")
 
 
+def _streamed(s, stream, mode: str, name: str):
+    """What a stream has written when all there is has been read, batch by batch."""
+    at, state = scratch_path(s, name), scratch_path(s, f"{name}-state")
+    keep = "append" if mode == "append" else "overwrite"
+    write = lambda batch, _: batch.write.mode(keep).parquet(at)
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(at)
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('error', 'view')")
+def stream_filter(s, d):
+    e = logs.filter_events(logs.event_stream(s, f"{d}/events*.parquet"), ["error", "view"])
+    return _streamed(s, e.select("event_id", "event_type", "value"), "append", "stream-filter")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(coalesce(value, 0)), 4) AS total FROM events WHERE event_type IN ('click', 'purchase') GROUP BY ALL")
+def stream_usage(s, d):
+    w = _streamed(s, logs.windowed_usage(logs.event_stream(s, f"{d}/events*.parquet"), ["click", "purchase"]), "complete", "stream-usage")
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("WITH f AS (SELECT user_id, event_id, (value > 50)::INT AS f FROM events), i AS (SELECT *, sum(1 - coalesce(f, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM f) SELECT user_id, event_id, sum(coalesce(f, 0)) OVER (PARTITION BY user_id, i ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_failures FROM i")
 def failure_streaks(s, d):
     return logs.failure_streaks(table(s, d, "events"), "user_id", "event_id", F.col("value") > 50).select("user_id", "event_id", "consecutive_failures")
