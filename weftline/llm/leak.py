@@ -3,8 +3,9 @@
 The items are the stated query set: they are taken in blocks of a bounded number
 of words, and every block is held against all documents.
 
-1. One scan normalises and tokenises the documents and keeps every document as
-   ids of the block's vocabulary, unknown words as -1. All that follows reads that.
+1. One scan, for all blocks, normalises and tokenises the documents and keeps every
+   document as ids of the items' vocabulary, unknown words as -1. All that follows
+   reads that table; a block's own ids are looked up in an array.
 2. Documents are cut into passages. Passage frequencies, then a randomised SVD of
    the TF-IDF matrix (passages x vocabulary), are computed in a few passes: each
    partition multiplies its rows with the current basis, the partial products are
@@ -31,6 +32,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def item_blocks(items: DataFrame, block_words: int = 200_000) -> Iterator[Block]
 def known_words(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, ids): each document as ids of the vocabulary, -1 for other words; ids
     is null where no word is known. Null and empty texts have no row."""
-    kept = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most block_words entries
+    kept = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the distinct words of the query set
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = kept.value.get
@@ -97,12 +99,41 @@ def known_words(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, ids array<int>")
 
 
-def _passages(b: pa.RecordBatch, window: int, size: int, at_once: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(passage, word, times) of the known words in a batch of documents, each cut into passages
-    of ``window`` words, some ``at_once`` words at a time."""
+def all_words(items: DataFrame) -> dict[str, int]:
+    """The vocabulary of all items: distinct words of the query set, on the driver."""
+    vocabulary: dict[str, int] = {}
+    for r in items.select("text").toLocalIterator():
+        for x in words(r.text):
+            vocabulary.setdefault(x, len(vocabulary))
+    return vocabulary
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """The documents as ids of all items' words, written once, and their vocabulary."""
+
+    known: Scratch
+    vocabulary: dict[str, int]
+
+    def lookup(self, block: Block) -> np.ndarray:
+        """From the corpus' ids to the block's; -1, the last one, is the unknown word in both."""
+        to = np.full(len(self.vocabulary) + 1, -1, dtype=np.int32)
+        for x, i in block.vocabulary.items():
+            to[self.vocabulary[x]] = i
+        return to
+
+
+def corpus(docs: DataFrame, items: DataFrame) -> Corpus:
+    vocabulary = all_words(items)
+    return Corpus(Scratch(known_words(docs, vocabulary), "known-words"), vocabulary)
+
+
+def _passages(b: pa.RecordBatch, to: np.ndarray, window: int, size: int, at_once: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, word, times) of the block's words in a batch of documents, each cut into passages
+    of ``window`` words, some ``at_once`` words at a time. ``to``: Corpus.lookup."""
     lists = b.column("ids")
     ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    flat = lists.flatten().to_numpy()
+    flat = to[lists.flatten().to_numpy()]
     if not len(flat):
         return
     starts = np.concatenate([[0], ends[:-1]])
@@ -142,13 +173,13 @@ def _partition() -> int:
     return TaskContext.get().partitionId()
 
 
-def passage_frequencies(known: DataFrame, size: int, window: int) -> np.ndarray:
+def passage_frequencies(known: DataFrame, lookup: Broadcast, size: int, window: int) -> np.ndarray:
     """In how many passages each word of the block is, over all documents."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size)
         for b in batches:
-            for _, word, _ in _passages(b, window, size):
+            for _, word, _ in _passages(b, lookup.value, window, size):
                 n += np.bincount(word, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_partition()], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["strip", "part", "g"])
 
@@ -157,7 +188,7 @@ def passage_frequencies(known: DataFrame, size: int, window: int) -> np.ndarray:
     return np.frombuffer(rows[0].g).copy() if rows else np.zeros(size)
 
 
-def latent_basis(known: DataFrame, idf: np.ndarray, window: int, rank: int = 64, passes: int = 2, seed: int = 5, extra: np.ndarray | None = None) -> np.ndarray:
+def latent_basis(known: DataFrame, lookup: Broadcast, idf: np.ndarray, window: int, rank: int = 64, passes: int = 2, seed: int = 5, extra: np.ndarray | None = None) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the TF-IDF matrix of all passages, by
     randomised subspace iteration. ``extra``: further rows (the items), held on the driver."""
     size = len(idf)
@@ -172,7 +203,7 @@ def latent_basis(known: DataFrame, idf: np.ndarray, window: int, rank: int = 64,
             q, idf = basis.value
             g = np.zeros((size, rank))
             for b in batches:
-                for row, word, times in _passages(b, window, size):
+                for row, word, times in _passages(b, lookup.value, window, size):
                     if not len(row):
                         continue
                     x = times.astype(np.float32) * idf[word]
@@ -216,24 +247,28 @@ def _windows(ids: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """A block's latent space: word weights (idf times basis), idf, and the corpus table."""
+    """A block's latent space: word weights (idf times basis), idf, and the way from the corpus' ids."""
 
     weights: np.ndarray
     idf: np.ndarray
-    known: Scratch
+    lookup: Broadcast
 
 
-def fit(docs: DataFrame, block: Block, window: int, rank: int) -> Model:
-    known = Scratch(known_words(docs, block.vocabulary), "known-words")
+def fit(c: Corpus, n: int, block: Block, window: int, rank: int) -> Model:
+    """``n``: passages of the corpus (``passages``)."""
     size = len(block.vocabulary)
-    n = known.df.agg(F.sum(F.ceil(F.col("n_words") / window))).first()[0] or 0
-    idf = np.log((n + 1) / (passage_frequencies(known.df, size, window) + 1)) + 1
+    lookup = c.known.spark.sparkContext.broadcast(c.lookup(block))  # a number for each word of the query set
+    idf = np.log((n + 1) / (passage_frequencies(c.known.df, lookup, size, window) + 1)) + 1
     starts = [(w, i) for _, w in block.items for i in range(0, len(w), window)]
     extra = np.zeros((len(starts), size))
     for r, (w, i) in enumerate(starts):
         np.add.at(extra[r], w[i : i + window], idf[w[i : i + window]])
     extra /= np.maximum(np.linalg.norm(extra, axis=1, keepdims=True), 1e-12)
-    return Model(latent_basis(known.df, idf, window, rank, extra=extra) * idf[:, None], idf, known)
+    return Model(latent_basis(c.known.df, lookup, idf, window, rank, extra=extra) * idf[:, None], idf, lookup)
+
+
+def passages(c: Corpus, window: int) -> int:
+    return c.known.df.agg(F.sum(F.ceil(F.col("n_words") / window))).first()[0] or 0
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_cosine: float = 0.999, block_words: int = 200_000) -> DataFrame:
@@ -245,8 +280,10 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
     """
     spark = docs.sparkSession
     out = None
+    c = corpus(docs, items)
+    n = passages(c, run)
     for block in item_blocks(items, block_words):
-        m = fit(docs, block, run, rank)
+        m = fit(c, n, block, run, rank)
         wins, owner, vecs = [], [], []
         for item, w in block.items:
             if len(w) >= run:
@@ -262,14 +299,14 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
         by = np.argsort(V[:, axis], kind="stable")
         band = float(np.sqrt(2 - 2 * min_cosine)) + 1e-5
         # Bounded by block_words: rank + run + 3 numbers per window.
-        q = spark.sparkContext.broadcast((V[by], W[by], O[by], m.weights, axis, band))
+        q = spark.sparkContext.broadcast((V[by], W[by], O[by], m.weights, axis, band, m.lookup.value))
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            qv, qw, qi, weights, axis, band = q.value
+            qv, qw, qi, weights, axis, band, to = q.value
             qx = qv[:, axis].copy()
             for b in batches:
                 lens = pa.compute.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False)
-                flat = b.column("ids").flatten().to_numpy()
+                flat = to[b.column("ids").flatten().to_numpy()]
                 doc = np.repeat(b.column("doc_id").to_numpy(), lens)
                 found = set()
                 # Maximal runs of known words within a document: a leak lies in one of at least ``run`` words.
@@ -315,7 +352,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, rank: int = 48, min_
                 a = sorted(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in a], pa.int64()), pa.array([y for _, y in a], pa.int64())], names=["doc_id", "item_id"])
 
-        x = m.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long")
+        x = c.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long")
         out = x if out is None else out.unionByName(x)
     if out is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("item_id")).limit(0)
@@ -372,8 +409,10 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
     """
     spark = docs.sparkSession
     out = None
+    c = corpus(docs, items)
+    n_passages = passages(c, window)
     for block in item_blocks(items, block_words):
-        m = fit(docs, block, window, rank)
+        m = fit(c, n_passages, block, window, rank)
         telling = np.zeros(len(m.idf), dtype=bool)
         for x, i in block.vocabulary.items():
             telling[i] = any(c.isdigit() for c in x)
@@ -386,10 +425,10 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
         weights = np.concatenate([m.weights, np.zeros((1, m.weights.shape[1]))])
         qv = np.concatenate([_project(w, weights, len(w)) for _, w in ps])
         index = _Index(padded, told, len(m.idf), min_answer)
-        q = spark.sparkContext.broadcast((weights, qv, owner, size, padded, told, index))  # bounded by block_words
+        q = spark.sparkContext.broadcast((weights, qv, owner, size, padded, told, index, m.lookup.value))  # bounded by the query set
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            weights, qv, owner, size, padded, told, index = q.value
+            weights, qv, owner, size, padded, told, index, to = q.value
             for b in batches:
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 held: list[tuple[np.ndarray, ...]] = []
@@ -415,7 +454,7 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
 
                 n = 0
                 for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                    ids = ids.values.to_numpy()
+                    ids = to[ids.values.to_numpy()]
                     some = index.passages(ids)
                     if not len(some):
                         continue
@@ -442,7 +481,7 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
                 a = sorted(best.items())
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in a], pa.int64()), pa.array([k[1] for k, _ in a], pa.int64()), *[pa.array([v[i] for _, v in a], pa.float64()) for i in (1, 0, 2)]], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        x = m.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        x = c.known.df.where("ids is not null").select("doc_id", "ids").mapInArrow(search, "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = x if out is None else out.unionByName(x)
     if out is None:
         return docs.select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), *[F.lit(0.0).alias(c) for c in ("cosine", "lcs_share", "answer_share")]).limit(0)
