@@ -393,7 +393,7 @@ class _Index:
         return np.flatnonzero(np.bincount(self.passage[some], self.times[some], minlength=len(self.least)) >= self.least)
 
 
-def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int = 12, rank: int = 48, min_cosine: float = 0.6, min_lcs: float = 0.6, min_answer: float = 0.5, block_words: int = 200_000) -> DataFrame:
+def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int = 12, rank: int = 48, min_cosine: float = 0.4, min_lcs: float = 0.6, min_answer: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share): per document and item the best
     pair of passages that passes all three thresholds.
 
