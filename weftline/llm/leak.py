@@ -17,8 +17,8 @@ of words, and every block is held against all documents.
 4. Candidates are checked: for verbatim leaks word by word; for paraphrases by
    the longest common subsequence and by how many of the passage's telling
    words (its answer: words with digits, and the rarest words) turn up. As a
-   document must hold so many of them, an index from telling words to item
-   passages says beforehand which passages a document can leak at all.
+   document must hold so many of a passage's words, and of its telling words, an
+   index from words to item passages says beforehand which it can leak at all.
 """
 
 from __future__ import annotations
@@ -373,24 +373,27 @@ def _lcs(same: np.ndarray) -> np.ndarray:
 
 
 class _Index:
-    """From telling words to the item passages that hold them, with how many of a
-    passage's positions each word fills. A document can only pass the answer check
-    for passages of whose telling positions it fills ``min_answer``."""
-
-    def __init__(self, padded: np.ndarray, told: np.ndarray, size: int, min_answer: float):
-        j, k = np.nonzero(told)
-        key, times = np.unique(padded[j, k].astype(np.int64) * len(padded) + j, return_counts=True)
-        word = key // len(padded)
-        self.passage, self.times = key % len(padded), times
-        self.first = np.searchsorted(word, np.arange(size + 1))
-        # With nothing telling a passage is always looked at.
-        self.least = np.where(told.any(axis=1), min_answer * told.sum(axis=1) - 1e-9, 0.0)
+    """From words to the item passages that hold them, with how many of a passage's positions
+    each word fills, and how many telling ones. A document can only pass for passages of
+    whose positions its words fill ``min_lcs`` (a common subsequence is no longer), and
+    of whose telling positions they fill ``min_answer``."""
+
+    def __init__(self, padded: np.ndarray, told: np.ndarray, size: int, min_lcs: float, min_answer: float):
+        j, k = np.nonzero(padded >= 0)
+        key, at = np.unique(padded[j, k].astype(np.int64) * len(padded) + j, return_inverse=True)
+        self.passage = key % len(padded)
+        self.filled, self.telling = np.bincount(at, minlength=len(key)), np.bincount(at, told[j, k], minlength=len(key))
+        self.first = np.searchsorted(key // len(padded), np.arange(size + 1))
+        # A passage without telling words is looked at for its words alone.
+        self.least_filled, self.least_telling = min_lcs * (padded >= 0).sum(axis=1) - 1e-9, min_answer * told.sum(axis=1) - 1e-9
 
     def passages(self, ids: np.ndarray) -> np.ndarray:
         w = np.unique(ids[ids >= 0])
         n, at = self.first[w + 1] - self.first[w], self.first[w]
         some = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.flatnonzero(np.bincount(self.passage[some], self.times[some], minlength=len(self.least)) >= self.least)
+        of = self.passage[some]
+        count = lambda x: np.bincount(of, x[some], minlength=len(self.least_filled))
+        return np.flatnonzero((count(self.filled) >= self.least_filled) & (count(self.telling) >= self.least_telling))
 
 
 def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int = 12, rank: int = 48, min_cosine: float = 0.4, min_lcs: float = 0.6, min_answer: float = 0.5, block_words: int = 200_000) -> DataFrame:
@@ -424,7 +427,7 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
         # The last row is the unknown word, -1.
         weights = np.concatenate([m.weights, np.zeros((1, m.weights.shape[1]))])
         qv = np.concatenate([_project(w, weights, len(w)) for _, w in ps])
-        index = _Index(padded, told, len(m.idf), min_answer)
+        index = _Index(padded, told, len(m.idf), min_lcs, min_answer)
         q = spark.sparkContext.broadcast((weights, qv, owner, size, padded, told, index, m.lookup.value))  # bounded by the query set
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
@@ -433,23 +436,25 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 held: list[tuple[np.ndarray, ...]] = []
 
-                def check(doc: np.ndarray, w: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
-                    same = w.T[:, None, :] == padded[j].T[None, :, :]
-                    seen, t = same.any(axis=0).T, told[j]
-                    n = t.sum(axis=1)
-                    answer = np.where(n > 0, (seen & t).sum(axis=1) / np.maximum(n, 1), 1.0)
-                    # Words in common bound the subsequence.
-                    ok = np.flatnonzero((answer >= min_answer) & (seen.sum(axis=1) / size[j] >= min_lcs))
-                    lcs = _lcs(same[:, :, ok]) / size[j[ok]]
-                    ok, lcs = ok[lcs >= min_lcs], lcs[lcs >= min_lcs]
-                    for d, i, *x in zip(doc[ok].tolist(), owner[j[ok]].tolist(), lcs.round(6).tolist(), cosine[ok].astype(float).round(6).tolist(), answer[ok].round(6).tolist(), strict=True):
+                def check(doc: np.ndarray, w: np.ndarray, j: np.ndarray, cosine: np.ndarray, answer: np.ndarray) -> np.ndarray:
+                    lcs = np.concatenate([np.zeros(0), *[_lcs(w[k : k + 8192].T[:, None, :] == padded[j[k : k + 8192]].T[None, :, :]) for k in range(0, len(w), 8192)]]) / size[j]
+                    ok = np.flatnonzero(lcs >= min_lcs)
+                    for d, i, *x in zip(doc[ok].tolist(), owner[j[ok]].tolist(), lcs[ok].round(6).tolist(), cosine[ok].astype(float).round(6).tolist(), answer[ok].round(6).tolist(), strict=True):
                         if tuple(x) > best.get((d, i), (-1.0,)):  # noqa: B023
                             best[d, i] = tuple(x)  # noqa: B023
+                    return lcs
 
                 def flush() -> None:
-                    doc, w, j, cosine = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
-                    for k in range(0, len(doc), 8192):
-                        check(doc[k : k + 8192], w[k : k + 8192], j[k : k + 8192], cosine[k : k + 8192])
+                    """Of a document's windows and one passage, that with most words in common first;
+                    others only if their words in common leave room for a longer subsequence."""
+                    *parts, common = [np.concatenate(x) for x in zip(*held, strict=True)]  # noqa: B023
+                    doc, j = parts[0], parts[2]
+                    order = np.lexsort((-common, j, doc))
+                    first = np.append(True, (np.diff(doc[order]) != 0) | (np.diff(j[order]) != 0))
+                    head = order[first]
+                    reached = check(*[x[head] for x in parts])[np.cumsum(first) - 1]
+                    rest = order[~first & (common[order] / size[j[order]] >= reached - 1e-9)]
+                    check(*[x[rest] for x in parts])
                     held.clear()  # noqa: B023
 
                 n = 0
@@ -462,16 +467,26 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
                     # A common subsequence is no longer than the known words of a window.
                     known = np.concatenate([[0], np.cumsum(ids >= 0)])
                     at = np.flatnonzero(known[long:] - known[:-long] >= min_lcs * size[some].min() - 1e-9)
-                    # A very long document is taken in stretches.
-                    for k in range(0, len(at), 4096):
-                        a = at[k : k + 4096]
-                        v = _project(ids[a[0] : a[-1] + long], weights, long)[a - a[0]]
-                        s = v @ qv[some].T
-                        x, y = np.nonzero(s >= min_cosine)
+                    # A long document is taken in stretches, the shorter the more passages it may leak.
+                    stretch = max(64, 2_000_000 // (len(some) * window))
+                    for k in range(0, len(at), stretch):
+                        a = at[k : k + stretch]
+                        part, rel = ids[a[0] : a[-1] + long], a - a[0]
+                        # Which words of each passage are in each window: words in common bound the subsequence.
+                        upto = np.cumsum(np.concatenate([np.zeros((1, len(some), window), dtype=bool), part[:, None, None] == padded[some]]), axis=0, dtype=np.int32)
+                        seen = upto[rel + long] > upto[rel]
+                        t = told[some]
+                        answer = np.where(t.any(axis=1), (seen & t).sum(axis=2) / np.maximum(t.sum(axis=1), 1), 1.0)
+                        common = seen.sum(axis=2)
+                        ok = (common >= min_lcs * size[some] - 1e-9) & (answer >= min_answer)
+                        if not ok.any():
+                            continue
+                        s = _project(part, weights, long)[rel] @ qv[some].T
+                        x, y = np.nonzero(ok & (s >= min_cosine))
                         if len(x):
                             w = np.full((len(x), window), -3, dtype=np.int32)
                             w[:, :long] = _windows(ids, long)[a[x]]
-                            held.append((np.full(len(x), doc), w, some[y], s[x, y]))
+                            held.append((np.full(len(x), doc), w, some[y], s[x, y], answer[x, y], common[x, y]))
                             n += len(x)
                             if n >= 8192:
                                 flush()
