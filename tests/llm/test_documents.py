@@ -109,6 +109,14 @@ def test_planted_items_with_words_replaced(spark, replaced):
     assert recall >= (1.0 if replaced == 0 else 0.9) and precision >= 0.9
 
 
+def test_bits_of_windows():
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 256, (40, 2, 3)).astype(np.uint8) & rng.integers(0, 256, (40, 2, 3)).astype(np.uint8)
+    for n in (1, 2, 3, 7, 24, 40):
+        want = np.stack([np.bitwise_or.reduce(bits[i : i + n]) for i in range(41 - n)])
+        assert (leak._any_of(bits, n) == want).all()
+
+
 def test_sums_in_levels(spark):
     parts = spark.createDataFrame([(s, p, np.array([1.0, float(p)]).tobytes()) for s in (0, 4096) for p in range(100)], "strip int, part long, g binary")
     for width in (3, 32, 1000):

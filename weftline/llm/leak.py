@@ -372,6 +372,15 @@ def _lcs(same: np.ndarray) -> np.ndarray:
     return row[-1]
 
 
+def _any_of(bits: np.ndarray, length: int) -> np.ndarray:
+    """The bits set anywhere in each window of ``length`` rows, by doubling."""
+    span = 1
+    while 2 * span <= length:
+        bits = bits[:-span] | bits[span:]
+        span *= 2
+    return bits[: len(bits) - (length - span)] | bits[length - span :]
+
+
 class _Index:
     """From words to the item passages that hold them, with how many of a passage's positions
     each word fills, and how many telling ones. A document can only pass for passages of
@@ -432,6 +441,7 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
 
         def search(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             weights, qv, owner, size, padded, told, index, to = q.value
+            told_bits = np.packbits(told, axis=1)
             for b in batches:
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 held: list[tuple[np.ndarray, ...]] = []
@@ -472,12 +482,12 @@ def paraphrases(docs: DataFrame, items: DataFrame, window: int = 24, stride: int
                     for k in range(0, len(at), stretch):
                         a = at[k : k + stretch]
                         part, rel = ids[a[0] : a[-1] + long], a - a[0]
-                        # Which words of each passage are in each window: words in common bound the subsequence.
-                        upto = np.cumsum(np.concatenate([np.zeros((1, len(some), window), dtype=bool), part[:, None, None] == padded[some]]), axis=0, dtype=np.int32)
-                        seen = upto[rel + long] > upto[rel]
-                        t = told[some]
-                        answer = np.where(t.any(axis=1), (seen & t).sum(axis=2) / np.maximum(t.sum(axis=1), 1), 1.0)
-                        common = seen.sum(axis=2)
+                        # Which positions of each passage have their word in each window, as bits: words in common bound the subsequence.
+                        seen = _any_of(np.packbits(part[:, None, None] == padded[some], axis=2), long)[rel]
+                        t = told_bits[some]
+                        n_told = np.bitwise_count(t).sum(axis=1, dtype=np.int64)
+                        common = np.bitwise_count(seen).sum(axis=2, dtype=np.int64)
+                        answer = np.where(n_told > 0, np.bitwise_count(seen & t).sum(axis=2, dtype=np.int64) / np.maximum(n_told, 1), 1.0)
                         ok = (common >= min_lcs * size[some] - 1e-9) & (answer >= min_answer)
                         if not ok.any():
                             continue
