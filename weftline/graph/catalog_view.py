@@ -17,6 +17,7 @@ def records(rows: DataFrame, node_ids: dict[str, str], edge_ids: dict[str, str])
     """(id, label, integration, active, status, version, parent, nodes, edges) of the rows of
     the catalog table. Rows without an id are left out; labels of types that are not
     known fall away; status and version default to N/A, an empty parent is null."""
+    # The headings of the catalog table.
     text = lambda c: F.coalesce(strip(c), F.lit("")) if c in rows.columns else F.lit("")
     or_na = lambda c: F.when(text(c) != "", text(c)).otherwise("N/A")
 

@@ -158,8 +158,8 @@ def parse_flags(c: Column | str, g: FieldGrammar) -> Column:
 def value_rows(df: DataFrame, column: str, g: FieldGrammar) -> DataFrame:
     """The other columns of ``df`` with (pos, value, quoted, flag), one row per value, positions
     from 1. A text that is flagged and holds no value gives one row without; null,
-    empty and blank texts give none."""
-    rest = [f"`{c}`" for c in df.columns if c != column]
+    empty and blank texts give none. Columns of ``df`` with one of these names give way."""
+    rest = [f"`{c}`" for c in df.columns if c not in (column, "pos", "value", "quoted", "flag")]
     x = df.select(*rest, split_values(f"`{column}`", g).alias("__v"), parse_flags(f"`{column}`", g).alias("flag"))
     x = x.where("size(__v) > 0 or flag is not null").select(*rest, "flag", F.posexplode_outer("__v").alias("__p", "__x"))
     return x.select(*rest, (F.col("__p") + 1).cast("int").alias("pos"), F.col("__x.value").alias("value"), F.col("__x.quoted").alias("quoted"), "flag")

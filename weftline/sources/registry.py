@@ -171,6 +171,7 @@ def _all(*items: tuple[str, Callable, dict[str, Input], dict[str, str]]) -> None
         register(Source(name, plan, inputs, outputs))
 
 
+# Names of files, their columns, and the tables that come out.
 _PAIR = "cooccurrence long, enrichment double, p_fisher double, odds_ratio double"
 
 _all(
